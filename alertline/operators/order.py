@@ -74,13 +74,19 @@ def ordered(df: DataFrame, keys: Sequence[Key]) -> DataFrame:
     return df.orderBy(*sort_columns(keys))
 
 
+def _one_of(name: str, values: Sequence[float | None]) -> Column:
+    """``name`` is one of ``values``, of which null may be one."""
+    member = F.coalesce(F.col(name).isin([v for v in values if v is not None]), F.lit(False))
+    return member | F.col(name).isNull() if None in values else member
+
+
 @dataclass(frozen=True)
 class Ranges:
     """Cut points per key, and the frequent values that continue into the next key."""
 
     keys: tuple[Key, ...]
     splits: tuple[tuple[float, ...], ...]
-    hot: tuple[tuple[float, ...], ...] = field(default=())
+    hot: tuple[tuple[float | None, ...], ...] = field(default=())
 
     @property
     def columns(self) -> list[str]:
@@ -99,11 +105,9 @@ class Ranges:
         )
         columns = []
         for level, (cell, name) in enumerate(zip(cells, self.columns)):
-            number = F.col(cell).cast("int")
+            number = F.coalesce(F.col(cell), F.lit(len(self.splits[level]))).cast("int")  # nulls last
             if level:
-                inside = reduce(
-                    lambda a, b: a & b, [F.col(doubles[i]).isin(list(self.hot[i])) for i in range(level)]
-                )
+                inside = reduce(lambda a, b: a & b, [_one_of(doubles[i], self.hot[i]) for i in range(level)])
                 number = F.when(inside, number).otherwise(F.lit(-1))
             columns.append(number.alias(name))
         return bucketizer.transform(keyed).select(*df.columns, *columns)
@@ -127,42 +131,53 @@ def find_ranges(df: DataFrame, keys: Sequence[Key], count: int | None = None) ->
     names = [f"_key{i}" for i in range(len(keys))]
     data = df.select(*[k.as_double(df.schema[k.name].dataType).alias(n) for k, n in zip(keys, names)])
 
-    groups: dict[tuple[float, ...], float] = {(): float(count)}
+    groups: dict[tuple, float] = {(): float(count)}
     splits: list[tuple[float, ...]] = []
-    hot: list[tuple[float, ...]] = []
+    hot: list[tuple[float | None, ...]] = []
     for level, name in enumerate(names):
         cells = count if level == 0 else min(count, MAX_SUB_RANGES)
         probabilities = [i / cells for i in range(1, cells)]
         prefix = names[:level]
-        rows = data.filter(F.col(name).isNotNull())
+        rows = data
         for column, values in zip(prefix, hot):
-            rows = rows.filter(F.col(column).isin(list(values)))
+            rows = rows.filter(_one_of(column, values))
         partial = rows.groupBy(*prefix, (F.spark_partition_id() % fan).alias("_part")).agg(
-            F.percentile_approx(name, probabilities, SKETCH_ACCURACY).alias("_q")
+            F.percentile_approx(name, probabilities, SKETCH_ACCURACY).alias("_q"),
+            F.count(F.lit(1)).alias("_n"),
+            F.count(name).alias("_filled"),
         )
+        once = F.coalesce(F.col("_i"), F.lit(0)) == 0
         merged = (
-            partial.select(*prefix, F.explode("_q").alias("_v"))
+            partial.select(*prefix, "_n", "_filled", F.posexplode_outer("_q").alias("_i", "_v"))
             .groupBy(*prefix)
-            .agg(F.percentile_approx("_v", probabilities, SKETCH_ACCURACY).alias("_q"))
+            .agg(
+                F.percentile_approx("_v", probabilities, SKETCH_ACCURACY).alias("_q"),
+                F.sum(F.when(once, F.col("_n"))).alias("_n"),
+                F.sum(F.when(once, F.col("_filled"))).alias("_filled"),
+            )
         )
         cuts: set[float] = set()
-        frequent: dict[tuple[float, ...], float] = {}
+        frequent: dict[tuple, float] = {}
         for row in merged.collect():  # at most one row per frequent value
             group = tuple(row[: len(prefix)])
-            weight, quantiles = groups.get(group), row["_q"]
-            if weight is None or not quantiles:
+            if group not in groups or not row["_n"]:
                 continue
-            cuts.update(quantiles[:: max(1, len(quantiles) // math.ceil(weight))])
+            quantiles, filled = row["_q"] or [], row["_filled"] / row["_n"]
+            weight = groups[group] * filled
+            if quantiles:
+                cuts.update(quantiles[:: max(1, int(len(quantiles) / max(weight, 1.0)))])
             for value, times in Counter(quantiles).items():
                 share = weight * times / len(quantiles)
                 if share >= HOT_WEIGHT:
                     frequent[(*group, value)] = share
                     cuts.update((value, math.nextafter(value, math.inf)))
+            if groups[group] - weight >= HOT_WEIGHT:
+                frequent[(*group, None)] = groups[group] - weight
         inner = sorted(c for c in cuts if math.isfinite(c)) or [0.0]
         splits.append((-math.inf, *inner, math.inf))
         if not frequent:
             break
-        hot.append(tuple(sorted({group[-1] for group in frequent})))
+        hot.append(tuple(sorted({group[-1] for group in frequent}, key=lambda v: (v is None, v or 0.0))))
         groups = frequent
     return Ranges(tuple(keys), tuple(splits), tuple(hot))
 
