@@ -19,6 +19,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,7 @@ MAX_RANGES = 2048  # ranges of the first key
 MAX_SUB_RANGES = 512  # ranges of a later key inside one frequent value
 HOT_WEIGHT = 4.0  # a value filling this many ranges is cut again along the next key
 SKETCH_ACCURACY = 20_000
+MAX_SKETCHES = 128
 
 
 @dataclass(frozen=True)
@@ -118,16 +120,29 @@ def range_count(spark: SparkSession) -> int:
     return max(16, min(MAX_RANGES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def _merge_quantiles(found: Sequence[tuple], count: int) -> list[float]:
+    """Quantiles of the union of parts, each given by (its quantiles, rows, non-null rows)."""
+    parts = [(q, filled) for q, _, filled in found if filled]
+    if not parts:
+        return []
+    values = np.concatenate([q for q, _ in parts])
+    weights = np.concatenate([np.full(len(q), filled / len(q)) for q, filled in parts])
+    order = np.argsort(values, kind="stable")
+    reached = np.cumsum(weights[order])
+    wanted = (np.arange(1, count + 1) / (count + 1)) * reached[-1]
+    at = np.minimum(np.searchsorted(reached, wanted), len(values) - 1)
+    return [float(v) for v in values[order][at]]
+
+
 def find_ranges(df: DataFrame, keys: Sequence[Key], count: int | None = None) -> Ranges:
     """Choose cut points that spread the rows of ``df`` evenly along ``keys``.
 
     One sketch pass per key; the passes after the first read only the frequent values and
-    happen only if there are any. Sketches are merged in two steps, so that no single task
-    receives one sketch per input split.
+    happen only if there are any. Sketches meet in up to ``MAX_SKETCHES`` groups, so that no
+    task merges the sketches of all input splits; the driver merges their quantiles.
     """
     spark = df.sparkSession
     count = count or range_count(spark)
-    fan = min(256, int(spark.conf.get("spark.sql.shuffle.partitions")))
     names = [f"_key{i}" for i in range(len(keys))]
     data = df.select(*[k.as_double(df.schema[k.name].dataType).alias(n) for k, n in zip(keys, names)])
 
@@ -141,29 +156,22 @@ def find_ranges(df: DataFrame, keys: Sequence[Key], count: int | None = None) ->
         rows = data
         for column, values in zip(prefix, hot):
             rows = rows.filter(_one_of(column, values))
-        partial = rows.groupBy(*prefix, (F.spark_partition_id() % fan).alias("_part")).agg(
+        fan = max(1, MAX_SKETCHES // len(groups))
+        sketches = rows.groupBy(*prefix, (F.spark_partition_id() % fan).alias("_part")).agg(
             F.percentile_approx(name, probabilities, SKETCH_ACCURACY).alias("_q"),
             F.count(F.lit(1)).alias("_n"),
             F.count(name).alias("_filled"),
         )
-        once = F.coalesce(F.col("_i"), F.lit(0)) == 0
-        merged = (
-            partial.select(*prefix, "_n", "_filled", F.posexplode_outer("_q").alias("_i", "_v"))
-            .groupBy(*prefix)
-            .agg(
-                F.percentile_approx("_v", probabilities, SKETCH_ACCURACY).alias("_q"),
-                F.sum(F.when(once, F.col("_n"))).alias("_n"),
-                F.sum(F.when(once, F.col("_filled"))).alias("_filled"),
-            )
-        )
+        parts: dict[tuple, list] = {}
+        for row in sketches.collect():  # at most MAX_SKETCHES rows of the groups that are looked for
+            group = tuple(row[:level])
+            if group in groups:
+                parts.setdefault(group, []).append((row["_q"], row["_n"], row["_filled"]))
         cuts: set[float] = set()
         frequent: dict[tuple, float] = {}
-        for row in merged.collect():  # at most one row per frequent value
-            group = tuple(row[: len(prefix)])
-            if group not in groups or not row["_n"]:
-                continue
-            quantiles, filled = row["_q"] or [], row["_filled"] / row["_n"]
-            weight = groups[group] * filled
+        for group, found in parts.items():
+            quantiles = _merge_quantiles(found, len(probabilities))
+            weight = groups[group] * sum(f for _, _, f in found) / sum(n for _, n, _ in found)
             if quantiles:
                 cuts.update(quantiles[:: max(1, int(len(quantiles) / max(weight, 1.0)))])
             for value, times in Counter(quantiles).items():
@@ -256,50 +264,93 @@ def rank_rows(df: DataFrame, keys: Sequence[Key]) -> DataFrame:
     return running(df, keys).drop("n_rows")
 
 
-def rows_at(df: DataFrame, keys: Sequence[Key], positions: Sequence[int]) -> dict[int, tuple]:
-    """The key values of the rows at the given positions (from 1) of the total order.
+class Ladder:
+    """Row counts per range of an order, to find rows by position without sorting the table.
 
-    Only the ranges that hold a wanted position are shuffled and sorted; of the others just
-    their row counts are needed. Timestamps come back as epoch micros. Positions outside
-    the table are absent from the result.
+    ``counters`` are extra predicates that are counted along (``row`` counts every row), so
+    "the 100th row" and "the 7th negative" are both positions. The counts are one small
+    aggregation; it is collected, as its size is bounded by the number of ranges.
     """
-    wanted = sorted({p for p in positions if p >= 1})
-    if not wanted:
-        return {}
-    names = [k.name for k in keys]
-    source = df.select(*names)
-    ranges = find_ranges(source, keys)
-    data = ranges.assign(source)
-    totals = data.groupBy(*ranges.columns).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.orderBy(*ranges.columns).rowsBetween(Window.unboundedPreceding, -1)
-    hits = (
-        totals.select(*ranges.columns, "_n", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-        .select(
-            *ranges.columns,
-            "_before",
-            F.explode(
-                F.filter(
-                    F.array(*[F.lit(p).cast("bigint") for p in wanted]),
-                    lambda p: (p > F.col("_before")) & (p <= F.col("_before") + F.col("_n")),
-                )
-            ).alias("_position"),
+
+    def __init__(self, df: DataFrame, keys: Sequence[Key], counters: Mapping[str, Column] | None = None):
+        self.df, self.keys = df, list(keys)
+        self.counters = {"row": F.lit(True), **(counters or {})}
+        names = [k.name for k in self.keys]
+        slim = df.select(*names, *[c.cast("boolean").alias(f"_is_{n}") for n, c in self.counters.items()])
+        self.ranges = find_ranges(slim, self.keys)
+        self._rows = self.ranges.assign(slim)
+        totals = self._rows.groupBy(*self.ranges.columns).agg(
+            *[F.count_if(f"_is_{n}").alias(n) for n in self.counters]
         )
-        .groupBy(*ranges.columns, "_before")
-        .agg(F.collect_list("_position").alias("_positions"))
-    )
-    inside = Window.partitionBy(*ranges.columns).orderBy(*sort_columns(keys))
-    found = (
-        data.join(F.broadcast(hits), ranges.columns)
-        .withColumn("_position", F.row_number().over(inside) + F.col("_before"))
-        .filter(F.array_contains("_positions", F.col("_position")))
-    )
-    plain = [
-        epoch_micros(F.col(n)).alias(n)
-        if isinstance(source.schema[n].dataType, (T.TimestampNTZType, T.TimestampType))
-        else F.col(n)
-        for n in names
-    ]
-    return {row[0]: tuple(row)[1:] for row in found.select("_position", *plain).collect()}
+        table = totals.toArrow().to_pandas().sort_values(self.ranges.columns, ignore_index=True)
+        self._cells = table[self.ranges.columns]
+        self._counts = {n: table[n].to_numpy(dtype=np.int64) for n in self.counters}
+        self._found: dict[tuple[str, int], tuple] = {}
+
+    def total(self, counter: str = "row") -> int:
+        return int(self._counts[counter].sum())
+
+    def find(self, **positions: Sequence[int]) -> dict[tuple[str, int], tuple]:
+        """Key values of the rows at positions (from 1), as ``{(counter, position): values}``.
+
+        Only the ranges that hold a wanted position are shuffled and sorted. Timestamps come
+        back as epoch micros. Positions outside the table are absent.
+        """
+        open_positions = {n: sorted({p for p in ps if (n, p) not in self._found}) for n, ps in positions.items()}
+        hits: dict[int, dict[str, list[int]]] = {}
+        before = {n: np.cumsum(self._counts[n]) - self._counts[n] for n in open_positions}
+        for name, wanted in open_positions.items():
+            for p in wanted:
+                if 1 <= p <= self.total(name):
+                    cell = int(np.searchsorted(before[name] + self._counts[name], p))
+                    hits.setdefault(cell, {}).setdefault(name, []).append(p)
+        if hits:
+            self._search(hits, before)
+        return {(n, p): self._found[(n, p)] for n, ps in positions.items() for p in ps if (n, p) in self._found}
+
+    def _search(self, hits: Mapping[int, Mapping[str, Sequence[int]]], before: Mapping[str, np.ndarray]) -> None:
+        columns, names = self.ranges.columns, [k.name for k in self.keys]
+        chosen = F.lit(None).cast("int")
+        for cell in hits:
+            same = reduce(lambda a, b: a & b, [F.col(c) == int(self._cells[c][cell]) for c in columns])
+            chosen = F.when(same, F.lit(cell)).otherwise(chosen)
+        inside = Window.partitionBy("_hit").orderBy(*sort_columns(self.keys))
+        so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        used = sorted({n for by_name in hits.values() for n in by_name})
+        rows = (
+            self._rows.withColumn("_hit", chosen)
+            .filter(F.col("_hit").isNotNull())
+            .select(
+                "_hit",
+                *names,
+                *[f"_is_{n}" for n in used],
+                *[F.sum(F.col(f"_is_{n}").cast("bigint")).over(so_far).alias(f"_at_{n}") for n in used],
+            )
+        )
+        wanted = F.lit(False)
+        for cell, by_name in hits.items():
+            for name, positions in by_name.items():
+                local = [p - int(before[name][cell]) for p in positions]
+                wanted |= (F.col("_hit") == cell) & F.col(f"_is_{name}") & F.col(f"_at_{name}").isin(local)
+        plain = [
+            epoch_micros(F.col(n)).alias(n)
+            if isinstance(self.df.schema[n].dataType, (T.TimestampNTZType, T.TimestampType))
+            else F.col(n)
+            for n in names
+        ]
+        for row in rows.filter(wanted).select(
+            "_hit", *[f"_is_{n}" for n in used], *[f"_at_{n}" for n in used], *plain
+        ).collect():  # one row per wanted position
+            values = tuple(row)[-len(names) :]
+            for name, positions in hits[row["_hit"]].items():
+                position = row[f"_at_{name}"] + int(before[name][row["_hit"]])
+                if row[f"_is_{name}"] and position in positions:
+                    self._found[(name, position)] = values
+
+
+def rows_at(df: DataFrame, keys: Sequence[Key], positions: Sequence[int]) -> dict[int, tuple]:
+    """The key values of the rows at the given positions (from 1) of the total order."""
+    return {p: values for (_, p), values in Ladder(df, keys).find(row=positions).items()}
 
 
 def not_after(df: DataFrame, keys: Sequence[Key], row: Sequence, *, strict: bool = False) -> Column:

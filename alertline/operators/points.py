@@ -1,7 +1,7 @@
 """Operating points: what happens if the top K% are alerted, or if an FPR budget is spent.
 
-None of these sorts the table. The row where the selection ends is found by position
-(``rows_at`` reads one range of the order), and becomes a constant; the counts are then one
+None of these sorts the table. The row where a selection ends is found by position (a
+``Ladder`` sorts one range of the order only) and becomes a constant; the counts are then one
 aggregation with a predicate against that constant.
 """
 
@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertline.functions.scalar import ratio
-from alertline.operators.curves import TIE_WIDTH, block_staircase, negative, positive
-from alertline.operators.order import alert_order, desc, not_after, rows_at
+from alertline.operators.curves import TIE_WIDTH, negative, positive, tie_block_staircase
+from alertline.operators.order import Ladder, alert_order, not_after
 
 K_PERCENT = (0.5, 1.0, 2.0, 5.0)
 FPR_PERCENT = (0.1, 0.5, 1.0, 2.0)
@@ -33,32 +33,12 @@ POINT_COLUMNS = (
     "alerts",
     "alerts_per_day",
 )
-_METRICS = ("threshold", "precision", "recall", "fpr", "alerts", "alerts_per_day")
 _TABLE_SCHEMA = (
     "mode string, K_or_FPR double, threshold double, precision double, recall double, fpr double, "
     "alerts bigint, alerts_per_day double"
 )
 
 
-@dataclass(frozen=True)
-class WindowStats:
-    rows: int
-    positives: int
-    negatives: int
-    days: int
-
-
-def window_stats(df: DataFrame, y: str = "y", time: str | None = "time") -> WindowStats:
-    """Rows, positives, negatives and distinct days (0 without a time column) of a scored window."""
-    row = df.agg(
-        F.count(F.lit(1)),
-        F.count_if(positive(y)),
-        F.count_if(negative(y)),
-        F.count_distinct(F.to_date(time)) if time else F.lit(0),
-    ).first()
-    return WindowStats(*row)
-
-
 def ceil_count(percent: float, rows: int) -> int:
     """Rows in the top ``percent`` %: rounded up."""
     return math.ceil((percent / 100.0) * rows)
@@ -79,93 +59,116 @@ def allowed_negatives(budget: float, negatives: int) -> int:
     return most
 
 
-def _boundaries(df: DataFrame, score: str, counts: Sequence[int]) -> dict[int, tuple]:
-    return rows_at(df, alert_order(score), counts)
+def alert_ladder(df: DataFrame, score: str = "score", y: str = "y") -> Ladder:
+    """Rows, positives, negatives and scored rows along the alert order."""
+    counters = {"positive": positive(y), "negative": negative(y), "scored": F.col(score).isNotNull()}
+    return Ladder(df, alert_order(score), counters)
 
 
 def flag_topk(df: DataFrame, percent: float, score: str = "score") -> DataFrame:
     """Mark the rows of the top ``percent`` % of the alert order (exactly that many) as ``selected``."""
-    count = ceil_count(percent, df.count())
-    keys = alert_order(score)
-    row = _boundaries(df, score, [count]).get(count)
-    chosen = F.lit(False) if row is None else not_after(df, keys, row)
-    return df.withColumn("selected", chosen)
+    ladder = Ladder(df, alert_order(score))
+    return df.withColumn("selected", _first_rows(ladder, ceil_count(percent, ladder.total())))
 
 
-def _select_counts(chosen: Column, i: int, score: str, y: str) -> list[Column]:
-    value = F.col(score).cast("double")
-    return [
-        F.count_if(chosen).alias(f"alerts{i}"),
-        F.count_if(chosen & positive(y)).alias(f"tp{i}"),
-        F.count_if(chosen & negative(y)).alias(f"fp{i}"),
-        F.when(F.count_if(chosen & value.isNull()) == 0, F.min(F.when(chosen, value))).alias(f"threshold{i}"),
-    ]
+def _first_rows(ladder: Ladder, count: int) -> Column:
+    """Predicate of the first ``count`` rows of the order."""
+    row = ladder.find(row=[count]).get(("row", count))
+    return F.lit(False) if row is None else not_after(ladder.df, ladder.keys, row)
 
 
-def _point(mode: str, budget: float, i: int, stats: WindowStats) -> Column:
-    """One result row from the counts of selection ``i``; an empty selection reports ``1 / negatives`` as FPR."""
-    alerts, tp, fp = (F.col(f"{c}{i}") for c in ("alerts", "tp", "fp"))
-    per_day = alerts / F.lit(float(stats.days)) if stats.days else F.lit(0.0)
-    first_fpr = 1.0 / stats.negatives if stats.negatives else 0.0
-    return F.struct(
-        F.lit(mode).alias("mode"),
-        F.lit(float(budget)).alias("K_or_FPR"),
-        F.col(f"threshold{i}").alias("threshold"),
-        ratio(tp, tp + fp).alias("precision"),
-        ratio(tp, F.lit(stats.positives)).alias("recall"),
-        F.when(alerts == 0, F.lit(first_fpr)).otherwise(ratio(fp, F.lit(stats.negatives))).alias("fpr"),
-        alerts.alias("alerts"),
-        per_day.cast("double").alias("alerts_per_day"),
+@dataclass(frozen=True)
+class _Selection:
+    """The rows one budget alerts. ``empty_fpr`` is reported if it alerts none."""
+
+    mode: str
+    budget: float
+    chosen: Column
+    threshold: float | None = None
+    lowest_chosen: bool = False  # the threshold is the lowest chosen score
+    empty_fpr: float = 0.0
+
+
+def _measure(df: DataFrame, selections: Sequence[_Selection], ladder: Ladder, score: str, y: str) -> DataFrame:
+    """Metrics of all selections from one aggregation; no row is moved for it."""
+    table = df.select(
+        F.col(score).cast("double").alias("_score"),
+        F.to_date("time").alias("_day"),
+        positive(y).alias("_pos"),
+        negative(y).alias("_neg"),
+        *[s.chosen.alias(f"_in{i}") for i, s in enumerate(selections)],
     )
+    aggregates = [F.count_distinct("_day").alias("_days")]
+    for i, s in enumerate(selections):
+        aggregates += [
+            F.expr(f"count_if(_in{i})").alias(f"_alerts{i}"),
+            F.expr(f"count_if(_in{i} AND _pos)").alias(f"_tp{i}"),
+            F.expr(f"count_if(_in{i} AND _neg)").alias(f"_fp{i}"),
+        ]
+        if s.lowest_chosen:  # a selection that reaches into the unscored rows has no threshold
+            lowest = f"CASE WHEN count_if(_in{i} AND _score IS NULL) = 0 THEN min(CASE WHEN _in{i} THEN _score END) END"
+            aggregates.append(F.expr(lowest).alias(f"_low{i}"))
+    positives, negatives = F.lit(ladder.total("positive")), F.lit(ladder.total("negative"))
+    rows = []
+    for i, s in enumerate(selections):
+        alerts, tp, fp = (F.col(f"_{c}{i}") for c in ("alerts", "tp", "fp"))
+        threshold = F.col(f"_low{i}") if s.lowest_chosen else F.lit(s.threshold).cast("double")
+        rows.append(
+            F.struct(
+                F.lit(s.mode).alias("mode"),
+                F.lit(float(s.budget)).alias("K_or_FPR"),
+                threshold.alias("threshold"),
+                ratio(tp, tp + fp).alias("precision"),
+                ratio(tp, positives).alias("recall"),
+                F.when(alerts == 0, F.lit(s.empty_fpr)).otherwise(ratio(fp, negatives)).alias("fpr"),
+                alerts.alias("alerts"),
+                ratio(alerts, F.col("_days")).alias("alerts_per_day"),
+            )
+        )
+    return table.agg(*aggregates).select(F.inline(F.array(*rows)))
 
 
 def _empty(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([], _TABLE_SCHEMA)
 
 
+def _topk_selections(ladder: Ladder, percents: Sequence[float]) -> list[_Selection]:
+    counts = [ceil_count(p, ladder.total()) for p in percents]
+    ends = ladder.find(row=counts)
+    return [
+        _Selection("topk", p, _first_rows(ladder, c), ends[("row", c)][0]) for p, c in zip(percents, counts)
+    ]
+
+
 def topk_table(
-    df: DataFrame,
-    percents: Sequence[float] = K_PERCENT,
-    score: str = "score",
-    y: str = "y",
-    stats: WindowStats | None = None,
+    df: DataFrame, percents: Sequence[float] = K_PERCENT, score: str = "score", y: str = "y"
 ) -> DataFrame:
     """Selection metrics of the top K% rows (rounded up), one row per K; the threshold is the last selected score."""
-    stats = stats or window_stats(df, y)
-    if stats.rows == 0:
+    ladder = alert_ladder(df, score, y)
+    if ladder.total() == 0:
         return _empty(df)
-    keys = alert_order(score)
-    counts = [ceil_count(p, stats.rows) for p in percents]
-    last = _boundaries(df, score, counts)
-    aggregates = [
-        a for i, c in enumerate(counts) for a in _select_counts(not_after(df, keys, last[c]), i, score, y)
-    ]
-    rows = F.array(*[_point("topk", p, i, stats) for i, p in enumerate(percents)])
-    return df.agg(*aggregates).select(F.inline(rows))
+    return _measure(df, _topk_selections(ladder, percents), ladder, score, y)
 
 
 def precision_at_k(
     df: DataFrame, shares: Sequence[float] = (0.005, 0.01, 0.02, 0.05), score: str = "score", y: str = "y"
 ) -> DataFrame:
     """Precision of the top share of rows, rounded down with a minimum of one row."""
-    total = df.count()
-    if total == 0:
+    ladder = Ladder(df, alert_order(score))
+    if ladder.total() == 0:
         return df.sparkSession.createDataFrame([], "share double, k bigint, precision double")
-    keys = alert_order(score)
-    counts = [floor_count(s, total) for s in shares]
-    last = _boundaries(df, score, counts)
-    hits = [F.count_if(not_after(df, keys, last[c]) & positive(y)).alias(f"h{i}") for i, c in enumerate(counts)]
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(float(s)).alias("share"),
-                F.lit(c).cast("bigint").alias("k"),
-                ratio(F.col(f"h{i}"), F.lit(c)).alias("precision"),
-            )
-            for i, (s, c) in enumerate(zip(shares, counts))
-        ]
-    )
-    return df.agg(*hits).select(F.inline(rows))
+    counts = [floor_count(s, ladder.total()) for s in shares]
+    ladder.find(row=counts)
+    hits = [F.count_if(_first_rows(ladder, c) & positive(y)).alias(f"h{i}") for i, c in enumerate(counts)]
+    rows = [
+        F.struct(
+            F.lit(float(s)).alias("share"),
+            F.lit(c).cast("bigint").alias("k"),
+            ratio(F.col(f"h{i}"), F.lit(c)).alias("precision"),
+        )
+        for i, (s, c) in enumerate(zip(shares, counts))
+    ]
+    return df.agg(*hits).select(F.inline(F.array(*rows)))
 
 
 def topk_precisions(
@@ -175,30 +178,36 @@ def topk_precisions(
 
     The rows where the selections end are found per column; the hits of all of them are one aggregation.
     """
-    total = df.count()
-    cells = [(s, p, ceil_count(p, total)) for s in scores for p in percents]
-    ends = {s: _boundaries(df, s, [c for t, _, c in cells if t == s]) for s in scores}
     hits, rows = [], []
-    for i, (s, p, c) in enumerate(cells):
-        chosen = not_after(df, alert_order(s), ends[s][c]) if c else F.lit(False)
-        hits.append(F.count_if(chosen & positive(y)).alias(f"h{i}"))
-        rows.append(
-            F.struct(
-                F.lit(s).alias("score_name"),
-                F.lit(float(p)).alias("K"),
-                F.lit(c).cast("bigint").alias("k"),
-                (F.col(f"h{i}") / F.lit(c) if c else F.lit(None)).cast("double").alias("precision"),
+    for s in scores:
+        ladder = Ladder(df, alert_order(s))
+        counts = [ceil_count(p, ladder.total()) for p in percents]
+        ladder.find(row=counts)
+        for p, c in zip(percents, counts):
+            name = f"h{len(hits)}"
+            hits.append(F.count_if(_first_rows(ladder, c) & positive(y)).alias(name))
+            rows.append(
+                F.struct(
+                    F.lit(s).alias("score_name"),
+                    F.lit(float(p)).alias("K"),
+                    F.lit(c).cast("bigint").alias("k_rows"),
+                    (F.col(name) / F.lit(c) if c else F.lit(None)).cast("double").alias("precision"),
+                )
             )
-        )
     return df.agg(*hits).select(F.inline(F.array(*rows)))
 
 
-def _first_excess(df: DataFrame, budgets: Sequence[float], keys, stats: WindowStats, y: str) -> list[tuple | None]:
-    """Per budget the first negative it cannot pay for; None if it can pay for all of them."""
-    allowed = [allowed_negatives(b, stats.negatives) for b in budgets]
-    excess = [m + 1 for m in allowed if m < stats.negatives]
-    found = rows_at(df.filter(negative(y)), keys, excess)
-    return [found.get(m + 1) if m < stats.negatives else None for m in allowed]
+def _excess(ladder: Ladder, budgets: Sequence[float]) -> list[int | None]:
+    """Per budget (a fraction) the first negative it cannot pay for, by position; None if it pays for all."""
+    negatives = ladder.total("negative")
+    allowed = [allowed_negatives(b, negatives) for b in budgets]
+    return [m + 1 if m < negatives else None for m in allowed]
+
+
+def _excess_rows(ladder: Ladder, budgets: Sequence[float]) -> list[tuple | None]:
+    positions = _excess(ladder, budgets)
+    found = ladder.find(negative=[p for p in positions if p])
+    return [found[("negative", p)] if p else None for p in positions]
 
 
 def recall_at_fpr(
@@ -206,43 +215,81 @@ def recall_at_fpr(
 ) -> DataFrame:
     """Highest recall on the ROC curve (whole score blocks) with FPR within each target."""
     scored = df.filter(F.col(score).isNotNull())
-    stats = window_stats(scored, y, time=None)
-    ends = _first_excess(scored, targets, [desc(score)], stats, y)
-    hits = []
-    for i, end in enumerate(ends):
-        chosen = F.lit(True) if end is None else not_after(scored, [desc(score)], end, strict=True)
+    ladder = alert_ladder(scored, score, y)
+    hits, rows = [], []
+    for i, (t, end) in enumerate(zip(targets, _excess_rows(ladder, targets))):
+        chosen = F.lit(True) if end is None else F.col(score) > F.lit(end[0])
         hits.append(F.count_if(chosen & positive(y)).alias(f"h{i}"))
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(float(t)).alias("target_fpr"),
-                ratio(F.col(f"h{i}"), F.lit(stats.positives)).alias("recall"),
-            )
-            for i, t in enumerate(targets)
-        ]
-    )
-    return scored.agg(*hits).select(F.inline(rows))
+        recall = ratio(F.col(f"h{i}"), F.lit(ladder.total("positive")))
+        rows.append(F.struct(F.lit(float(t)).alias("target_fpr"), recall.alias("recall")))
+    return scored.agg(*hits).select(F.inline(F.array(*rows)))
 
 
 def fpr_rows(
-    df: DataFrame,
-    percents: Sequence[float] = FPR_PERCENT,
-    score: str = "score",
-    y: str = "y",
-    stats: WindowStats | None = None,
+    df: DataFrame, percents: Sequence[float] = FPR_PERCENT, score: str = "score", y: str = "y"
 ) -> DataFrame:
     """Per FPR budget the last row of the alert order within it; equal scores may be cut apart."""
-    stats = stats or window_stats(df, y)
-    if stats.rows == 0:
+    ladder = alert_ladder(df, score, y)
+    if ladder.total() == 0:
         return _empty(df)
-    keys = alert_order(score)
-    ends = _first_excess(df, [p / 100.0 for p in percents], keys, stats, y)
-    aggregates = []
-    for i, end in enumerate(ends):
-        chosen = F.lit(True) if end is None else not_after(df, keys, end, strict=True)
-        aggregates += _select_counts(chosen, i, score, y)
-    rows = F.array(*[_point("fpr", p, i, stats) for i, p in enumerate(percents)])
-    return df.agg(*aggregates).select(F.inline(rows))
+    one_negative = ratio_of(1, ladder.total("negative"))
+    selections = []
+    for p, end in zip(percents, _excess_rows(ladder, [p / 100.0 for p in percents])):
+        chosen = F.lit(True) if end is None else not_after(df, ladder.keys, end, strict=True)
+        selections.append(_Selection("fpr", p, chosen, lowest_chosen=True, empty_fpr=one_negative))
+    return _measure(df, selections, ladder, score, y)
+
+
+def ratio_of(count: int, total: int) -> float:
+    return count / total if total else 0.0
+
+
+def _block_selections(
+    df: DataFrame, ladder: Ladder, percents: Sequence[float], score: str, y: str, width: float
+) -> list[_Selection]:
+    """Per budget the rows down to the lowest affordable threshold.
+
+    The excess negative has some score; the next higher score is the threshold, unless the two
+    are so close that they count as one. Only then the blocks of nearly equal scores are built.
+    """
+    negatives = ladder.total("negative")
+    if ladder.total("scored") == 0:
+        first = ladder.find(row=[1], negative=[1])
+        starts_negative = first.get(("negative", 1)) == first.get(("row", 1))
+        return [
+            _Selection("fpr", p, F.lit(False), empty_fpr=ratio_of(int(starts_negative), negatives)) for p in percents
+        ]
+    value = F.col(score).cast("double")
+    floors = [None if e is None else e[0] for e in _excess_rows(ladder, [p / 100.0 for p in percents])]
+    above = df.agg(
+        *[
+            F.min(value if f is None else F.when(value > F.lit(float(f)), value)).alias(f"_t{i}")
+            for i, f in enumerate(floors)
+        ]
+    ).first()
+    close = [f is not None and (t is None or t - f <= width) for f, t in zip(floors, above)]
+    thresholds, top_fp = list(above), 0
+    if any(close):
+        stairs = tie_block_staircase(df, score, y, width)
+        step = F.struct(value.alias("threshold"), "cum_fp")
+        ends = stairs.agg(
+            F.max(step).alias("top"),
+            *[
+                F.min(F.when(value > F.lit(float(f)), value) if f is not None else value).alias(f"_t{i}")
+                for i, f in enumerate(floors)
+            ],
+        ).first()
+        thresholds, top_fp = list(ends)[1:], ends["top"]["cum_fp"]
+    return [
+        _Selection(
+            "fpr",
+            p,
+            F.lit(False) if t is None else F.coalesce(value >= F.lit(t), F.lit(False)),
+            t,
+            empty_fpr=ratio_of(top_fp, negatives),
+        )
+        for p, t in zip(percents, thresholds)
+    ]
 
 
 def fpr_blocks(
@@ -251,54 +298,12 @@ def fpr_blocks(
     score: str = "score",
     y: str = "y",
     width: float = TIE_WIDTH,
-    stats: WindowStats | None = None,
 ) -> DataFrame:
-    """Per FPR budget the lowest threshold within it, where a threshold never cuts (nearly) equal scores apart.
-
-    Only the head of the order down to the most generous budget is aggregated into blocks.
-    """
-    stats = stats or window_stats(df, y)
-    if stats.rows == 0:
+    """Per FPR budget the lowest threshold within it, where a threshold never cuts (nearly) equal scores apart."""
+    ladder = alert_ladder(df, score, y)
+    if ladder.total() == 0:
         return _empty(df)
-    scored = df.filter(F.col(score).isNotNull())
-    ends = _first_excess(df, [p / 100.0 for p in percents], [desc(score)], stats, y)
-    floors = [None if end is None else end[0] for end in ends]
-    head = scored if None in floors else scored.filter(F.col(score) >= F.lit(min(floors)))
-    last = F.col("next_score").isNull() | (F.col(score) - F.col("next_score") > F.lit(width))
-    stairs = block_staircase(head, score, y).filter(last)
-    step = F.struct(F.col(score).cast("double").alias("threshold"), "cum_n", "cum_tp", "cum_fp")
-    aggregates = [F.max(step).alias("_top")]
-    for i, floor in enumerate(floors):
-        chosen = F.lit(True) if floor is None else F.col(score) > F.lit(floor)
-        aggregates.append(F.min(F.when(chosen, step)).alias(f"_b{i}"))
-    picked = stairs.agg(*aggregates)
-    top_fp = F.coalesce(F.col("_top.cum_fp"), F.lit(_first_row_is_negative(df, score, y, stats)))
-    rows = []
-    for i, p in enumerate(percents):
-        alerts = F.coalesce(F.col(f"_b{i}.cum_n"), F.lit(0)).cast("bigint")
-        tp = F.coalesce(F.col(f"_b{i}.cum_tp"), F.lit(0))
-        fp = F.coalesce(F.col(f"_b{i}.cum_fp"), top_fp)
-        rows.append(
-            F.struct(
-                F.lit("fpr").alias("mode"),
-                F.lit(float(p)).alias("K_or_FPR"),
-                F.col(f"_b{i}.threshold").alias("threshold"),
-                F.when(alerts > 0, ratio(tp, tp + fp)).otherwise(F.lit(0.0)).alias("precision"),
-                ratio(tp, F.lit(stats.positives)).alias("recall"),
-                ratio(fp, F.lit(stats.negatives)).alias("fpr"),
-                alerts.alias("alerts"),
-                (alerts / F.lit(float(stats.days)) if stats.days else F.lit(0.0)).alias("alerts_per_day"),
-            )
-        )
-    return picked.select(F.inline(F.array(*rows)))
-
-
-def _first_row_is_negative(df: DataFrame, score: str, y: str, stats: WindowStats) -> int:
-    """For a window without any score: 1 if its earliest row is a negative."""
-    if df.filter(F.col(score).isNotNull()).limit(1).count():
-        return 0
-    missing_last = F.col("time").isNull()
-    return df.agg(F.min_by(negative(y).cast("int"), F.struct(missing_last, "time", "id"))).first()[0] or 0
+    return _measure(df, _block_selections(df, ladder, percents, score, y, width), ladder, score, y)
 
 
 def operating_points(
@@ -311,11 +316,22 @@ def operating_points(
     k_percents: Sequence[float] = K_PERCENT,
     fpr_percents: Sequence[float] = FPR_PERCENT,
 ) -> DataFrame:
-    """Top-K% and FPR-budget rows of one scored window in one table with fixed columns."""
-    stats = window_stats(df, y)
-    both = topk_table(df, k_percents, score, y, stats).unionByName(
-        fpr_blocks(df, fpr_percents, score, y, stats=stats)
-    )
+    """Top-K% and FPR-budget rows of one scored window in one table with fixed columns.
+
+    Both kinds share the counts along the order and the final aggregation.
+    """
+    ladder = alert_ladder(df, score, y)
+    if ladder.total() == 0:
+        both = _empty(df)
+    else:
+        excess = _excess(ladder, [p / 100.0 for p in fpr_percents])
+        ladder.find(
+            row=[ceil_count(p, ladder.total()) for p in k_percents], negative=[p for p in excess if p]
+        )  # one search for both kinds
+        selections = _topk_selections(ladder, k_percents) + _block_selections(
+            df, ladder, fpr_percents, score, y, TIE_WIDTH
+        )
+        both = _measure(df, selections, ladder, score, y)
     kind = F.when(F.col("mode") == "topk", F.lit("K_percent")).otherwise(F.lit("FPR_percent"))
     return both.select(
         F.lit(run_id).alias("run_id"),
@@ -325,5 +341,9 @@ def operating_points(
         kind.alias("budget_type"),
         F.col("K_or_FPR").alias("budget_value"),
         F.col("threshold").alias("threshold_prob"),
-        *_METRICS[1:],
+        "precision",
+        "recall",
+        "fpr",
+        "alerts",
+        "alerts_per_day",
     ).orderBy("window", "mode", "budget_type", "budget_value")

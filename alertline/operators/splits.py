@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alertline.functions.scalar import epoch_micros, micros_literal
-from alertline.operators.order import asc, not_after, rows_at
+from alertline.operators.order import Ladder, asc, not_after
 from alertline.operators.quantile import exact_quantiles
 
 TRAIN_SHARE = 0.80
@@ -61,8 +61,8 @@ def positional_split(df: DataFrame, share: float = TRAIN_SHARE, time: str = "tim
 
     The order itself is never built: the row at the cut is found, and the sides are filters against it.
     """
-    keys = [asc(time), asc(id)]
-    count = int(share * df.count())
-    row = rows_at(df, keys, [count]).get(count)
-    first = F.lit(False) if row is None else not_after(df, keys, row)
+    ladder = Ladder(df, [asc(time), asc(id)])
+    count = int(share * ladder.total())
+    row = ladder.find(row=[count]).get(("row", count))
+    first = F.lit(False) if row is None else not_after(df, ladder.keys, row)
     return Split(df.filter(first), df.filter(~first), row)

@@ -24,8 +24,10 @@ def write_parquet(df: DataFrame, path: str) -> str:
 
 
 def write_csv(df: DataFrame, path: str) -> str:
-    """A result table as CSV with a header."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """A result table as CSV with a header; timestamps keep their microseconds."""
+    micros = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    writer = df.write.mode("overwrite").option("header", True)
+    writer.option("timestampNTZFormat", micros).option("timestampFormat", f"{micros}XXX").csv(path)
     return path
 
 
