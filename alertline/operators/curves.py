@@ -68,6 +68,10 @@ def block_staircase(
         by=by,
         lead={"next_score": score},
         ranges=ranges or find_ranges(rows.select(score), [desc(score)]),
+        source=(
+            rows.select(*by, score, y),
+            {"n": F.lit(1), "tp": positive(y).cast("int"), "fp": negative(y).cast("int")},
+        ),
     ).drop("rank", "n_rows")
 
 

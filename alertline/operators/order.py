@@ -199,22 +199,30 @@ def running(
     lag: Mapping[str, str] | None = None,
     lead: Mapping[str, str] | None = None,
     ranges: Ranges | None = None,
+    source: tuple[DataFrame, Mapping[str, Column]] | None = None,
 ) -> DataFrame:
     """Global row number and running totals along ``keys``.
 
     Adds ``rank`` (from 1), ``cum_<name>`` and ``all_<name>`` (the grand total) for each
     entry of ``sums``, ``n_rows``, and for ``lag``/``lead`` ``{new: column}`` the value on
     the neighbouring row. ``lag``/``lead`` need the first key to be unique. ``by`` keeps one order
-    per group. The broadcast table has one row per non-empty range, a number that
-    ``MAX_RANGES`` and ``MAX_SUB_RANGES`` bound.
+    per group. If ``df`` is itself an aggregate, ``source`` may name the rows it came from and
+    their contribution to each sum, so that the range totals need not wait for that aggregate
+    (``rank`` and ``n_rows`` are then counted in source rows and of no use).
+
+    The broadcast table has one row per non-empty range, a number that ``MAX_RANGES`` and
+    ``MAX_SUB_RANGES`` bound. The join is a left join only to spare the rows a null filter.
     """
     sums, lag, lead = dict(sums or {}), dict(lag or {}), dict(lead or {})
     ranges = ranges or find_ranges(df, keys)
     first = keys[0].as_double(df.schema[keys[0].name].dataType)
-    data = ranges.assign(df.select("*", *[v.cast("bigint").alias(f"_v_{n}") for n, v in sums.items()]))
-    cell = [*by, *ranges.columns]
 
-    totals = data.groupBy(*cell).agg(
+    def with_values(table: DataFrame, values: Mapping[str, Column]) -> DataFrame:
+        return ranges.assign(table.select("*", *[v.cast("bigint").alias(f"_v_{n}") for n, v in values.items()]))
+
+    data = with_values(df, sums)
+    cell = [*by, *ranges.columns]
+    totals = (with_values(*source) if source else data).groupBy(*cell).agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in sums],
         *[F.max_by(c, first).alias(f"_last_{n}") for n, c in lag.items()],
@@ -247,7 +255,7 @@ def running(
         *[F.lead(c).over(inside).alias(f"_c_{n}") for n, c in lead.items()],
         *[F.count(F.lit(1)).over(inside.rowsBetween(1, 1)).alias(f"_more_{n}") for n in lead],
     )
-    joined = local.join(F.broadcast(offsets), cell)
+    joined = local.join(F.broadcast(offsets), cell, "left")
     return joined.select(
         *[joined[c] for c in df.columns],
         (F.col("_rank") + F.col("_o_rank")).cast("bigint").alias("rank"),

@@ -108,24 +108,36 @@ def _measure(df: DataFrame, selections: Sequence[_Selection], ladder: Ladder, sc
         if s.lowest_chosen:  # a selection that reaches into the unscored rows has no threshold
             lowest = f"CASE WHEN count_if(_in{i} AND _score IS NULL) = 0 THEN min(CASE WHEN _in{i} THEN _score END) END"
             aggregates.append(F.expr(lowest).alias(f"_low{i}"))
-    positives, negatives = F.lit(ladder.total("positive")), F.lit(ladder.total("negative"))
-    rows = []
-    for i, s in enumerate(selections):
-        alerts, tp, fp = (F.col(f"_{c}{i}") for c in ("alerts", "tp", "fp"))
-        threshold = F.col(f"_low{i}") if s.lowest_chosen else F.lit(s.threshold).cast("double")
-        rows.append(
+    rows = F.array(
+        *[
             F.struct(
                 F.lit(s.mode).alias("mode"),
                 F.lit(float(s.budget)).alias("K_or_FPR"),
-                threshold.alias("threshold"),
-                ratio(tp, tp + fp).alias("precision"),
-                ratio(tp, positives).alias("recall"),
-                F.when(alerts == 0, F.lit(s.empty_fpr)).otherwise(ratio(fp, negatives)).alias("fpr"),
-                alerts.alias("alerts"),
-                ratio(alerts, F.col("_days")).alias("alerts_per_day"),
+                (F.col(f"_low{i}") if s.lowest_chosen else F.lit(s.threshold).cast("double")).alias("threshold"),
+                F.lit(float(s.empty_fpr)).alias("_empty_fpr"),
+                F.col(f"_alerts{i}").alias("alerts"),
+                F.col(f"_tp{i}").alias("_tp"),
+                F.col(f"_fp{i}").alias("_fp"),
             )
+            for i, s in enumerate(selections)
+        ]
+    )
+    alerts, tp, fp = F.col("alerts"), F.col("_tp"), F.col("_fp")
+    fpr = F.when(alerts == 0, F.col("_empty_fpr")).otherwise(ratio(fp, F.lit(ladder.total("negative"))))
+    return (
+        table.agg(*aggregates)
+        .select("_days", F.inline(rows))
+        .select(
+            "mode",
+            "K_or_FPR",
+            "threshold",
+            ratio(tp, tp + fp).alias("precision"),
+            ratio(tp, F.lit(ladder.total("positive"))).alias("recall"),
+            fpr.alias("fpr"),
+            "alerts",
+            ratio(alerts, F.col("_days")).alias("alerts_per_day"),
         )
-    return table.agg(*aggregates).select(F.inline(F.array(*rows)))
+    )
 
 
 def _empty(df: DataFrame) -> DataFrame:
