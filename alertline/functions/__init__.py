@@ -9,8 +9,8 @@ from alertline.functions.scalar import (
     lenient_timestamp,
     micros_literal,
     ratio,
+    sql_literal,
     strict_timestamp,
-    value_literal,
 )
 
 __all__ = [
@@ -22,6 +22,6 @@ __all__ = [
     "lenient_timestamp",
     "micros_literal",
     "ratio",
+    "sql_literal",
     "strict_timestamp",
-    "value_literal",
 ]

@@ -33,17 +33,21 @@ def to_micros(moment: str | datetime) -> int:
     return (delta.days * 86_400 + delta.seconds) * 1_000_000 + delta.microseconds
 
 
-def value_literal(value, dtype: T.DataType) -> Column:
-    """A constant of a column's type. Timestamps are given as epoch micros."""
+def sql_literal(value, dtype: T.DataType) -> str:
+    """SQL text of a constant of a column's type; it folds to a literal. Timestamps are given as epoch micros."""
+    kind = dtype.simpleString()
     if isinstance(dtype, (T.TimestampNTZType, T.TimestampType)):
-        return micros_literal(value).cast(dtype)
-    return F.lit(value).cast(dtype)
+        return f"CAST(timestamp_micros({value}L) AS {kind})"
+    if isinstance(value, str):
+        text = value.replace("\\", "\\\\").replace("'", "\\'")
+        return f"CAST('{text}' AS {kind})"
+    return f"CAST('{value!r}' AS {kind})"
 
 
 def anchored_time(seconds: Column, anchor: str = ANCHOR) -> Column:
     """Anchor date plus a number of seconds; a missing number becomes the anchor itself."""
-    micros = F.coalesce(seconds, F.lit(0)) * F.lit(1_000_000) + F.lit(to_micros(anchor))
-    return F.timestamp_micros(micros.cast("bigint")).cast("timestamp_ntz")
+    micros = F.round(F.coalesce(seconds.cast("double"), F.lit(0.0)) * 1e6).cast("bigint")
+    return F.timestamp_micros(micros + F.lit(to_micros(anchor))).cast("timestamp_ntz")
 
 
 def day_since(moment: Column, anchor: str = ANCHOR) -> Column:

@@ -127,20 +127,25 @@ class Calibrator:
         return Calibrator(row["kind"], model), json.loads(row["metadata"])
 
 
-def require_both_classes(df: DataFrame, y: str = "y") -> tuple[int, int]:
-    row = df.agg(F.count(F.lit(1)), F.count_if(F.col(y) == 1)).first()
-    if row[1] == 0 or row[1] == row[0]:
+def require_both_classes(blocks: DataFrame) -> int:
+    """Rows of a calibration window given as score blocks; fails unless both classes occur."""
+    rows, positives = blocks.agg(F.sum("blk_n"), F.sum("blk_tp")).first()
+    if not positives or positives == rows:
         raise ValueError("the calibration window lacks positives or negatives")
-    return row[0], row[1]
+    return rows
 
 
 def fit_isotonic(df: DataFrame, score: str = "score", y: str = "y") -> Calibrator:
-    """Non-decreasing step fit, clipped at the ends and linear between knots.
+    """Non-decreasing step fit, clipped at the ends and linear between knots."""
+    return isotonic_from_blocks(score_blocks(df, score, y), score)
 
-    Rows are collapsed to one weighted point per distinct score first. The estimator pools each
-    range of scores on its own, and only the pooled steps meet in one place.
+
+def isotonic_from_blocks(blocks: DataFrame, score: str = "score") -> Calibrator:
+    """The isotonic fit of one weighted point per distinct score.
+
+    The estimator pools each range of scores on its own, and only the pooled steps meet in one place.
     """
-    points = score_blocks(df, score, y).select(
+    points = blocks.select(
         F.col(score).cast("double").alias("features"),
         (F.col("blk_tp") / F.col("blk_n")).alias("label"),
         F.col("blk_n").cast("double").alias("weight"),
@@ -149,16 +154,22 @@ def fit_isotonic(df: DataFrame, score: str = "score", y: str = "y") -> Calibrato
 
 
 def fit_platt(df: DataFrame, score: str = "score", y: str = "y", c: float = 1.0) -> Calibrator:
-    """Logistic regression on the score with an L2 penalty of strength 1/c on the slope only.
+    """Logistic regression on the score with an L2 penalty of strength 1/c on the slope only."""
+    return platt_from_blocks(score_blocks(df, score, y), score, c)
+
+
+def platt_from_blocks(blocks: DataFrame, score: str = "score", c: float = 1.0) -> Calibrator:
+    """The logistic fit of up to two weighted points per distinct score.
 
     The penalty is stated per row in MLlib and for the whole table in the objective, hence 1 / (c n).
     """
-    scored = df.filter(F.col(score).isNotNull())
-    grouped = scored.groupBy(F.col(score).cast("double").alias("_s"), F.col(y).cast("double").alias("label")).agg(
-        F.count(F.lit(1)).cast("double").alias("weight")
+    classes = F.array(
+        F.struct(F.lit(1.0).alias("label"), F.col("blk_tp").cast("double").alias("weight")),
+        F.struct(F.lit(0.0).alias("label"), F.col("blk_fp").cast("double").alias("weight")),
     )
+    grouped = blocks.select(F.col(score).cast("double").alias("_s"), F.inline(classes)).filter("weight > 0")
     points = VectorAssembler(inputCols=["_s"], outputCol="features").transform(grouped)
-    rows = points.agg(F.sum("weight")).first()[0]
+    rows = blocks.agg(F.sum(F.col("blk_tp") + F.col("blk_fp"))).first()[0]
     model = LogisticRegression(
         regParam=1.0 / (c * rows),
         elasticNetParam=0.0,

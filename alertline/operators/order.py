@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alertline.functions.scalar import epoch_micros, value_literal
+from alertline.functions.scalar import epoch_micros, sql_literal
 
 MAX_RANGES = 2048  # ranges of the first key
 MAX_SUB_RANGES = 512  # ranges of a later key inside one frequent value
@@ -151,14 +151,14 @@ def find_ranges(df: DataFrame, keys: Sequence[Key], count: int | None = None) ->
     hot: list[tuple[float | None, ...]] = []
     for level, name in enumerate(names):
         cells = count if level == 0 else min(count, MAX_SUB_RANGES)
-        probabilities = [i / cells for i in range(1, cells)]
+        shares = ", ".join(f"{i / cells!r}D" for i in range(1, cells))
         prefix = names[:level]
         rows = data
         for column, values in zip(prefix, hot):
             rows = rows.filter(_one_of(column, values))
         fan = max(1, MAX_SKETCHES // len(groups))
         sketches = rows.groupBy(*prefix, (F.spark_partition_id() % fan).alias("_part")).agg(
-            F.percentile_approx(name, probabilities, SKETCH_ACCURACY).alias("_q"),
+            F.expr(f"percentile_approx({name}, array({shares}), {SKETCH_ACCURACY})").alias("_q"),
             F.count(F.lit(1)).alias("_n"),
             F.count(name).alias("_filled"),
         )
@@ -170,7 +170,7 @@ def find_ranges(df: DataFrame, keys: Sequence[Key], count: int | None = None) ->
         cuts: set[float] = set()
         frequent: dict[tuple, float] = {}
         for group, found in parts.items():
-            quantiles = _merge_quantiles(found, len(probabilities))
+            quantiles = _merge_quantiles(found, cells - 1)
             weight = groups[group] * sum(f for _, _, f in found) / sum(n for _, n, _ in found)
             if quantiles:
                 cuts.update(quantiles[:: max(1, int(len(quantiles) / max(weight, 1.0)))])
@@ -317,38 +317,36 @@ class Ladder:
         return {(n, p): self._found[(n, p)] for n, ps in positions.items() for p in ps if (n, p) in self._found}
 
     def _search(self, hits: Mapping[int, Mapping[str, Sequence[int]]], before: Mapping[str, np.ndarray]) -> None:
-        columns, names = self.ranges.columns, [k.name for k in self.keys]
-        chosen = F.lit(None).cast("int")
-        for cell in hits:
-            same = reduce(lambda a, b: a & b, [F.col(c) == int(self._cells[c][cell]) for c in columns])
-            chosen = F.when(same, F.lit(cell)).otherwise(chosen)
+        names = [k.name for k in self.keys]
+        used = sorted({n for by_name in hits.values() for n in by_name})
+        is_hit, is_wanted = [], []
+        for cell, by_name in hits.items():
+            same = " AND ".join(f"{c} = {self._cells[c][cell]}" for c in self.ranges.columns)
+            is_hit.append(f"WHEN {same} THEN {cell}")
+            for name, positions in by_name.items():
+                local = ", ".join(str(p - before[name][cell]) for p in positions)
+                is_wanted.append(f"(_hit = {cell} AND `_is_{name}` AND `_at_{name}` IN ({local}))")
         inside = Window.partitionBy("_hit").orderBy(*sort_columns(self.keys))
         so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        used = sorted({n for by_name in hits.values() for n in by_name})
         rows = (
-            self._rows.withColumn("_hit", chosen)
-            .filter(F.col("_hit").isNotNull())
+            self._rows.withColumn("_hit", F.expr(f"CASE {' '.join(is_hit)} END"))
+            .filter("_hit IS NOT NULL")
             .select(
                 "_hit",
                 *names,
                 *[f"_is_{n}" for n in used],
-                *[F.sum(F.col(f"_is_{n}").cast("bigint")).over(so_far).alias(f"_at_{n}") for n in used],
+                *[F.count_if(F.col(f"_is_{n}")).over(so_far).alias(f"_at_{n}") for n in used],
             )
+            .filter(" OR ".join(is_wanted))
         )
-        wanted = F.lit(False)
-        for cell, by_name in hits.items():
-            for name, positions in by_name.items():
-                local = [p - int(before[name][cell]) for p in positions]
-                wanted |= (F.col("_hit") == cell) & F.col(f"_is_{name}") & F.col(f"_at_{name}").isin(local)
         plain = [
             epoch_micros(F.col(n)).alias(n)
             if isinstance(self.df.schema[n].dataType, (T.TimestampNTZType, T.TimestampType))
             else F.col(n)
             for n in names
         ]
-        for row in rows.filter(wanted).select(
-            "_hit", *[f"_is_{n}" for n in used], *[f"_at_{n}" for n in used], *plain
-        ).collect():  # one row per wanted position
+        found = rows.select("_hit", *[f"_is_{n}" for n in used], *[f"_at_{n}" for n in used], *plain)
+        for row in found.collect():  # one row per wanted position
             values = tuple(row)[-len(names) :]
             for name, positions in hits[row["_hit"]].items():
                 position = row[f"_at_{name}"] + int(before[name][row["_hit"]])
@@ -362,15 +360,17 @@ def rows_at(df: DataFrame, keys: Sequence[Key], positions: Sequence[int]) -> dic
 
 
 def not_after(df: DataFrame, keys: Sequence[Key], row: Sequence, *, strict: bool = False) -> Column:
-    """Predicate: a row stands at or before ``row`` (strictly before, if ``strict``) in the order."""
-    result = F.lit(not strict)
+    """Predicate: a row stands at or before ``row`` (strictly before, if ``strict``) in the order.
+
+    It is never null, and its parts are plain comparisons with constants, which a scan can use.
+    """
+    text = "false" if strict else "true"
     for key, value in reversed(list(zip(keys, row))):
-        column = F.col(key.name)
+        name = f"`{key.name}`"
         if value is None:
-            ahead, same = column.isNotNull(), column.isNull()
-        else:
-            constant = value_literal(value, df.schema[key.name].dataType)
-            ahead = F.coalesce(column > constant if key.descending else column < constant, F.lit(False))
-            same = column.eqNullSafe(constant)
-        result = ahead | (same & result)
-    return result
+            text = f"({name} IS NOT NULL OR {text})"
+            continue
+        constant = sql_literal(value, df.schema[key.name].dataType)
+        ahead = f"{name} IS NOT NULL AND {name} {'>' if key.descending else '<'} {constant}"
+        text = f"(({ahead}) OR ({name} <=> {constant} AND {text}))"
+    return F.expr(text)

@@ -14,13 +14,15 @@ from alertline.operators.calibration import (
     Calibrator,
     calibration_metrics,
     choose_calibrator,
-    fit_isotonic,
-    fit_platt,
+    isotonic_from_blocks,
+    platt_from_blocks,
     require_both_classes,
 )
+from alertline.operators.curves import score_blocks
 from alertline.operators.points import fpr_rows, operating_points, topk_table
 from alertline.operators.quality import enforce, probability_checks, require_columns
 from alertline.operators.splits import positional_split
+from alertline.session import stored
 from alertline.sources.sinks import upsert_points, write_csv, write_parquet
 from alertline.sources.tables import CALIBRATED_SCORES
 
@@ -59,11 +61,13 @@ def calibrate(scores: DataFrame) -> Calibration:
     """Fit both calibrators on the first 80% by time, measure them on the rest, choose one."""
     split = positional_split(typed_scores(scores))
     train, hold = (side.filter(F.col("score").isNotNull()) for side in (split.head, split.tail))
-    rows, _ = require_both_classes(train)
-    isotonic, platt = fit_isotonic(train), fit_platt(train)
-    metrics = calibration_metrics(with_calibrated(hold, isotonic, platt), ["raw", "isotonic", "platt"])
+    blocks = stored(score_blocks(train), "blocks")
+    rows = require_both_classes(blocks)
+    isotonic, platt = isotonic_from_blocks(blocks), platt_from_blocks(blocks)
+    calibrated = stored(with_calibrated(hold, isotonic, platt), "holdout")
+    metrics = calibration_metrics(calibrated, ["raw", "isotonic", "platt"])
     kind = choose_calibrator(metrics["raw"], metrics["isotonic"], metrics["platt"])
-    bounds = [side.agg(F.min("time"), F.max("time"), F.count(F.lit(1))).first() for side in (train, hold)]
+    bounds = [side.agg(F.min("time"), F.max("time"), F.count(F.lit(1))).first() for side in (train, calibrated)]
     fitted_on = {
         "train_time_start": str(bounds[0][0]),
         "train_time_end": str(bounds[0][1]),
