@@ -278,6 +278,9 @@ class Ladder:
     ``counters`` are extra predicates that are counted along (``row`` counts every row), so
     "the 100th row" and "the 7th negative" are both positions. The counts are one small
     aggregation; it is collected, as its size is bounded by the number of ranges.
+
+    With a single key, rows with equal keys need no order among them: they are counted per
+    value before anything is shuffled.
     """
 
     def __init__(self, df: DataFrame, keys: Sequence[Key], counters: Mapping[str, Column] | None = None):
@@ -324,34 +327,33 @@ class Ladder:
             same = " AND ".join(f"{c} = {self._cells[c][cell]}" for c in self.ranges.columns)
             is_hit.append(f"WHEN {same} THEN {cell}")
             for name, positions in by_name.items():
-                local = ", ".join(str(p - before[name][cell]) for p in positions)
-                is_wanted.append(f"(_hit = {cell} AND `_is_{name}` AND `_at_{name}` IN ({local}))")
+                for p in positions:  # the step that reaches the position
+                    local = p - before[name][cell]
+                    is_wanted.append(f"(_hit = {cell} AND `_at_{name}` >= {local} AND `_at_{name}` - `_step_{name}` < {local})")
         inside = Window.partitionBy("_hit").orderBy(*sort_columns(self.keys))
         so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        rows = (
-            self._rows.withColumn("_hit", F.expr(f"CASE {' '.join(is_hit)} END"))
-            .filter("_hit IS NOT NULL")
-            .select(
-                "_hit",
-                *names,
-                *[f"_is_{n}" for n in used],
-                *[F.count_if(F.col(f"_is_{n}")).over(so_far).alias(f"_at_{n}") for n in used],
-            )
-            .filter(" OR ".join(is_wanted))
-        )
+        rows = self._rows.withColumn("_hit", F.expr(f"CASE {' '.join(is_hit)} END")).filter("_hit IS NOT NULL")
+        if len(self.keys) == 1:
+            steps = rows.groupBy("_hit", *names).agg(*[F.count_if(f"_is_{n}").alias(f"_step_{n}") for n in used])
+        else:
+            steps = rows.select("_hit", *names, *[F.col(f"_is_{n}").cast("bigint").alias(f"_step_{n}") for n in used])
+        stairs = steps.select("*", *[F.sum(f"_step_{n}").over(so_far).alias(f"_at_{n}") for n in used])
         plain = [
             epoch_micros(F.col(n)).alias(n)
             if isinstance(self.df.schema[n].dataType, (T.TimestampNTZType, T.TimestampType))
             else F.col(n)
             for n in names
         ]
-        found = rows.select("_hit", *[f"_is_{n}" for n in used], *[f"_at_{n}" for n in used], *plain)
-        for row in found.collect():  # one row per wanted position
+        found = stairs.filter(" OR ".join(is_wanted)).select(
+            "_hit", *[f"_step_{n}" for n in used], *[f"_at_{n}" for n in used], *plain
+        )
+        for row in found.collect():  # at most one row per wanted position
             values = tuple(row)[-len(names) :]
             for name, positions in hits[row["_hit"]].items():
-                position = row[f"_at_{name}"] + int(before[name][row["_hit"]])
-                if row[f"_is_{name}"] and position in positions:
-                    self._found[(name, position)] = values
+                end = row[f"_at_{name}"] + int(before[name][row["_hit"]])
+                for p in positions:
+                    if end - row[f"_step_{name}"] < p <= end:
+                        self._found[(name, p)] = values
 
 
 def rows_at(df: DataFrame, keys: Sequence[Key], positions: Sequence[int]) -> dict[int, tuple]:

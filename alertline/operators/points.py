@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from alertline.functions.scalar import ratio
 from alertline.operators.curves import TIE_WIDTH, negative, positive, tie_block_staircase
-from alertline.operators.order import Ladder, alert_order, not_after
+from alertline.operators.order import Ladder, alert_order, desc, not_after
 
 K_PERCENT = (0.5, 1.0, 2.0, 5.0)
 FPR_PERCENT = (0.1, 0.5, 1.0, 2.0)
@@ -59,10 +59,13 @@ def allowed_negatives(budget: float, negatives: int) -> int:
     return most
 
 
-def alert_ladder(df: DataFrame, score: str = "score", y: str = "y") -> Ladder:
-    """Rows, positives, negatives and scored rows along the alert order."""
+def alert_ladder(df: DataFrame, score: str = "score", y: str = "y", whole_blocks: bool = False) -> Ladder:
+    """Rows, positives, negatives and scored rows along the alert order.
+
+    Where only whole score blocks matter, the order among equal scores is left out.
+    """
     counters = {"positive": positive(y), "negative": negative(y), "scored": F.col(score).isNotNull()}
-    return Ladder(df, alert_order(score), counters)
+    return Ladder(df, [desc(score)] if whole_blocks else alert_order(score), counters)
 
 
 def flag_topk(df: DataFrame, percent: float, score: str = "score") -> DataFrame:
@@ -227,7 +230,7 @@ def recall_at_fpr(
 ) -> DataFrame:
     """Highest recall on the ROC curve (whole score blocks) with FPR within each target."""
     scored = df.filter(F.col(score).isNotNull())
-    ladder = alert_ladder(scored, score, y)
+    ladder = alert_ladder(scored, score, y, whole_blocks=True)
     hits, rows = [], []
     for i, (t, end) in enumerate(zip(targets, _excess_rows(ladder, targets))):
         chosen = F.lit(True) if end is None else F.col(score) > F.lit(end[0])
@@ -266,7 +269,7 @@ def _block_selections(
     """
     negatives = ladder.total("negative")
     if ladder.total("scored") == 0:
-        first = ladder.find(row=[1], negative=[1])
+        first = alert_ladder(df, score, y).find(row=[1], negative=[1])
         starts_negative = first.get(("negative", 1)) == first.get(("row", 1))
         return [
             _Selection("fpr", p, F.lit(False), empty_fpr=ratio_of(int(starts_negative), negatives)) for p in percents
@@ -312,7 +315,7 @@ def fpr_blocks(
     width: float = TIE_WIDTH,
 ) -> DataFrame:
     """Per FPR budget the lowest threshold within it, where a threshold never cuts (nearly) equal scores apart."""
-    ladder = alert_ladder(df, score, y)
+    ladder = alert_ladder(df, score, y, whole_blocks=True)
     if ladder.total() == 0:
         return _empty(df)
     return _measure(df, _block_selections(df, ladder, percents, score, y, width), ladder, score, y)
