@@ -275,22 +275,34 @@ def _block_selections(
             _Selection("fpr", p, F.lit(False), empty_fpr=ratio_of(int(starts_negative), negatives)) for p in percents
         ]
     value = F.col(score).cast("double")
-    floors = [None if e is None else e[0] for e in _excess_rows(ladder, [p / 100.0 for p in percents])]
-    above = df.agg(
-        *[
-            F.min(value if f is None else F.when(value > F.lit(float(f)), value)).alias(f"_t{i}")
-            for i, f in enumerate(floors)
-        ]
-    ).first()
-    close = [f is not None and (t is None or t - f <= width) for f, t in zip(floors, above)]
-    thresholds, top_fp = list(above), 0
-    if any(close):
+    excess = _excess_rows(ladder, [p / 100.0 for p in percents])
+    floors = [None if e is None or e[0] is None else float(e[0]) for e in excess]
+    around = []
+    for i, f in enumerate(floors):
+        if f is None:  # every scored row is affordable
+            around += [F.min(value).alias(f"up{i}"), F.lit(None).alias(f"down{i}"), F.lit(0).alias(f"at{i}")]
+        else:
+            around += [
+                F.min(F.when(value > F.lit(f), value)).alias(f"up{i}"),
+                F.max(F.when(value < F.lit(f), value)).alias(f"down{i}"),
+                F.count_if((value == F.lit(f)) & negative(y)).alias(f"at{i}"),
+            ]
+    seen = df.agg(*around).first()
+    thresholds, top_fp, close = [], 0, False
+    for i, f in enumerate(floors):
+        up, down = seen[f"up{i}"], seen[f"down{i}"]
+        thresholds.append(up)
+        if up is not None:
+            close |= f is not None and up - f <= width
+        else:  # the excess negative has the highest score of all
+            top_fp = seen[f"at{i}"]
+            close |= down is not None and f - down <= width
+    if close:
         stairs = tie_block_staircase(df, score, y, width)
-        step = F.struct(value.alias("threshold"), "cum_fp")
         ends = stairs.agg(
-            F.max(step).alias("top"),
+            F.max(F.struct(value.alias("threshold"), "cum_fp")).alias("top"),
             *[
-                F.min(F.when(value > F.lit(float(f)), value) if f is not None else value).alias(f"_t{i}")
+                F.min(value if f is None else F.when(value > F.lit(f), value)).alias(f"_t{i}")
                 for i, f in enumerate(floors)
             ],
         ).first()
