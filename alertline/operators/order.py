@@ -30,7 +30,7 @@ from alertline.functions.scalar import epoch_micros, sql_literal
 MAX_RANGES = 2048  # ranges of the first key
 MAX_SUB_RANGES = 512  # ranges of a later key inside one frequent value
 HOT_WEIGHT = 4.0  # a value filling this many ranges is cut again along the next key
-SKETCH_ACCURACY = 20_000
+SKETCH_PER_RANGE = 10  # sketch resolution: a tenth of a range
 MAX_SKETCHES = 128
 
 
@@ -158,7 +158,7 @@ def find_ranges(df: DataFrame, keys: Sequence[Key], count: int | None = None) ->
             rows = rows.filter(_one_of(column, values))
         fan = max(1, MAX_SKETCHES // len(groups))
         sketches = rows.groupBy(*prefix, (F.spark_partition_id() % fan).alias("_part")).agg(
-            F.expr(f"percentile_approx({name}, array({shares}), {SKETCH_ACCURACY})").alias("_q"),
+            F.expr(f"percentile_approx({name}, array({shares}), {SKETCH_PER_RANGE * cells})").alias("_q"),
             F.count(F.lit(1)).alias("_n"),
             F.count(name).alias("_filled"),
         )

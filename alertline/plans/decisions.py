@@ -86,12 +86,18 @@ def save_calibration(calibration: Calibration, path: str, spark: SparkSession, r
     )
 
 
-def decide(scores: DataFrame, calibrator: Calibrator, run_id: str, run_folder: str, points_path: str) -> DataFrame:
-    """Apply a calibrator, check and store the probabilities, and update the operating points of the run."""
+def decide(
+    scores: DataFrame, calibrator: Calibrator, run_id: str, run_folder: str, points_path: str, window: str = "full"
+) -> DataFrame:
+    """Apply a calibrator, check and store the probabilities, and update the operating points of the run.
+
+    The full window includes the rows the calibrator was fitted on; ``holdout`` is the last 20% by time.
+    """
     typed = typed_scores(scores).filter(F.col("score").isNotNull())
     path = write_parquet(calibrator.transform(typed), f"{run_folder}/{CALIBRATED_SCORES}.parquet")
     calibrated = scores.sparkSession.read.parquet(path)
     enforce(probability_checks(calibrated))
-    points = operating_points(calibrated, run_id, calibrator.kind, "full")
+    rows = positional_split(calibrated).tail if window == "holdout" else calibrated
+    points = operating_points(rows, run_id, calibrator.kind, window)
     upsert_points(points, points_path)
     return points

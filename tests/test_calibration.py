@@ -11,6 +11,7 @@ from alertline.operators.curves import score_blocks
 from alertline.operators.quality import QualityError, enforce, monotone_drops, probability_checks
 from alertline.plans import decisions
 from alertline.session import scratch_path
+from alertline.sources import sinks
 
 
 @pytest.fixture(scope="module")
@@ -130,6 +131,10 @@ def test_from_scores_to_decisions(spark, df):
     folder = scratch_path(spark, "run")
     points = decisions.decide(df, fitted.chosen, "run_1", folder, f"{folder}/points")
     assert points.count() == 8
+    late = decisions.decide(df, fitted.chosen, "run_1", folder, f"{folder}/points", window="holdout")
+    assert late.agg(F.max("alerts")).first()[0] < points.agg(F.max("alerts")).first()[0]
+    stored = sinks.read_points(spark, f"{folder}/points").groupBy("window").count().collect()
+    assert {tuple(r) for r in stored} == {("full", 8), ("holdout", 8)}
     decisions.save_calibration(fitted, f"{folder}/calibrator", spark, "run_1")
     assert Calibrator.load(f"{folder}/calibrator", spark)[1]["fitted_on"]["n_train"] == 1200
     topk, fpr = decisions.baseline_tables(df, folder)

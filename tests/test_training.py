@@ -63,6 +63,19 @@ def test_preparation_equals_pandas(spark, sides):
         assert unseen[c] == len(set(val[c].dropna()) - set(train[c].dropna()))
 
 
+def test_codes_beyond_the_broadcast_limit(sides, monkeypatch):
+    small = sides.prep.encode(sides.val, ["TransactionID"])
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(prep, "BROADCAST_LIMIT", 10)
+    sides.val.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = sides.prep.encode(sides.val, ["TransactionID"])
+        assert "BroadcastHashJoin" not in large._jdf.queryExecution().executedPlan().toString()
+        assert large.exceptAll(small).isEmpty() and large.count() == 2_000
+    finally:
+        sides.val.sparkSession.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_saved_preparation(spark, sides):
     path = scratch_path(spark, "prep")
     fitted = prep.fit_prep(sides.train, sides.prep.numeric, sides.prep.categorical, path)
@@ -81,7 +94,7 @@ def test_category_order_of_any_text(spark):
 
 def test_mode_ties_and_empty_columns(spark):
     df = spark.createDataFrame([("b", None, 1.0, None), ("a", None, 2.0, None)], "t string, e string, n double, m double")
-    assert prep.modes(prep.value_counts(df, ["t", "e"])) == {"t": "a"}
+    assert prep.modes(prep.value_counts(df, ["t", "e"])) == {"t": ("a", 2 * (prep.ENTRY_BYTES + 1))}
     assert prep.medians(df, ["n", "m"]) == {"n": 1.5, "m": None}
     fitted = prep.fit_prep(df, ["n", "m"], ["t", "e"])
     assert fitted.feature_names == ["num__n", "cat__t"]
