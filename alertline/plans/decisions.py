@@ -23,7 +23,7 @@ from alertline.operators.points import fpr_rows, operating_points, topk_table
 from alertline.operators.quality import enforce, probability_checks, require_columns
 from alertline.operators.splits import positional_split
 from alertline.session import stored
-from alertline.sources.sinks import upsert_points, write_csv, write_parquet
+from alertline.sources.sinks import read_points, upsert_points, write_csv, write_parquet
 from alertline.sources.tables import CALIBRATED_SCORES
 
 SCORE_COLUMNS = ("id", "time", "y", "score")
@@ -98,6 +98,9 @@ def decide(
     calibrated = scores.sparkSession.read.parquet(path)
     enforce(probability_checks(calibrated))
     rows = positional_split(calibrated).tail if window == "holdout" else calibrated
-    points = operating_points(rows, run_id, calibrator.kind, window)
-    upsert_points(points, points_path)
-    return points
+    upsert_points(operating_points(rows, run_id, calibrator.kind, window), points_path)
+    key = {"run_id": run_id, "calibrator": calibrator.kind, "window": window}
+    stored_points = read_points(scores.sparkSession, points_path)
+    for name, value in key.items():
+        stored_points = stored_points.filter(F.col(name) == value)
+    return stored_points
