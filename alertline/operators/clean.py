@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ STRING_SENTINEL = "missing"
 NUMERIC_SENTINELS = (-1, -999)
 
 SPARSE_LIMIT = 0.90
+CHUNK = 40  # columns of one wide aggregation
 NOT_FEATURES = (
     "TransactionID",
     "TransactionID_1",
@@ -32,56 +34,68 @@ def _is_number(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.NumericType)
 
 
+def _replace(df: DataFrame, tests: Callable[[T.StructField], Column | None]) -> DataFrame:
+    """Null wherever the test of a column holds, all columns in one projection."""
+    columns = []
+    for field in df.schema:
+        column, missing = F.col(f"`{field.name}`"), tests(field)
+        columns.append(column if missing is None else F.when(~missing, column).alias(field.name))
+    return df.select(*columns)
+
+
+def _is_nan(field: T.StructField) -> Column | None:
+    return F.isnan(F.col(f"`{field.name}`")) if isinstance(field.dataType, (T.DoubleType, T.FloatType)) else None
+
+
+def _is_text_sentinel(field: T.StructField) -> Column | None:
+    return F.col(f"`{field.name}`") == STRING_SENTINEL if isinstance(field.dataType, T.StringType) else None
+
+
+def _is_number_sentinel(field: T.StructField) -> Column | None:
+    return F.col(f"`{field.name}`").isin(*NUMERIC_SENTINELS) if _is_number(field.dataType) else None
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN is a missing value in the sources; in Spark it would count, average and sort as a value."""
-    floats = (T.DoubleType, T.FloatType)
-    return df.select(
-        *[
-            F.when(~F.isnan(f.name), F.col(f.name)).alias(f.name) if isinstance(f.dataType, floats) else F.col(f.name)
-            for f in df.schema
-        ]
-    )
+    return _replace(df, _is_nan)
 
 
-def drop_string_sentinel(df: DataFrame, sentinel: str = STRING_SENTINEL) -> DataFrame:
+def drop_string_sentinel(df: DataFrame) -> DataFrame:
     """Null instead of the sentinel text (exact match) in every string column."""
-    return df.select(
-        *[
-            F.when(F.col(f.name) != sentinel, F.col(f.name)).alias(f.name)
-            if isinstance(f.dataType, T.StringType)
-            else F.col(f.name)
-            for f in df.schema
-        ]
-    )
+    return _replace(df, _is_text_sentinel)
 
 
-def drop_numeric_sentinels(df: DataFrame, sentinels: Sequence[float] = NUMERIC_SENTINELS) -> DataFrame:
+def drop_numeric_sentinels(df: DataFrame) -> DataFrame:
     """Null instead of the sentinel numbers in every numeric column, key and label included."""
-    return df.select(
-        *[
-            F.when(~F.col(f.name).isin(list(sentinels)), F.col(f.name)).alias(f.name)
-            if _is_number(f.dataType)
-            else F.col(f.name)
-            for f in df.schema
-        ]
-    )
+    return _replace(df, _is_number_sentinel)
 
 
 def clean(df: DataFrame) -> DataFrame:
     """All encodings of "missing" become null."""
-    return drop_numeric_sentinels(drop_string_sentinel(nan_to_null(df)))
+
+    def any_of(field: T.StructField) -> Column | None:
+        tests = [t for t in (_is_nan(field), _is_text_sentinel(field), _is_number_sentinel(field)) if t is not None]
+        return reduce(lambda x, y: x | y, tests) if tests else None
+
+    return _replace(df, any_of)
+
+
+def column_chunks(columns: Sequence[str], size: int = CHUNK) -> list[list[str]]:
+    """Groups of columns small enough for one generated aggregation; each scans its own columns only."""
+    return [list(columns[i : i + size]) for i in range(0, len(columns), size)]
 
 
 def missing_rates(df: DataFrame) -> dict[str, float]:
-    """Share of nulls per column, from one aggregation over all columns."""
-    columns = df.columns
-    counts = df.agg(
-        F.count(F.lit(1)).alias("_rows"), *[F.count(F.col(f"`{c}`")).alias(f"_c{i}") for i, c in enumerate(columns)]
-    ).first()
-    rows = counts["_rows"]
-    if rows == 0:
-        return {}
-    return {c: (rows - counts[f"_c{i}"]) / rows for i, c in enumerate(columns)}
+    """Share of nulls per column. Each column is read once."""
+    rates: dict[str, float] = {}
+    for chunk in column_chunks(df.columns):
+        counts = df.agg(
+            F.count(F.lit(1)).alias("_rows"), *[F.count(F.col(f"`{c}`")).alias(f"_c{i}") for i, c in enumerate(chunk)]
+        ).first()
+        if counts["_rows"] == 0:
+            return {}
+        rates.update({c: (counts["_rows"] - counts[f"_c{i}"]) / counts["_rows"] for i, c in enumerate(chunk)})
+    return rates
 
 
 def sparse_columns(df: DataFrame, limit: float = SPARSE_LIMIT) -> list[str]:

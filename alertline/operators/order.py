@@ -63,7 +63,10 @@ def asc(name: str) -> Key:
 
 
 def alert_order(score: str = "score", time: str = "time", id: str = "id") -> list[Key]:
-    """The deterministic alert order: highest score first, then earliest, then smallest id."""
+    """The deterministic alert order: highest score first, then earliest, then smallest id.
+
+    It is total if ids are unique, which ``quality.score_checks`` verifies.
+    """
     return [desc(score), asc(time), asc(id)]
 
 
@@ -206,7 +209,7 @@ def running(
     Adds ``rank`` (from 1), ``cum_<name>`` and ``all_<name>`` (the grand total) for each
     entry of ``sums``, ``n_rows``, and for ``lag``/``lead`` ``{new: column}`` the value on
     the neighbouring row. ``lag``/``lead`` need the first key to be unique. ``by`` keeps one order
-    per group. If ``df`` is itself an aggregate, ``source`` may name the rows it came from and
+    per group, of which there may be a few hundred (columns, iterations). If ``df`` is itself an aggregate, ``source`` may name the rows it came from and
     their contribution to each sum, so that the range totals need not wait for that aggregate
     (``rank`` and ``n_rows`` are then counted in source rows and of no use).
 

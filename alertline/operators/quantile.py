@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from alertline.operators.clean import column_chunks
+
 SMALL_BRACKET = 1_000_000  # rows that may be counted value by value and ordered in one task
 SKETCH_ACCURACY = 2_000
 SKETCH_MARGIN = 2e-3
@@ -54,8 +56,16 @@ def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dic
 
     A long column is narrowed to a small value range by sketches first. Each narrowing is checked by
     exact counts, so the sketch decides how much work remains and not what the answer is. The values
-    left in the range are then counted and ordered per column.
+    left in the range are then counted and ordered per column. Wide tables are handled some columns
+    at a time, each group reading its own columns only.
     """
+    result: dict[str, list[float | None]] = {}
+    for chunk in column_chunks(list(wanted)):
+        result.update(_chunk_quantiles(df, {c: wanted[c] for c in chunk}))
+    return result
+
+
+def _chunk_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[str, list[float | None]]:
     names = [c for c, qs in wanted.items() if qs]
     if not names:
         return {c: [] for c in wanted}

@@ -16,6 +16,7 @@ from alertline.operators.prep import Prep, fit_prep, unseen_categories
 from alertline.operators.profile import class_balance, missing_profile
 from alertline.operators.quality import enforce, score_checks, split_checks, table_checks
 from alertline.operators.splits import split_report, time_cut, time_split
+from alertline.session import stored
 from alertline.sources.sinks import write_parquet
 from alertline.sources.tables import create_joined_view, fingerprint, load_csv, load_dataset, load_joined
 
@@ -32,8 +33,11 @@ def ingest(spark: SparkSession, raw: dict[str, str], store: str) -> None:
 
 
 def prepare(spark: SparkSession, out: str, limit: int | None = None) -> DataFrame:
-    """The cleaned table: joined rows without sparse columns, with time features."""
-    table = add_time_features(drop_sparse(load_joined(spark, limit=limit)))
+    """The cleaned table: joined rows without sparse columns, with time features.
+
+    The joined rows are stored first, as the missing rates are counted some columns at a time.
+    """
+    table = add_time_features(drop_sparse(stored(load_joined(spark, limit=limit), "joined")))
     write_parquet(table, out)
     return load_dataset(spark, out)
 

@@ -63,17 +63,18 @@ def test_preparation_equals_pandas(spark, sides):
         assert unseen[c] == len(set(val[c].dropna()) - set(train[c].dropna()))
 
 
-def test_codes_beyond_the_broadcast_limit(sides, monkeypatch):
-    small = sides.prep.encode(sides.val, ["TransactionID"])
-    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
-    monkeypatch.setattr(prep, "BROADCAST_LIMIT", 10)
-    sides.val.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        large = sides.prep.encode(sides.val, ["TransactionID"])
-        assert "BroadcastHashJoin" not in large._jdf.queryExecution().executedPlan().toString()
-        assert large.exceptAll(small).isEmpty() and large.count() == 2_000
-    finally:
-        sides.val.sparkSession.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+def test_codes_beyond_the_lookup_limit(spark, sides, monkeypatch):
+    """With a limit of nothing all columns are joined, with the same codes."""
+    path = scratch_path(spark, "prep")
+    small = prep.fit_prep(sides.train, sides.prep.numeric, sides.prep.categorical, path)
+    assert set(small.labels) == set(small.categorical)
+    monkeypatch.setattr(prep, "LOOKUP_LIMIT", 0)
+    large = prep.Prep.load(spark, path)
+    assert large.labels == {}
+    got, want = (p.encode(sides.val, ["TransactionID"]) for p in (large, small))
+    assert "Join" in got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in want._jdf.queryExecution().executedPlan().toString()
+    assert got.exceptAll(want).isEmpty() and got.count() == 2_000
 
 
 def test_saved_preparation(spark, sides):
