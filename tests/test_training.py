@@ -63,18 +63,18 @@ def test_preparation_equals_pandas(spark, sides):
         assert unseen[c] == len(set(val[c].dropna()) - set(train[c].dropna()))
 
 
-def test_codes_beyond_the_lookup_limit(spark, sides, monkeypatch):
-    """With a limit of nothing all columns are joined, with the same codes."""
+def test_codes_of_every_size(spark, sides, monkeypatch):
+    """Looked up, broadcast or joined by shuffle: the codes are the same."""
     path = scratch_path(spark, "prep")
-    small = prep.fit_prep(sides.train, sides.prep.numeric, sides.prep.categorical, path)
-    assert set(small.labels) == set(small.categorical)
-    monkeypatch.setattr(prep, "LOOKUP_LIMIT", 0)
-    large = prep.Prep.load(spark, path)
-    assert large.labels == {}
-    got, want = (p.encode(sides.val, ["TransactionID"]) for p in (large, small))
-    assert "Join" in got._jdf.queryExecution().executedPlan().toString()
-    assert "Join" not in want._jdf.queryExecution().executedPlan().toString()
-    assert got.exceptAll(want).isEmpty() and got.count() == 2_000
+    fitted = prep.fit_prep(sides.train, sides.prep.numeric, sides.prep.categorical, path)
+    assert set(fitted.labels) == {"ProductCD"}  # DeviceInfo has about 1,500 values
+    want = fitted.encode(sides.val, ["TransactionID"])
+    for lookup, broadcast in ((10**9, 0), (0, 10**9), (0, 0)):
+        monkeypatch.setattr(prep, "LOOKUP_LIMIT", lookup)
+        monkeypatch.setattr(prep, "BROADCAST_LIMIT", broadcast)
+        got = prep.Prep.load(spark, path).encode(sides.val, ["TransactionID"])
+        assert ("Join" in got._jdf.queryExecution().executedPlan().toString()) == (lookup == 0)
+        assert got.exceptAll(want).isEmpty() and got.count() == 2_000
 
 
 def test_saved_preparation(spark, sides):
