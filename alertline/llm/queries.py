@@ -7,7 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alertline.llm.fingerprints import hex_string, with_fingerprint, with_next_document, with_resemblance
+from alertline.llm.lines import quality_verdict
+from alertline.llm.mixing import mix, taken
 from alertline.llm.neardup import near_duplicates
+from alertline.llm.packing import pack, token_pieces
+from alertline.llm.records import document_spans, write_records
+from alertline.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,7 +28,71 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """Where the installed vocabulary files are."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and their likeness to the next document's."""
+    docs = table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = with_next_document(
+        docs, ["text", "fingerprint"], derive=lambda df: with_fingerprint(df, "text", "fingerprint")
+    )
+    n = F.char_length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
+    docs = docs.withColumn("n_chars", n.cast("long")).withColumn("edited", edited)
+    docs = with_fingerprint(docs.drop("text", "next_text"), "edited", "edited_fingerprint")
+    docs = with_resemblance(docs, "fingerprint", "edited_fingerprint", "near_edited")
+    docs = with_resemblance(docs, "fingerprint", "next_fingerprint", "near_next")
+    return docs.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        hex_string("fingerprint").alias("fingerprint"),
+        hex_string("edited_fingerprint").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
+@query
+def op2_token_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Write all documents as token records, and read spans and checksums back from the files."""
+    store = scratch_path(spark, "records")
+    index = write_records(
+        table(spark, folder, "documents"), store, tokenizer("word_bpe_49k.json"), drops_spaces=True, end_id=2
+    )
+    return document_spans(spark, store, index)
+
+
 @query
 def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     return near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op4_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """How often the mix takes each of all documents."""
+    mixed = mix(table(spark, folder, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", taken(mixed).cast("long").alias("taken"))
+
+
+@query
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Base counts and the verdict of the line rules for all documents."""
+    judged = quality_verdict(table(spark, folder, "documents").select("doc_id", "text"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select("doc_id", *counts, "base_failed", "kept", "lost_share")
+
+
+@query
+def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Place the token pieces of all documents in sequences of 2048."""
+    pieces = token_pieces(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0)
+    return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
