@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertline.llm.fingerprints import hex_string, with_fingerprint, with_next_document, with_resemblance
+from alertline.llm.licenses import scan_licenses
 from alertline.llm.lines import quality_verdict
 from alertline.llm.mixing import mix, taken
 from alertline.llm.neardup import near_duplicates
 from alertline.llm.packing import pack, token_pieces
 from alertline.llm.records import document_spans, write_records
+from alertline.llm.rules import HELD_OUT_FOLD, fold, score_quality, train
+from alertline.llm.toolcalls import calls_of_turns, link_calls
+from alertline.llm.warc import read_archives, write_archives
 from alertline.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,8 +95,39 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept", "lost_share")
 
 
+@query
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Write all pages to WARC archives, and read the records back."""
+    store = scratch_path(spark, "warc")
+    manifest = write_archives(table(spark, folder, "pages"), store)
+    records = read_archives(spark, store, manifest)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality scores of all documents by a rule ensemble fitted outside the held-out fold."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, folder, "labels").select("doc_id", "quality"))
+    held_out = (fold() == HELD_OUT_FOLD).alias("held_out")
+    return score_quality(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
+@query
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence templates in all documents."""
+    return scan_licenses(table(spark, folder, "documents"))
+
+
 @query
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Place the token pieces of all documents in sequences of 2048."""
     pieces = token_pieces(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0)
     return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+@query
+def op10_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Tool calls that stand for the turns of all conversations, linked, ordered and serialised."""
+    calls, results = calls_of_turns(table(spark, folder, "conversations"))
+    return link_calls(calls, results)

@@ -58,7 +58,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, drops_spaces: bo
                     ids = [x + end for x in encode(some.column("text").to_pylist())]
                     doc_ids = some.column("doc_id").to_pylist()
                     framed = frame([struct.pack(_HEAD, d is not None, d or 0) + x for d, x in zip(doc_ids, ids, strict=True)])
-                    out = out or files.open_output_stream(f"{path}/{name}")
+                    out = out or files.open_output_stream(f"{path}/{name}", compression=None)
                     out.write(b"".join(framed))
                     lengths = np.array([len(f) for f in framed], np.int64)
                     offsets = offset + np.cumsum(lengths) - lengths
