@@ -37,14 +37,14 @@ BOILERPLATE = (
     "use of cookies",
 )
 
-_SENTENCE_END = r"[.!?…。！？؟।](?=[\"'”’»)\]]*(\s|$))"
+_SENTENCE_END = r"[.!?…。！？؟।][\"'”’»)\]]*(\s|$)"
 _SEPARATORS = r"[|»›•·]|->|>>"
 
 
 def failing(line: Column) -> dict[str, Column]:
     """The rules of a line; one that holds is enough to remove it."""
     n = F.greatest(F.size(words(line)), F.lit(1))
-    shouted = (F.upper(line) == line) & (F.lower(line) != line)
+    shouted = line.rlike(r"\p{Lu}") & ~line.rlike(r"\p{Ll}")
     return {
         "punctuation": ~line.rlike(_SENTENCE_END),
         "navigation": F.regexp_count(line, F.lit(_SEPARATORS)) >= MIN_SEPARATORS,

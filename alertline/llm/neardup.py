@@ -37,7 +37,9 @@ _U = np.uint64
 _FACTORS = mix(np.arange(1, SYMBOLS + 1, dtype=_U)) | _U(1)
 
 
-def near_duplicates(docs: DataFrame, threshold_percent: int = THRESHOLD_PERCENT) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, threshold_percent: int = THRESHOLD_PERCENT, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
     """Link documents whose sets of 5-word shingles have 100 * intersection >= threshold * union.
 
     Reads ``doc_id`` and ``text`` and returns ``doc_id``, ``n_shingles`` (size of the set),
@@ -60,11 +62,11 @@ def near_duplicates(docs: DataFrame, threshold_percent: int = THRESHOLD_PERCENT)
         "nodes",
     )
     candidates = components(_star_links(nodes), "candidates")
-    close = _block_links(nodes.join(candidates, "node"), "signature", _signature_links)
+    close = _block_links(nodes.join(candidates, "node"), "signature", _signature_links, block_rows)
     close = components(close, "close")
     texts = close.join(nodes, "node").select("node", "component", F.col("least").alias("doc_id"))
     sets = _sets_of(docs, texts)
-    links = _block_links(sets, "shingles", _set_links(threshold_percent))
+    links = _block_links(sets, "shingles", _set_links(threshold_percent), block_rows)
     linked = components(links, "linked")
     labels = nodes.select("node", "least").join(linked, "node", "left")
     labels = labels.withColumn("component", F.coalesce("component", "node"))
@@ -77,6 +79,16 @@ def near_duplicates(docs: DataFrame, threshold_percent: int = THRESHOLD_PERCENT)
     )
 
 
+def drop_near_duplicates(docs: DataFrame, threshold_percent: int = THRESHOLD_PERCENT) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each group of ``near_duplicates``, with all its columns.
+
+    Of rows that repeat a doc_id one stays. Rows without a doc_id all stay, as nothing names them.
+    """
+    kept = near_duplicates(docs, threshold_percent).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.filter("doc_id IS NULL"))
+
+
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
     for row, data, offsets in text_chunks(batch.column("text")):
         yield row, shingle_sets(*word_hashes(data, offsets))
@@ -167,7 +179,7 @@ def _node_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _block_links(rows: DataFrame, payload: str, find: Callable, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _block_links(rows: DataFrame, payload: str, find: Callable, block_rows: int) -> DataFrame:
     """Links inside groups: ``rows`` has node, component and a payload that ``find`` compares.
 
     A group of more than ``block_rows`` rows is cut into blocks; each pair of blocks is a cell of its own,

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACES = r"[\x20\x09-\x0D]"
@@ -39,6 +39,16 @@ def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+def keep_where(df: DataFrame, flag: str) -> DataFrame:
+    """The rows whose boolean column ``flag`` is true.
+
+    A plain filter on a worked-out column is moved below the steps that make it, with all of them copied
+    into one expression that repeats costly parts for each element. Nothing moves below this one.
+    """
+    mark = F.explode_outer(F.array(F.when(F.col(flag), F.lit(1))))
+    return df.withColumn("_keep", mark).filter("_keep IS NOT NULL").drop("_keep")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scramble 64-bit values; wraps around."""
     x = (x ^ (x >> _U(32))) * _MIX[1]

@@ -57,7 +57,7 @@ def problems(arguments: str | None, schema: dict | None) -> tuple[object, list[s
     if schema is None:
         return None, ["unknown tool"]
     try:
-        value = json.loads(arguments or "")
+        value = _plain(json.loads(arguments or ""))
         canonical(value)
     except (ValueError, RecursionError):
         return None, ["not JSON"]
