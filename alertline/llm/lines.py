@@ -55,7 +55,7 @@ def failing(line: Column) -> dict[str, Column]:
 
 
 def _word_chars(text: Column) -> Column:
-    return (F.char_length(text) - F.regexp_count(text, F.lit(SPACES))).cast("long")
+    return F.char_length(F.array_join(words(text), "")).cast("long")
 
 
 def clean_lines(docs: DataFrame, max_lost_share: float = MAX_LOST_SHARE) -> DataFrame:
@@ -93,7 +93,7 @@ def with_base_counts(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.withColumn("_words", words(text))
     docs = docs.withColumn("n_words", F.size("_words").cast("long"))
-    docs = docs.withColumn("word_chars", _word_chars(text))
+    docs = docs.withColumn("word_chars", F.char_length(F.array_join("_words", "")).cast("long"))
     docs = docs.withColumn("n_symbols", F.regexp_count(text, F.lit(SYMBOLS)).cast("long"))
     docs = docs.withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: x.rlike("[^" + SPACES[1:])))
     docs = docs.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))

@@ -43,19 +43,19 @@ def with_statistics(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     def count(pattern: str) -> Column:
         return F.regexp_count("_text", F.lit(pattern))
 
-    docs = docs.withColumn("_letters", F.greatest(count(r"\p{L}"), F.lit(1)))
+    docs = docs.withColumn("_chars", F.char_length(F.array_join("_words", "")))
     docs = docs.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike("[^" + SPACES[1:])))
     lines = F.greatest(F.size("_lines"), F.lit(1))
     ended = F.size(F.filter("_lines", lambda x: x.rlike(r"[.!?…。！？][\"'”’»)\]]*\s*$")))
     same = F.filter("_words", lambda w, i: (i > 0) & (w == F.get(F.col("_words"), i - 1)))
     statistics = {
         "words": F.log1p(F.size("_words").cast("double")),
-        "word_length": (F.char_length("_text") - count(SPACES)) / n,
+        "word_length": F.col("_chars") / n,
         "symbols": count(r"[#*$%&<>@^~=+_\\/{}\[\]]") / n,
         "separators": count(r"[|»›•·]") / n,
         "exclamations": count("!") / n,
         "commas": count(",") / n,
-        "capitals": count(r"\p{Lu}") / F.col("_letters"),
+        "capitals": count(r"\p{Lu}") / F.greatest("_chars", F.lit(1)),
         "digits": count(r"[0-9]") / n,
         "distinct_words": F.size(F.array_distinct("_words")) / n,
         "repeated_words": F.size(same) / n,
@@ -64,7 +64,7 @@ def with_statistics(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     }
     names = [f"stat_{k}" for k in statistics]
     docs = docs.withColumns({f"stat_{k}": v.cast("double") for k, v in statistics.items()})
-    return docs.drop("_words", "_text", "_letters", "_lines"), names
+    return docs.drop("_words", "_text", "_chars", "_lines"), names
 
 
 @dataclass(frozen=True)
