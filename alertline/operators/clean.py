@@ -55,6 +55,14 @@ def _is_number_sentinel(field: T.StructField) -> Column | None:
     return F.col(f"`{field.name}`").isin(*NUMERIC_SENTINELS) if _is_number(field.dataType) else None
 
 
+def without_nan(df: DataFrame, column: str) -> DataFrame:
+    """NaN in one column becomes null; columns of other types than float and double stay as they are."""
+    if df.schema[column].dataType.typeName() not in ("float", "double"):
+        return df
+    value = F.col(f"`{column}`")
+    return df.withColumn(column, F.when(~F.isnan(value), value))
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN is a missing value in the sources; in Spark it would count, average and sort as a value."""
     return _replace(df, _is_nan)

@@ -29,6 +29,7 @@ from alertline.functions.scalar import epoch_micros, sql_literal
 
 MAX_RANGES = 2048  # ranges of the first key
 MAX_SUB_RANGES = 512  # ranges of a later key inside one frequent value
+EXACT_DOUBLES = 2.0**53  # integers up to here are doubles of their own
 HOT_WEIGHT = 4.0  # a value filling this many ranges is cut again along the next key
 SKETCH_PER_RANGE = 10  # sketch resolution: a tenth of a range
 MAX_SKETCHES = 128
@@ -149,6 +150,7 @@ def find_ranges(df: DataFrame, keys: Sequence[Key], count: int | None = None) ->
     names = [f"_key{i}" for i in range(len(keys))]
     data = df.select(*[k.as_double(df.schema[k.name].dataType).alias(n) for k, n in zip(keys, names)])
 
+    exact = [not isinstance(df.schema[k.name].dataType, T.DecimalType) for k in keys]
     groups: dict[tuple, float] = {(): float(count)}
     splits: list[tuple[float, ...]] = []
     hot: list[tuple[float | None, ...]] = []
@@ -179,7 +181,8 @@ def find_ranges(df: DataFrame, keys: Sequence[Key], count: int | None = None) ->
                 cuts.update(quantiles[:: max(1, int(len(quantiles) / max(weight, 1.0)))])
             for value, times in Counter(quantiles).items():
                 share = weight * times / len(quantiles)
-                if share >= HOT_WEIGHT:
+                # beyond 2 ** 53 a double may stand for several numbers, which must stay together
+                if share >= HOT_WEIGHT and abs(value) < EXACT_DOUBLES and exact[level]:
                     frequent[(*group, value)] = share
                     cuts.update((value, math.nextafter(value, math.inf)))
             if groups[group] - weight >= HOT_WEIGHT:
@@ -379,3 +382,24 @@ def not_after(df: DataFrame, keys: Sequence[Key], row: Sequence, *, strict: bool
         ahead = f"{name} IS NOT NULL AND {name} {'>' if key.descending else '<'} {constant}"
         text = f"(({ahead}) OR ({name} <=> {constant} AND {text}))"
     return F.expr(text)
+
+
+def flag_first(ladder: Ladder, count: int, name: str) -> DataFrame:
+    """The ladder's rows with ``name``: whether a row is among the first ``count``, exactly that many.
+
+    Usually that is a filter against the row at ``count``. Only if the rows equal to it reach beyond
+    ``count``, these alone are numbered, by a hash of the row, and as many as are needed are taken.
+    """
+    df = ladder.df
+    row = ladder.find(row=[count]).get(("row", count))
+    if row is None:
+        return df.withColumn(name, F.lit(False))
+    before, upto = not_after(df, ladder.keys, row, strict=True), not_after(df, ladder.keys, row)
+    n_before, n_upto = df.agg(F.count_if(before), F.count_if(upto)).first()
+    if n_upto == count:
+        return df.withColumn(name, upto)
+    hashed = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    equal = df.filter(upto & ~before).withColumn("_hash", hashed).withColumn("_row", F.monotonically_increasing_id())
+    numbered = rank_rows(equal, [asc("_hash"), asc("_row")])
+    taken = numbered.select(*df.columns, (F.col("rank") <= count - n_before).alias(name))
+    return df.filter(~upto | before).withColumn(name, before).unionByName(taken)

@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertline.functions.scalar import ratio
+from alertline.operators.clean import without_nan
 from alertline.operators.curves import TIE_WIDTH, negative, positive, tie_block_staircase
-from alertline.operators.order import Ladder, alert_order, desc, not_after
+from alertline.operators.order import Key, Ladder, alert_order, asc, desc, flag_first, not_after
 
 K_PERCENT = (0.5, 1.0, 2.0, 5.0)
 FPR_PERCENT = (0.1, 0.5, 1.0, 2.0)
@@ -40,13 +41,13 @@ _TABLE_SCHEMA = (
 
 
 def ceil_count(percent: float, rows: int) -> int:
-    """Rows in the top ``percent`` %: rounded up."""
-    return math.ceil((percent / 100.0) * rows)
+    """Rows in the top ``percent`` %: rounded up, all rows at most."""
+    return min(rows, math.ceil((percent / 100.0) * rows))
 
 
 def floor_count(share: float, rows: int) -> int:
     """Rows in the top ``share`` (a fraction): rounded down, at least one."""
-    return max(1, int(rows * share))
+    return min(rows, max(1, int(rows * share)))
 
 
 def allowed_negatives(budget: float, negatives: int) -> int:
@@ -65,24 +66,41 @@ def alert_ladder(df: DataFrame, score: str = "score", y: str = "y", whole_blocks
     Where only whole score blocks matter, the order among equal scores is left out.
     """
     counters = {"positive": positive(y), "negative": negative(y), "scored": F.col(score).isNotNull()}
-    return Ladder(df, [desc(score)] if whole_blocks else alert_order(score), counters)
+    return Ladder(df, [desc(score)] if whole_blocks else label_order(score, y), counters)
+
+
+def label_order(score: str, y: str) -> list[Key]:
+    """The alert order, and among rows that are equal in it the lower label first.
+
+    Rows that are still equal count the same for every metric, so a budget may end between any two.
+    """
+    return [*alert_order(score), asc(y)]
 
 
 def flag_topk(df: DataFrame, percent: float, score: str = "score") -> DataFrame:
-    """Mark the rows of the top ``percent`` % of the alert order (exactly that many) as ``selected``."""
+    """Mark the rows of the top ``percent`` % of the alert order (exactly that many) as ``selected``.
+
+    Of rows that are equal in the order, as many as are needed are marked, by a hash of the row. NaN
+    scores are missing ones, which come last.
+    """
+    df = without_nan(df, score)
     ladder = Ladder(df, alert_order(score))
-    return df.withColumn("selected", _first_rows(ladder, ceil_count(percent, ladder.total())))
+    return flag_first(ladder, ceil_count(percent, ladder.total()), "selected")
 
 
-def _first_rows(ladder: Ladder, count: int) -> Column:
-    """Predicate of the first ``count`` rows of the order."""
+def _rows_before(ladder: Ladder, count: int) -> tuple[Column, tuple | None]:
+    """Predicate of the rows strictly before the row at ``count``, and that row's keys."""
     row = ladder.find(row=[count]).get(("row", count))
-    return F.lit(False) if row is None else not_after(ladder.df, ladder.keys, row)
+    return (F.lit(False), None) if row is None else (not_after(ladder.df, ladder.keys, row, strict=True), row)
 
 
 @dataclass(frozen=True)
 class _Selection:
-    """The rows one budget alerts. ``empty_fpr`` is reported if it alerts none."""
+    """The rows one budget alerts. ``empty_fpr`` is reported if it alerts none.
+
+    If ``rows`` or ``negatives`` says how many there must be, what ``chosen`` lacks is taken from the rows
+    that are equal to ``tie`` (score, time, id, label).
+    """
 
     mode: str
     budget: float
@@ -90,6 +108,15 @@ class _Selection:
     threshold: float | None = None
     lowest_chosen: bool = False  # the threshold is the lowest chosen score
     empty_fpr: float = 0.0
+    rows: int | None = None
+    negatives: int | None = None
+    tie: tuple | None = None
+
+    def taken(self, alerts: Column, negatives: Column) -> Column:
+        if self.tie is None:
+            return F.lit(0)
+        missing = F.lit(self.rows) - alerts if self.rows is not None else F.lit(self.negatives) - negatives
+        return F.greatest(missing, F.lit(0))
 
 
 def _measure(df: DataFrame, selections: Sequence[_Selection], ladder: Ladder, score: str, y: str) -> DataFrame:
@@ -111,20 +138,7 @@ def _measure(df: DataFrame, selections: Sequence[_Selection], ladder: Ladder, sc
         if s.lowest_chosen:  # a selection that reaches into the unscored rows has no threshold
             lowest = f"CASE WHEN count_if(_in{i} AND _score IS NULL) = 0 THEN min(CASE WHEN _in{i} THEN _score END) END"
             aggregates.append(F.expr(lowest).alias(f"_low{i}"))
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(s.mode).alias("mode"),
-                F.lit(float(s.budget)).alias("K_or_FPR"),
-                (F.col(f"_low{i}") if s.lowest_chosen else F.lit(s.threshold).cast("double")).alias("threshold"),
-                F.lit(float(s.empty_fpr)).alias("_empty_fpr"),
-                F.col(f"_alerts{i}").alias("alerts"),
-                F.col(f"_tp{i}").alias("_tp"),
-                F.col(f"_fp{i}").alias("_fp"),
-            )
-            for i, s in enumerate(selections)
-        ]
-    )
+    rows = F.array(*[_measured(s, i) for i, s in enumerate(selections)])
     alerts, tp, fp = F.col("alerts"), F.col("_tp"), F.col("_fp")
     fpr = F.when(alerts == 0, F.col("_empty_fpr")).otherwise(ratio(fp, F.lit(ladder.total("negative"))))
     return (
@@ -143,22 +157,44 @@ def _measure(df: DataFrame, selections: Sequence[_Selection], ladder: Ladder, sc
     )
 
 
+def _measured(s: _Selection, i: int) -> Column:
+    """The counts of one selection, with the tied rows it takes."""
+    taken = s.taken(F.col(f"_alerts{i}"), F.col(f"_fp{i}"))
+    label = None if s.tie is None else s.tie[-1]
+    threshold = F.lit(s.threshold).cast("double")
+    if s.lowest_chosen:
+        tied = F.lit(None if s.tie is None else s.tie[0]).cast("double")
+        threshold = F.when(taken > 0, tied).otherwise(F.col(f"_low{i}"))
+    return F.struct(
+        F.lit(s.mode).alias("mode"),
+        F.lit(float(s.budget)).alias("K_or_FPR"),
+        threshold.alias("threshold"),
+        F.lit(float(s.empty_fpr)).alias("_empty_fpr"),
+        (F.col(f"_alerts{i}") + taken).cast("bigint").alias("alerts"),
+        (F.col(f"_tp{i}") + taken * int(label == 1)).cast("bigint").alias("_tp"),
+        (F.col(f"_fp{i}") + taken * int(label == 0)).cast("bigint").alias("_fp"),
+    )
+
+
 def _empty(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([], _TABLE_SCHEMA)
 
 
 def _topk_selections(ladder: Ladder, percents: Sequence[float]) -> list[_Selection]:
     counts = [ceil_count(p, ladder.total()) for p in percents]
-    ends = ladder.find(row=counts)
-    return [
-        _Selection("topk", p, _first_rows(ladder, c), ends[("row", c)][0]) for p, c in zip(percents, counts)
-    ]
+    ladder.find(row=counts)
+    selections = []
+    for p, c in zip(percents, counts):
+        chosen, end = _rows_before(ladder, c)
+        selections.append(_Selection("topk", p, chosen, None if end is None else end[0], rows=c, tie=end))
+    return selections
 
 
 def topk_table(
     df: DataFrame, percents: Sequence[float] = K_PERCENT, score: str = "score", y: str = "y"
 ) -> DataFrame:
     """Selection metrics of the top K% rows (rounded up), one row per K; the threshold is the last selected score."""
+    df = without_nan(df, score)
     ladder = alert_ladder(df, score, y)
     if ladder.total() == 0:
         return _empty(df)
@@ -169,12 +205,13 @@ def precision_at_k(
     df: DataFrame, shares: Sequence[float] = (0.005, 0.01, 0.02, 0.05), score: str = "score", y: str = "y"
 ) -> DataFrame:
     """Precision of the top share of rows, rounded down with a minimum of one row."""
-    ladder = Ladder(df, alert_order(score))
+    df = without_nan(df, score)
+    ladder = Ladder(df, label_order(score, y))
     if ladder.total() == 0:
         return df.sparkSession.createDataFrame([], "share double, k bigint, precision double")
     counts = [floor_count(s, ladder.total()) for s in shares]
     ladder.find(row=counts)
-    hits = [F.count_if(_first_rows(ladder, c) & positive(y)).alias(f"h{i}") for i, c in enumerate(counts)]
+    hits = [_hits(ladder, c, y).alias(f"h{i}") for i, c in enumerate(counts)]
     rows = [
         F.struct(
             F.lit(float(s)).alias("share"),
@@ -186,6 +223,13 @@ def precision_at_k(
     return df.agg(*hits).select(F.inline(F.array(*rows)))
 
 
+def _hits(ladder: Ladder, count: int, y: str) -> Column:
+    """Positives among the first ``count`` rows, as an aggregate."""
+    before, end = _rows_before(ladder, count)
+    tied = 0 if end is None else int(end[-1] == 1)
+    return F.count_if(before & positive(y)) + tied * (F.lit(count) - F.count_if(before))
+
+
 def topk_precisions(
     df: DataFrame, scores: Sequence[str], percents: Sequence[float] = K_PERCENT, y: str = "y"
 ) -> DataFrame:
@@ -195,12 +239,14 @@ def topk_precisions(
     """
     hits, rows = [], []
     for s in scores:
-        ladder = Ladder(df, alert_order(s))
+        df = without_nan(df, s)
+    for s in scores:
+        ladder = Ladder(df, label_order(s, y))
         counts = [ceil_count(p, ladder.total()) for p in percents]
         ladder.find(row=counts)
         for p, c in zip(percents, counts):
             name = f"h{len(hits)}"
-            hits.append(F.count_if(_first_rows(ladder, c) & positive(y)).alias(name))
+            hits.append(_hits(ladder, c, y).alias(name))
             rows.append(
                 F.struct(
                     F.lit(s).alias("score_name"),
@@ -229,7 +275,7 @@ def recall_at_fpr(
     df: DataFrame, targets: Sequence[float] = (0.001, 0.005, 0.01, 0.02), score: str = "score", y: str = "y"
 ) -> DataFrame:
     """Highest recall on the ROC curve (whole score blocks) with FPR within each target."""
-    scored = df.filter(F.col(score).isNotNull())
+    scored = without_nan(df, score).filter(F.col(score).isNotNull())
     ladder = alert_ladder(scored, score, y, whole_blocks=True)
     hits, rows = [], []
     for i, (t, end) in enumerate(zip(targets, _excess_rows(ladder, targets))):
@@ -244,14 +290,21 @@ def fpr_rows(
     df: DataFrame, percents: Sequence[float] = FPR_PERCENT, score: str = "score", y: str = "y"
 ) -> DataFrame:
     """Per FPR budget the last row of the alert order within it; equal scores may be cut apart."""
+    df = without_nan(df, score)
     ladder = alert_ladder(df, score, y)
     if ladder.total() == 0:
         return _empty(df)
     one_negative = ratio_of(1, ladder.total("negative"))
     selections = []
+    negatives = ladder.total("negative")
     for p, end in zip(percents, _excess_rows(ladder, [p / 100.0 for p in percents])):
         chosen = F.lit(True) if end is None else not_after(df, ladder.keys, end, strict=True)
-        selections.append(_Selection("fpr", p, chosen, lowest_chosen=True, empty_fpr=one_negative))
+        allowed = allowed_negatives(p / 100.0, negatives)
+        selections.append(
+            _Selection(
+                "fpr", p, chosen, lowest_chosen=True, empty_fpr=one_negative, negatives=allowed, tie=end
+            )
+        )
     return _measure(df, selections, ladder, score, y)
 
 
@@ -327,6 +380,7 @@ def fpr_blocks(
     width: float = TIE_WIDTH,
 ) -> DataFrame:
     """Per FPR budget the lowest threshold within it, where a threshold never cuts (nearly) equal scores apart."""
+    df = without_nan(df, score)
     ladder = alert_ladder(df, score, y, whole_blocks=True)
     if ladder.total() == 0:
         return _empty(df)
@@ -347,6 +401,7 @@ def operating_points(
 
     Both kinds share the counts along the order and the final aggregation.
     """
+    df = without_nan(df, score)
     ladder = alert_ladder(df, score, y)
     if ladder.total() == 0:
         both = _empty(df)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -14,7 +15,9 @@ from alertline.operators.clean import column_chunks
 
 SMALL_BRACKET = 1_000_000  # rows that may be counted value by value and ordered in one task
 SKETCH_ACCURACY = 2_000
-SKETCH_MARGIN = 2e-3
+SKETCH_POINTS = 200  # quantiles that each part of a column is summed up by
+SKETCH_PARTS = 64
+SLACK_POINTS = 3  # how many of them a cut stands aside of the wanted position
 
 
 @dataclass
@@ -29,6 +32,7 @@ class _Bracket:
     high: float | None = None
     below: int = 0
     done: bool = False
+    halve: bool = False  # the last cuts left most rows inside: next time cut the value range in the middle
 
     def inside(self, value: Column) -> Column:
         test = value.isNotNull()
@@ -38,34 +42,50 @@ class _Bracket:
             test &= value <= F.lit(self.high)
         return test
 
-    def narrow(self, a: float, b: float, less_a: int, upto_a: int, less_b: int, upto_b: int) -> None:
-        """Cut at a and b (a <= b), given how many rows of the bracket are below and not above each."""
+    def narrow(self, cuts: Sequence[float], below: Sequence[int], upto: Sequence[int]) -> None:
+        """Cut at values, given how many rows of the bracket are below, and not above, each of them."""
         size, start, end = self.size, self.below, self.below + self.size
-        for value, less in ((a, less_a), (b, less_b)):
-            if start + less <= self.lower:
-                self.low, self.below = value, start + less
-        for value, upto in ((b, upto_b), (a, upto_a)):
-            if self.upper < start + upto:
-                self.high, end = value, start + upto
-        self.size = end - self.below
-        self.done = self.size >= size or (self.low is not None and self.low == self.high)
-
-
-def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[str, list[float | None]]:
+        low, high = self.low, self.high
+        for value, n_below, n_upto in zip(cuts, below, upto):
+            if start + n_below <= self.lower and (low is None or value >= low):
+                low, self.below = value, start + n_below
+            if self.upper < start + n_upto and (high is None or value <= high):
+                high, end = value, min(end, start + n_upto)
+        self.low, self.high, self.size = low, high, end - self.below
+        self.halve = self.size > size // 2
+        self.done = low is not None and low == high
+
+
+def _middle(low: float, high: float) -> float:
+    """A value between two, in the middle of the numbers that their type has in between."""
+    if isinstance(low, int) and isinstance(high, int):
+        return low + (high - low) // 2
+    a, b = (struct.unpack("<q", struct.pack("<d", float(v)))[0] for v in (low, high))
+    a, b = (v if v >= 0 else -(2**63) - v for v in (a, b))  # ascending with the doubles
+    mid = a + (b - a) // 2
+    return struct.unpack("<d", struct.pack("<q", mid if mid >= 0 else -(2**63) - mid))[0]
+
+
+def exact_quantiles(
+    df: DataFrame, wanted: Mapping[str, Sequence[float]], small_bracket: int = SMALL_BRACKET
+) -> dict[str, list[float | None]]:
     """Exact, linearly interpolated quantiles of numeric columns; null for a column without values.
 
-    A long column is narrowed to a small value range by sketches first. Each narrowing is checked by
-    exact counts, so the sketch decides how much work remains and not what the answer is. The values
-    left in the range are then counted and ordered per column. Wide tables are handled some columns
+    A column of more than ``small_bracket`` rows is narrowed to a small value range by sketches first. Each
+    narrowing is checked by exact counts, so the sketch decides how much work remains and not what the answer
+    is; where it does not help, the value range is halved, until the bracket is small or holds one value. The
+    values left in the range are then counted and ordered per column. Wide tables are handled some columns
     at a time, each group reading its own columns only.
     """
     result: dict[str, list[float | None]] = {}
     for chunk in column_chunks(list(wanted)):
-        result.update(_chunk_quantiles(df, {c: wanted[c] for c in chunk}))
+        result.update(_chunk_quantiles(df, {c: wanted[c] for c in chunk}, small_bracket))
     return result
 
 
-def _chunk_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[str, list[float | None]]:
+def _chunk_quantiles(
+    df: DataFrame, wanted: Mapping[str, Sequence[float]], small_bracket: int
+) -> dict[str, list[float | None]]:
     names = [c for c, qs in wanted.items() if qs]
     if not names:
         return {c: [] for c in wanted}
@@ -82,21 +102,26 @@ def _chunk_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> di
             position = q * (n - 1)
             lower = math.floor(position)
             ranks[(column, q)] = (lower, min(lower + 1, n - 1), position - lower)
-        if n <= SMALL_BRACKET:
+        if n <= small_bracket:
             brackets.append(_Bracket(column, 0, n - 1, n, done=True))
         else:
-            pairs = sorted({ranks[(column, q)][:2] for q in wanted[column]})
-            brackets += [_Bracket(column, low, high, n) for low, high in pairs]
+            places = sorted({p for q in wanted[column] for p in ranks[(column, q)][:2]})
+            brackets += [_Bracket(column, p, p, n) for p in places]  # one each, so that it ends at one value
 
     open_brackets = [b for b in brackets if not b.done]
     while open_brackets:
         _narrow(data, open_brackets)
-        open_brackets = [b for b in open_brackets if not b.done and b.size > SMALL_BRACKET]
+        open_brackets = [b for b in open_brackets if not b.done and b.size > small_bracket]
 
     needed: dict[str, set[int]] = {}
     for (column, _), (lower, upper, _f) in ranks.items():
         needed.setdefault(column, set()).update((lower, upper))
-    at = _values_at(data, brackets, needed) if brackets else {}
+    at: dict[tuple[str, int], float] = {}
+    whole = {f.name for f in data.schema if f.dataType.typeName() == "long"}
+    for kind in ("bigint", "double"):  # each column keeps its own type
+        of_kind = [b for b in brackets if (b.column in whole) == (kind == "bigint")]
+        if of_kind:
+            at.update(_values_at(data, of_kind, needed, kind))
 
     def interpolate(column: str, q: float) -> float | None:
         if (column, q) not in ranks:
@@ -118,41 +143,63 @@ def _number(df: DataFrame, column: str) -> Column:
 
 
 def _narrow(data: DataFrame, brackets: list[_Bracket]) -> None:
-    """One sketch pass and one counting pass over all brackets at once."""
-    fan = min(256, int(data.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-    def sketch(b: _Bracket) -> Column:
-        value = F.when(b.inside(F.col(b.column)), F.col(b.column))
-        around = [
-            max(0.0, (b.lower - b.below) / b.size - SKETCH_MARGIN),
-            min(1.0, (b.upper - b.below + 1) / b.size + SKETCH_MARGIN),
-        ]
-        return F.percentile_approx(value, around, SKETCH_ACCURACY)
-
-    partial = data.groupBy((F.spark_partition_id() % fan).alias("_part")).agg(
-        *[sketch(b).alias(f"_q{i}") for i, b in enumerate(brackets)]
-    )
-    merged = partial.agg(
-        *[F.percentile_approx(F.col(f"_q{i}")[0], 0.5).alias(f"_a{i}") for i in range(len(brackets))],
-        *[F.percentile_approx(F.col(f"_q{i}")[1], 0.5).alias(f"_b{i}") for i in range(len(brackets))],
-    ).first()
-    cuts = [(merged[f"_a{i}"], merged[f"_b{i}"]) for i in range(len(brackets))]
+    """One sketch pass and one counting pass over all brackets at once.
 
-    counters = []
-    for i, (b, (low, high)) in enumerate(zip(brackets, cuts)):
-        value = F.col(b.column)
-        for cut, name in ((low, "a"), (high, "b")):
-            counters.append(F.count_if(b.inside(value) & (value < F.lit(cut))).alias(f"less_{name}{i}"))
-            counters.append(F.count_if(b.inside(value) & (value <= F.lit(cut))).alias(f"upto_{name}{i}"))
-    counted = data.agg(*counters).first()
-    for i, (b, (low, high)) in enumerate(zip(brackets, cuts)):
-        b.narrow(low, high, *[counted[f"{c}{i}"] for c in ("less_a", "upto_a", "less_b", "upto_b")])
+    Each of SKETCH_PARTS parts of the rows is summed up by its quantiles and their number; merged by these
+    weights, they are the quantiles of the whole, however the values lie in the parts.
+    """
+    points = [(k + 0.5) / SKETCH_POINTS for k in range(SKETCH_POINTS)]
 
+    def inside(b: _Bracket) -> Column:
+        return F.when(b.inside(F.col(b.column)), F.col(b.column))
 
-def _values_at(data: DataFrame, brackets: list[_Bracket], needed: Mapping[str, set[int]]) -> dict[tuple[str, int], float]:
+    summed = data.groupBy((F.spark_partition_id() % SKETCH_PARTS).alias("_part")).agg(
+        *[F.percentile_approx(inside(b), points, SKETCH_ACCURACY).alias(f"_q{i}") for i, b in enumerate(brackets)],
+        *[F.count(inside(b)).alias(f"_n{i}") for i, b in enumerate(brackets)],
+        *[F.min(inside(b)).alias(f"_min{i}") for i, b in enumerate(brackets)],
+        *[F.max(inside(b)).alias(f"_max{i}") for i, b in enumerate(brackets)],
+    )
+    parts = summed.collect()  # at most SKETCH_PARTS rows
+    cuts = [_cuts(b, [tuple(p[f"{c}{i}"] for c in ("_q", "_n", "_min", "_max")) for p in parts]) for i, b in enumerate(brackets)]
+    counters = []
+    for i, (b, values) in enumerate(zip(brackets, cuts)):
+        for k, cut in enumerate(values):
+            counters.append(F.count_if(b.inside(F.col(b.column)) & (F.col(b.column) < F.lit(cut))).alias(f"below{i}_{k}"))
+            counters.append(F.count_if(b.inside(F.col(b.column)) & (F.col(b.column) <= F.lit(cut))).alias(f"upto{i}_{k}"))
+    counted = data.agg(*counters).first()
+    for i, (b, values) in enumerate(zip(brackets, cuts)):
+        below, upto = ([counted[f"{c}{i}_{k}"] for k in range(len(values))] for c in ("below", "upto"))
+        b.narrow(values, below, upto)
+
+
+def _cuts(b: _Bracket, parts: Sequence[tuple]) -> list[float]:
+    """Ascending values around the wanted positions of a bracket, from (quantiles, rows, min, max) of its parts."""
+    parts = [p for p in parts if p[1]]
+    least, most = min(p[2] for p in parts), max(p[3] for p in parts)
+    if b.halve:
+        middle = _middle(least, most)
+        return sorted({least, middle, most})
+    weighed = sorted((value, n / len(values)) for values, n, _, _ in parts for value in values)
+    step = b.size / SKETCH_POINTS
+    wanted = [b.lower - b.below - SLACK_POINTS * step, b.upper - b.below + SLACK_POINTS * step]
+    reached, found = 0.0, [least, most]
+    for value, weight in weighed:
+        if reached <= wanted[0]:
+            found[0] = value
+        if reached <= wanted[1]:
+            found[1] = value
+        reached += weight
+    if wanted[0] <= 0:
+        found[0] = least
+    if wanted[1] >= b.size:
+        found[1] = most
+    return sorted({least, most, *found})
+
+
+def _values_at(
+    data: DataFrame, brackets: list[_Bracket], needed: Mapping[str, set[int]], kind: str
+) -> dict[tuple[str, int], float]:
     """The values at the wanted positions. Equal values are counted before they are shuffled."""
-    whole = all(f.dataType.typeName() == "long" for f in data.schema)
-    kind = "bigint" if whole else "double"
     entries = [
         F.when(
             b.inside(F.col(b.column)),

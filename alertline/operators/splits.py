@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alertline.functions.scalar import epoch_micros, micros_literal
-from alertline.operators.order import Ladder, asc, not_after
+from alertline.operators.order import Ladder, asc, flag_first
 from alertline.operators.quantile import exact_quantiles
 
 TRAIN_SHARE = 0.80
@@ -59,10 +59,11 @@ class Split:
 def positional_split(df: DataFrame, share: float = TRAIN_SHARE, time: str = "time", id: str = "id") -> Split:
     """The first ``share`` of the rows by (time, id), rounded down, and the rest.
 
-    The order itself is never built: the row at the cut is found, and the sides are filters against it.
+    The order itself is never built: the row at the cut is found, and the sides are filters against it. Only
+    rows that are equal to it may have to be told apart by their content.
     """
     ladder = Ladder(df, [asc(time), asc(id)])
     count = int(share * ladder.total())
-    row = ladder.find(row=[count]).get(("row", count))
-    first = F.lit(False) if row is None else not_after(df, ladder.keys, row)
-    return Split(df.filter(first), df.filter(~first), row)
+    flagged = flag_first(ladder, count, "_head")
+    head, tail = flagged.filter("_head").drop("_head"), flagged.filter("NOT _head").drop("_head")
+    return Split(head, tail, ladder.find(row=[count]).get(("row", count)))

@@ -185,18 +185,19 @@ ORACLES["row_count_audit"] = " UNION ALL ".join(
 ORACLES["limit_scan"] = """
 SELECT o_orderkey, o_custkey, o_totalprice, epoch_us(o_orderdate) AS o_orderdate
 FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100"""
+_WHOLE = """TransactionID, TransactionAmt, ProductCD, sparse95, sparse90, CAST(isFraud AS BIGINT) AS isFraud,
+  CAST(C1 AS BIGINT) AS C1, DeviceInfo, epoch_us(ts) AS ts, TransactionDT"""
 ORACLES["csv_roundtrip"] = f"""
-SELECT event_id, epoch_us(ts) AS ts, user_id, event_type, {_r('value', 'value')} FROM events"""
+SELECT event_id, epoch_us(ts) AS ts, user_id, event_type, {_r('value', 'value')}, props FROM events"""
 ORACLES["join_coverage"] = """
 SELECT COUNT(*) AS with_identity, (SELECT COUNT(*) FROM documents) AS total
 FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NOT NULL"""
 ORACLES["joined_view"] = """
-SELECT d.doc_id, d.lang, d.source, d.n_chars, l.doc_id AS doc_id_1,
+SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.doc_id AS doc_id_1,
        CAST(l.quality AS BIGINT) AS quality, CAST(l.toxic AS BIGINT) AS toxic
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
 ORACLES["clean_sentinels"] = f"""
-WITH {CLEANED} SELECT TransactionID, TransactionAmt, ProductCD, CAST(isFraud AS BIGINT) AS isFraud,
-  CAST(C1 AS BIGINT) AS C1, DeviceInfo FROM cleaned"""
+WITH {CLEANED} SELECT {_WHOLE} FROM cleaned"""
 ORACLES["sparse_drop"] = f"""
 WITH {CLEANED} SELECT TransactionID, TransactionAmt, ProductCD, sparse90, CAST(isFraud AS BIGINT) AS isFraud,
   CAST(C1 AS BIGINT) AS C1, DeviceInfo, epoch_us(ts) AS ts, TransactionDT FROM cleaned"""
@@ -344,6 +345,60 @@ SELECT {_r('thr', 'threshold')}, {_r(_ratio('tp', 'tp + fp'), 'precision')}, {_r
   {_r(_ratio('2 * tp', '2 * tp + fp + fn'), 'f1')}, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp,
   CAST(tn AS BIGINT) AS tn, CAST(fn AS BIGINT) AS fn FROM c"""
 ORACLES["topk_table"] = f"WITH {SCORED}, {_topk('scored')} SELECT {_POINT} FROM topk"
+_LABELLED = """stairs AS (
+  SELECT id, time, y, score AS s, ROW_NUMBER() OVER w AS alerts,
+         SUM(y) OVER w AS cum_tp, SUM(1 - y) OVER w AS cum_fp,
+         SUM(y) OVER () AS all_tp, SUM(1 - y) OVER () AS all_fp, COUNT(*) OVER () AS n_rows
+  FROM {source} WINDOW w AS (ORDER BY score DESC NULLS LAST, time, id, y ROWS UNBOUNDED PRECEDING)),
+days AS (SELECT COUNT(DISTINCT CAST(time AS DATE)) AS n_days FROM {source}), k(K) AS (VALUES {shares}),
+topk AS (
+  SELECT 'topk' AS mode, K AS K_or_FPR, s AS threshold, alerts, cum_tp, cum_fp, all_tp, all_fp, alerts::DOUBLE / n_days AS per_day
+  FROM stairs, k, days WHERE alerts = CAST(ceil((K / 100.0::DOUBLE) * n_rows) AS BIGINT))"""
+ORACLES["topk_duplicates"] = f"""
+WITH ties AS (
+  SELECT l_orderkey // 1000 AS id, TIMESTAMP '1995-01-01' AS time, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y,
+    l_discount AS score FROM lineitem),
+{_LABELLED.format(source='ties', shares=_doubles(0.5, 1, 2, 5))} SELECT {_POINT} FROM topk"""
+ORACLES["topk_missing_scores"] = f"""
+WITH {SCORED}, gaps AS (SELECT id, time, y, CASE WHEN id % 3 = 2 THEN score END AS score FROM scored),
+{_LABELLED.format(source='gaps', shares=_doubles(5, 30, 100))} SELECT {_POINT} FROM topk"""
+ORACLES["narrowed_quantiles"] = f"""
+WITH {SCORED}, shares(q) AS (VALUES {_doubles(0.1, 0.25, 0.5, 0.8, 0.99)}), long AS (
+  SELECT 'id' AS c, id::DOUBLE AS v FROM scored UNION ALL SELECT 'score', score FROM scored
+  UNION ALL SELECT 'tied', round(score, 1) FROM scored),
+placed AS (SELECT c, v, ROW_NUMBER() OVER (PARTITION BY c ORDER BY v) - 1 AS p, COUNT(*) OVER (PARTITION BY c) AS n FROM long)
+SELECT c AS "column", round(q, 9) AS share, round(
+  MAX(CASE WHEN p = floor(q * (n - 1)) THEN v END) + (MAX(CASE WHEN p = least(floor(q * (n - 1)) + 1, n - 1) THEN v END)
+  - MAX(CASE WHEN p = floor(q * (n - 1)) THEN v END)) * (q * MAX(n - 1) - floor(q * MAX(n - 1))), 9) AS value
+FROM placed, shares GROUP BY c, q"""
+ORACLES["prevalence"] = f"WITH {RAW} SELECT {_r('AVG(CASE WHEN isFraud = 1 THEN 1.0 ELSE 0.0 END)', 'prevalence')} FROM raw"
+ORACLES["probability_suite"] = f"""
+WITH {SCORED}, p AS (SELECT score, CASE WHEN id % 1000 = 7 THEN 1.5 ELSE score / 2 END AS p_cal FROM scored),
+blocks AS (SELECT score, MIN(p_cal) AS low, MAX(p_cal) AS high FROM p GROUP BY score),
+steps AS (SELECT low, high, LAG(high) OVER (ORDER BY score) AS before FROM blocks),
+counts AS (
+  SELECT (SELECT COUNT(*) FROM p WHERE p_cal < -1e-12 OR p_cal > 1 + 1e-12) AS outside,
+    (SELECT COUNT(*) FROM steps WHERE low - before < -1e-10 OR low - high < -1e-10) AS drops)
+SELECT 'probability_in_bounds' AS "check", CAST(outside = 0 AS BIGINT) AS passed, round(outside::DOUBLE, 9) AS observed FROM counts
+UNION ALL
+SELECT 'probability_monotone', CAST(drops = 0 AS BIGINT), round(drops::DOUBLE, 9) FROM counts"""
+ORACLES["stored_transactions"] = f"""
+WITH {RAW}, texts AS (SELECT * REPLACE (NULLIF(ProductCD, 'missing') AS ProductCD, NULLIF(DeviceInfo, 'missing') AS DeviceInfo) FROM raw)
+SELECT {_WHOLE} FROM texts"""
+ORACLES["joined_scan"] = f"""
+WITH {CLEANED} SELECT {_WHOLE}, CASE WHEN doc_id IN (-1, -999) THEN NULL ELSE doc_id END AS TransactionID_1,
+  CAST(quality AS BIGINT) AS quality, CAST(toxic AS BIGINT) AS toxic
+FROM cleaned LEFT JOIN labels ON TransactionID = doc_id"""
+ORACLES["feature_kinds"] = f"""
+WITH {CLEANED}, n AS (SELECT {", ".join(f"COUNT({c}) AS {c}" for c in ("TransactionID", "TransactionAmt", "ProductCD", "sparse95", "sparse90", "isFraud", "C1", "DeviceInfo", "ts", "TransactionDT"))} FROM cleaned),
+long AS (UNPIVOT n ON COLUMNS(*) INTO NAME name VALUE n_values)
+SELECT CASE WHEN name IN ('TransactionID', 'isFraud', 'ts') THEN 'dropped'
+  WHEN name IN ('ProductCD', 'DeviceInfo') THEN 'categorical' ELSE 'numeric' END AS kind, name, n_values FROM long"""
+ORACLES["contracted_projection"] = f"WITH {CLEANED} SELECT TransactionID, DeviceInfo, CAST(C1 AS BIGINT) AS C1 FROM cleaned"
+ORACLES["run_metadata"] = f"""
+WITH {SCORED}, n AS (SELECT COUNT(*) AS r, SUM(y) AS p FROM scored)
+SELECT unnest(['run_id', 'score_type', 'time_column', 't_cut', 'rows_val', 'positives_val']) AS name,
+  unnest(['r1', 'probability', 'time', '2024-01-25 00:00:00', r::VARCHAR, p::VARCHAR]) AS value FROM n"""
 ORACLES["topk_selection"] = f"""
 WITH {SCORED}, n AS (
   SELECT id, ROW_NUMBER() OVER (ORDER BY round(score, 2) DESC, time, id) AS rn, COUNT(*) OVER () AS n_rows FROM scored)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from alertline.functions.scalar import micros_literal
 from alertline.operators.boost import TrainedModel, class_weight, importances, train
-from alertline.operators.clean import FeatureReport, add_time_features, drop_sparse, feature_report, to_score_schema
+from alertline.operators.clean import FeatureReport, add_time_features, drop_sparse, feature_report, to_score_schema, without_nan
 from alertline.operators.curves import best_f1, curve_summary, threshold_metrics
 from alertline.operators.points import precision_at_k, recall_at_fpr
 from alertline.operators.prep import Prep, fit_prep, unseen_categories
@@ -112,7 +112,8 @@ def freeze_scores(sides: PreparedSides, model: TrainedModel, path: str) -> DataF
 
 
 def evaluation_summary(scores: DataFrame, score: str = "score", y: str = "y") -> dict:
-    """All threshold-free and threshold metrics of a score table in one record."""
+    """All threshold-free and threshold metrics of a score table in one record; NaN scores are missing."""
+    scores = without_nan(scores, score)
     curve = curve_summary(scores, score, y).first()
     best = best_f1(scores, score, y).first()
     metrics = {r["threshold"]: r.asDict() for r in threshold_metrics(scores, [0.5, best["threshold"]], score, y).collect()}

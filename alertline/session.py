@@ -26,7 +26,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return context.getCheckpointDir().rstrip("/")
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="alertline-"))
     return context.getCheckpointDir().rstrip("/")

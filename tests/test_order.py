@@ -127,3 +127,10 @@ def test_no_row_reaches_a_single_task(spark):
     for line, below in zip(plan.splitlines(), plan.splitlines()[1:]):
         if "SinglePartition" in line:
             assert "HashAggregate" in below and "_range0" in below
+
+
+def test_numbers_beyond_exact_doubles(spark):
+    """2 ** 53 and 2 ** 53 + 1 are one double, but not one key."""
+    df = spark.range(1000).select((F.col("id") % 2 + 2**53).alias("a"), (-F.col("id")).alias("b"))
+    got = [(r["a"], r["b"]) for r in rank_rows(df, [asc("a"), asc("b")]).orderBy("rank").collect()]
+    assert got == sorted(got)

@@ -166,3 +166,47 @@ def test_threshold_metrics_published(spark):
     assert math.isclose(row["precision"], 0.23014835882850335, rel_tol=1e-15)
     assert math.isclose(row["recall"], 0.7367125984251969, rel_tol=1e-15)
     assert math.isclose(row["f1"], 0.3507292215779301, rel_tol=1e-15)
+
+
+def equal_rows(spark, n, labels):
+    """``n`` rows, the first ones equal in (score, time, id) with the given labels."""
+    rows = [(0, 0.9, y) for y in labels] + [(k + 1, 0.5 - k / 100, k % 2) for k in range(n - len(labels))]
+    df = spark.createDataFrame(rows, "id bigint, score double, y int")
+    return df.withColumn("time", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+def test_topk_takes_exactly_k_of_equal_rows(spark):
+    df = equal_rows(spark, 20, [1, 1, 1, 0, 1, 1])
+    assert points.flag_topk(df, 10.0).filter("selected").count() == 2
+    assert points.flag_topk(df, 40.0).filter("selected").count() == 8
+    rows = {r["K_or_FPR"]: r for r in points.topk_table(df, (10.0, 30.0, 250.0)).collect()}
+    assert (rows[10.0]["alerts"], rows[10.0]["precision"], rows[10.0]["threshold"]) == (2, 0.5, 0.9)
+    assert (rows[30.0]["alerts"], rows[30.0]["precision"]) == (6, 5 / 6)
+    assert (rows[250.0]["alerts"], rows[250.0]["recall"]) == (20, 1.0)
+    got = points.precision_at_k(df, (0.1, 0.3)).orderBy("share").collect()
+    assert [r["precision"] for r in got] == [0.5, 5 / 6]
+
+
+def test_fpr_rows_spend_the_budget_on_equal_rows(spark):
+    df = equal_rows(spark, 20, [0, 0, 0, 0, 0, 0])
+    negatives = df.filter("y = 0").count()
+    row = points.fpr_rows(df, (20.0,)).first()
+    assert (negatives, row["alerts"], row["threshold"]) == (13, 2, 0.9)
+
+
+def test_nan_scores_are_missing(spark):
+    df = equal_rows(spark, 20, [1, 0]).withColumn("score", F.when(F.col("id") > 15, math.nan).otherwise(F.col("score")))
+    plain = df.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
+    for table in (points.topk_table, points.fpr_rows, points.fpr_blocks, points.precision_at_k, points.recall_at_fpr):
+        assert table(df).collect() == table(plain).collect()
+    assert points.flag_topk(df, 10.0).filter("selected").count() == 2
+    assert points.flag_topk(df, 10.0).filter("selected").agg(F.min("score")).first()[0] == 0.9
+
+
+def test_positional_split_of_equal_rows(spark):
+    from alertline.operators.splits import positional_split
+
+    df = equal_rows(spark, 20, [1, 0, 1, 0, 1, 0]).withColumn("id", 100 - F.col("id"))
+    split = positional_split(df)
+    assert (split.head.count(), split.tail.count()) == (16, 4)
+    assert split.tail.filter("id = 100").count() == 4

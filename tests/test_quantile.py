@@ -25,15 +25,52 @@ def table(spark):
 
 
 @pytest.mark.parametrize("small", [10**6, 200])
-def test_equals_numpy(table, monkeypatch, small):
+def test_equals_numpy(table, small):
     """With a low limit the columns are narrowed by sketches first."""
-    monkeypatch.setattr(quantile, "SMALL_BRACKET", small)
     columns, df = table
-    got = exact_quantiles(df, {c: SHARES for c in columns})
+    got = exact_quantiles(df, {c: SHARES for c in columns}, small)
     for name, values in columns.items():
         assert np.allclose(got[name], np.quantile(values[~np.isnan(values)], SHARES), rtol=1e-14, atol=0), name
 
 
+@pytest.fixture
+def passes(monkeypatch):
+    """The bracket sizes after each narrowing pass."""
+    seen, narrow = [], quantile._narrow
+
+    def counted(data, brackets):
+        narrow(data, brackets)
+        seen.append([b.size for b in brackets])
+
+    monkeypatch.setattr(quantile, "_narrow", counted)
+    return seen
+
+
+def test_sorted_partitions_take_few_passes(spark, passes):
+    df = spark.range(0, 400_000, 1, 8).select((F.col("id") * 7).alias("v"))
+    assert exact_quantiles(df, {"v": (0.25, 0.5)}, 1000)["v"] == [699_998.25, 1_399_996.5]
+    assert len(passes) <= 3
+
+
+def test_one_large_and_many_small_partitions(spark, passes):
+    large = spark.range(0, 190_000, 1, 1).select(F.col("id").alias("v"))
+    small = spark.range(190_000, 200_000, 1, 7).select(F.col("id").alias("v"))
+    assert exact_quantiles(large.union(small), {"v": (0.5,)}, 1000)["v"] == [99_999.5]
+    assert max(passes[-1]) <= 1000
+
+
+def test_frequent_neighbours_end(spark):
+    df = spark.range(10_000).select((F.col("id") % 2).cast("double").alias("v"))
+    assert exact_quantiles(df, {"v": (0.5,)}, 100)["v"] == [0.5]
+
+
+def test_columns_keep_their_types(spark):
+    big = 9_007_199_254_740_993
+    df = spark.range(3001).select(F.lit(big).alias("whole"), F.col("id").cast("double").alias("real"))
+    for small in (10**6, 100):
+        assert exact_quantiles(df, {"whole": (0.5,), "real": (0.5,)}, small) == {"whole": [big], "real": [1500.0]}
+
+
 def test_whole_numbers_stay_exact(spark):
     big = 1_704_067_200_000_000
     df = spark.range(5).select((F.col("id") * 3 + big).alias("v"))
