@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from alertline.functions.scalar import epoch_micros, lenient_label, lenient_number, lenient_timestamp, strict_timestamp
 from alertline.operators import boost, calibration, clean, curves, joins, points, prep, profile, quality, splits
 from alertline.operators.order import alert_order, asc, desc, ordered, rank_rows
+from alertline.operators.quantile import exact_quantiles
 from alertline.plans import decisions
 from alertline.plans.fixtures import heavy_ties, scored, table, transactions
 from alertline.session import scratch_path
@@ -21,7 +22,8 @@ QUERIES: dict[str, Query] = {}
 NUMERIC = ["C1", "TransactionAmt", "sparse90"]
 CATEGORICAL = ["DeviceInfo", "ProductCD"]
 CV_CUTS = ("2024-01-10", "2024-01-17", "2024-01-24", "2024-01-31")
-TREES = {"maxIter": 8, "maxDepth": 4}
+_MODELS: dict[tuple[str, str], boost.TrainedModel] = {}
+_FOLDS: dict[tuple[str, str], DataFrame] = {}
 
 
 def query(function: Query) -> Query:
@@ -74,7 +76,7 @@ def limit_scan(spark, folder):
 
 @query
 def csv_roundtrip(spark, folder):
-    events = table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    events = table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
     path = scratch_path(spark, "csv")
     sinks.write_csv(events, f"{path}/csv")
     return rounded(tables.load_csv(spark, "events_from_csv", f"{path}/csv", f"{path}/table", events.schema), "value")
@@ -90,8 +92,7 @@ def join_coverage(spark, folder):
 
 @query
 def joined_view(spark, folder):
-    documents = table(spark, folder, "documents").drop("text")
-    return rounded(joins.joined_view(documents, table(spark, folder, "labels"), "doc_id"))
+    return rounded(joins.joined_view(table(spark, folder, "documents"), table(spark, folder, "labels"), "doc_id"))
 
 
 # Cleaning and profiles
@@ -99,8 +100,7 @@ def joined_view(spark, folder):
 
 @query
 def clean_sentinels(spark, folder):
-    columns = ("TransactionID", "TransactionAmt", "ProductCD", "isFraud", "C1", "DeviceInfo")
-    return rounded(clean.clean(transactions(spark, folder)).select(*columns))
+    return rounded(clean.clean(transactions(spark, folder)))
 
 
 @query
@@ -327,6 +327,86 @@ def topk_table(spark, folder):
     return rounded(points.topk_table(scored(spark, folder)), "K_or_FPR", *_POINT)
 
 
+@query
+def topk_duplicates(spark, folder):
+    """Order lines without their day: many rows are equal in score, time and id."""
+    ties = heavy_ties(spark, folder).withColumn("time", F.to_timestamp_ntz(F.lit("1995-01-01 00:00:00")))
+    return rounded(points.topk_table(ties.withColumn("id", F.floor(F.col("id") / 1000))), "K_or_FPR", *_POINT)
+
+
+@query
+def topk_missing_scores(spark, folder):
+    """Some scores are null, some NaN; both are missing and come last."""
+    gaps = F.when(F.col("id") % 3 == 1, F.lit(float("nan"))).when(F.col("id") % 3 == 2, F.col("score"))
+    data = scored(spark, folder).withColumn("score", gaps)
+    return rounded(points.topk_table(data, (5.0, 30.0, 100.0)), "K_or_FPR", *_POINT)
+
+
+@query
+def narrowed_quantiles(spark, folder):
+    """Quantiles by the way that long columns take, with a low limit for the rows that are ordered."""
+    data = scored(spark, folder).select("id", "score", F.round("score", 1).alias("tied"))
+    shares = (0.1, 0.25, 0.5, 0.8, 0.99)
+    found = exact_quantiles(data, {c: shares for c in data.columns}, small_bracket=500)
+    rows = [(c, q, float(v)) for c, values in found.items() for q, v in zip(shares, values)]
+    return rounded(spark.createDataFrame(rows, "column string, share double, value double"), "share", "value")
+
+
+@query
+def prevalence(spark, folder):
+    return rounded(profile.prevalence(transactions(spark, folder)), "prevalence")
+
+
+@query
+def probability_suite(spark, folder):
+    data = scored(spark, folder).withColumn("p_cal", F.when(F.col("id") % 1000 == 7, 1.5).otherwise(F.col("score") / 2))
+    return rounded(quality.probability_checks(data), "observed")
+
+
+@query
+def stored_transactions(spark, folder):
+    """Written and scanned again with the rule that only the sentinel text is missing."""
+    path = sinks.write_parquet(transactions(spark, folder), scratch_path(spark, "transactions"))
+    return rounded(tables.load_dataset(spark, path, "text"))
+
+
+@query
+def joined_scan(spark, folder):
+    """A named view of transactions and their labels, scanned with every encoding of a gap as null."""
+    transactions(spark, folder).createOrReplaceTempView("scan_transaction")
+    labels = table(spark, folder, "labels").withColumnRenamed("doc_id", "TransactionID")
+    labels.createOrReplaceTempView("scan_identity")
+    tables.create_joined_view(spark, "scan_joined", "scan_transaction", "scan_identity")
+    return rounded(tables.load_joined(spark, "scan_joined"))
+
+
+@query
+def feature_kinds(spark, folder):
+    """The features of the transactions by kind; numeric ones with their number of values."""
+    data = clean.clean(transactions(spark, folder))
+    report = clean.feature_report(data, ("TransactionID", "isFraud", "ts", "absent"))
+    kinds = {"dropped": report.dropped, "numeric": report.numeric, "categorical": report.categorical}
+    counts = data.agg(*[F.count(c).alias(c) for c in data.columns]).first()
+    rows = [(kind, c, counts[c]) for kind, names in kinds.items() for c in names]
+    return spark.createDataFrame(rows, "kind string, name string, n_values bigint")
+
+
+@query
+def contracted_projection(spark, folder):
+    data = clean.clean(transactions(spark, folder))
+    return rounded(clean.select_contract(data, ["DeviceInfo", "C1"], ["TransactionID"]))
+
+
+@query
+def run_metadata(spark, folder):
+    """Metadata of a score table, written as a report and read again, one row for each value."""
+    about = sinks.run_metadata(scored(spark, folder), "r1", "2024-01-25 00:00:00", "time")
+    path = sinks.write_report(spark, about, scratch_path(spark, "report"))
+    kept = ("run_id", "score_type", "time_column", "t_cut", "rows_val", "positives_val")
+    read = sinks.read_report(spark, path)
+    return spark.createDataFrame([(k, str(read[k])) for k in kept], "name string, value string")
+
+
 @query
 def topk_selection(spark, folder):
     data = scored(spark, folder).withColumn("score", F.round("score", 2))
@@ -507,23 +587,30 @@ def _trained(spark, folder):
     return fitted, sides, boost.class_weight(pos, rows - pos)
 
 
+def _model(spark, folder):
+    """The trained model and the validation side; queries of one session share the training."""
+    fitted, (train, val), weight = _trained(spark, folder)
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _MODELS:
+        _MODELS[key] = boost.train(train, val, "isFraud", fitted.feature_names, weight)
+    return _MODELS[key], val
+
+
 @query
 def gbt_scores(spark, folder):
-    fitted, (train, val), weight = _trained(spark, folder)
-    model = boost.train(train, val, "isFraud", fitted.feature_names, weight, **TREES)
+    model, val = _model(spark, folder)
     return rounded(clean.to_score_schema(model.score(val), "TransactionID", "ts", "isFraud"), "score")
 
 
 @query
 def gbt_importances(spark, folder):
-    fitted, (train, val), weight = _trained(spark, folder)
-    return boost.importances(spark, boost.train(train, val, "isFraud", fitted.feature_names, weight, **TREES))
+    return boost.importances(spark, _model(spark, folder)[0])
 
 
 @query
 def staged_auc(spark, folder):
-    _, (train, val), weight = _trained(spark, folder)
-    return boost.staged_auc(boost.fit_trees(train, "isFraud", weight, **TREES), val, "isFraud")
+    model, val = _model(spark, folder)
+    return boost.staged_auc(model.model, val, "isFraud")
 
 
 @query
@@ -544,10 +631,13 @@ def fold_sizes(spark, folder):
 
 
 def _folds(spark, folder):
-    train, _ = _sides(spark, folder)
-    fitted = prep.fit_prep(train, NUMERIC, CATEGORICAL)
-    data = clean.clean(transactions(spark, folder))
-    return boost.time_cv(data, fitted, "ts", "isFraud", CV_CUTS, maxIter=4, maxDepth=3)
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _FOLDS:
+        train, _ = _sides(spark, folder)
+        fitted = prep.fit_prep(train, NUMERIC, CATEGORICAL)
+        data = clean.clean(transactions(spark, folder))
+        _FOLDS[key] = boost.time_cv(data, fitted, "ts", "isFraud", CV_CUTS)
+    return _FOLDS[key]
 
 
 @query

@@ -13,7 +13,7 @@ from alertline.session import scratch_path
 from alertline.sources import sinks
 
 FOLDER = "/root/testdata/sf0.01"
-SMALL = {"maxIter": 4, "maxDepth": 3}
+SMALL = {"max_iterations": 4, "first_step": 4, "maxDepth": 3}
 
 
 @pytest.fixture(scope="module")
@@ -155,7 +155,7 @@ def test_frozen_scores_and_summary(spark, sides, model):
 def test_rolling_folds(spark, sides, refit):
     data = clean(transactions(spark, FOLDER))
     cuts = ("2024-01-10", "2024-01-17", "2024-01-24")
-    folds = boost.time_cv(data, sides.prep, "ts", "isFraud", cuts, refit=refit, maxIter=2, maxDepth=2).collect()
+    folds = boost.time_cv(data, sides.prep, "ts", "isFraud", cuts, refit=refit, max_iterations=2, first_step=2, maxDepth=2).collect()
     assert [(r["fold"], r["train_end"], r["val_end"]) for r in folds] == [(0, *cuts[:2]), (1, *cuts[1:])]
     assert all(0.5 < r["roc_auc"] <= 1 and 1 <= r["best_iter"] <= 2 for r in folds)
 
