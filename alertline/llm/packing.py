@@ -41,20 +41,19 @@ def token_pieces(
     ``capacity`` ids, of which the first may be shorter. Rows that repeat a doc_id, or have none, are
     documents of their own. Other columns are ignored; an empty table has no pieces.
     """
-    end = np.array([end_id], "<u4").tobytes()
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, drops_spaces).encode
+        encode = encoder(tokenizer, drops_spaces).encode_column
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
         for batch in batches:
-            texts, doc_ids = batch.column("text"), batch.column("doc_id").to_pylist()
-            for first in range(0, batch.num_rows, 500):
+            doc_ids = batch.column("doc_id").to_pylist()
+            for row, ids, bounds in encode(batch.column("text")):
                 rows = []
-                for k, ids in enumerate(encode(texts.slice(first, 500).to_pylist()), first):
-                    rows += [(doc_ids[k], *piece) for piece in _cut(ids + end, capacity)]
+                for k, x in enumerate(np.split(ids, bounds[1:-1]), row):
+                    with_end = np.append(x, np.uint32(end_id)).astype("<u4").tobytes()
+                    rows += [(doc_ids[k], *piece) for piece in _cut(with_end, capacity)]
                 columns = zip(*rows, strict=True)
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                    [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)],
                     ["doc_id", "piece", "start", "length", "ids"],
                 )
 

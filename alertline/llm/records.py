@@ -2,7 +2,8 @@
 
 A record is: length of the payload (8 bytes), masked CRC-32C of these 8 bytes (4), payload, masked CRC-32C
 of the payload (4); all little-endian. The payload is 1 byte (0: no doc_id), the doc_id (8 bytes, signed),
-and the ids (4 bytes each, unsigned). The index is a Parquet table with one row for each record: ``part``
+1 byte for the width of an id (2 if all ids of the document are below 65536, else 4), and the ids
+(unsigned). The index is a Parquet table with one row for each record: ``part``
 (files in this order hold ascending doc_ids), ``file``, ``record``, ``doc_id``, ``offset``, ``length`` (of
 the whole record) and ``n_tokens``. A task writes a file under a name of its own and hands its index rows
 to Spark's writer, so files of attempts that failed are in no index.
@@ -16,7 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +29,8 @@ INDEX = "part long, file string, record long, doc_id long, offset long, length l
 RECORDS = "part long, record long, doc_id long, ids binary"
 BUFFER_BYTES = 4 << 20
 
-_HEAD = "<?q"
-_HEAD_BYTES = 9
+_HEAD = "<?qB"
+_HEAD_BYTES = 10
 
 
 def write_records(docs: DataFrame, folder: str, tokenizer: str, drops_spaces: bool, end_id: int) -> DataFrame:
@@ -43,7 +43,6 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, drops_spaces: bo
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    end = np.array([end_id], "<u4").tobytes()
     store = f"{folder}/records"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,27 +50,27 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, drops_spaces: bo
         files, path = open_store(store)
         files.create_dir(path, recursive=True)
         name, out, offset, record = new_name(part, ".records"), None, 0, 0
-        encode = encoder(tokenizer, drops_spaces).encode
+        encode = encoder(tokenizer, drops_spaces).encode_column
         try:
             for batch in batches:
-                for some in _slices(batch):
-                    ids = [x + end for x in encode(some.column("text").to_pylist())]
-                    doc_ids = some.column("doc_id").to_pylist()
-                    framed = frame([struct.pack(_HEAD, d is not None, d or 0) + x for d, x in zip(doc_ids, ids, strict=True)])
+                for row, ids, bounds in encode(batch.column("text")):
+                    n = len(bounds) - 1
+                    doc_ids = batch.column("doc_id").slice(row, n)
+                    texts = [np.append(x, np.uint32(end_id)) for x in np.split(ids, bounds[1:-1])]
+                    framed = frame([payload(d, x) for d, x in zip(doc_ids.to_pylist(), texts, strict=True)])
                     out = out or files.open_output_stream(f"{path}/{name}", compression=None)
                     out.write(b"".join(framed))
                     lengths = np.array([len(f) for f in framed], np.int64)
                     offsets = offset + np.cumsum(lengths) - lengths
-                    n = len(framed)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.full(n, part)),
                             pa.array([name] * n),
                             pa.array(np.arange(record, record + n)),
-                            some.column("doc_id"),
+                            doc_ids,
                             pa.array(offsets),
                             pa.array(lengths),
-                            pa.array([len(x) // 4 for x in ids], pa.int64()),
+                            pa.array([len(x) for x in texts], pa.int64()),
                         ],
                         ["part", "file", "record", "doc_id", "offset", "length", "n_tokens"],
                     )
@@ -84,16 +83,20 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, drops_spaces: bo
     return spark.read.schema(INDEX).parquet(f"{folder}/index")
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of about BUFFER_BYTES of text."""
-    first, size = 0, 0
-    for k, n in enumerate(pc.binary_length(batch.column("text")).fill_null(0).to_pylist()):
-        if size + n > BUFFER_BYTES and k > first:
-            yield batch.slice(first, k - first)
-            first, size = k, 0
-        size += n
-    if first < batch.num_rows:
-        yield batch.slice(first)
+def payload(doc_id: int | None, ids: np.ndarray) -> bytes:
+    """What a record holds."""
+    narrow = ids.astype("<u2")
+    width = 2 if (narrow == ids).all() else 4
+    return struct.pack(_HEAD, doc_id is not None, doc_id or 0, width) + (
+        narrow.tobytes() if width == 2 else ids.astype("<u4").tobytes()
+    )
+
+
+def parse(payload: bytes) -> tuple[int | None, bytes]:
+    """The doc_id, and the ids of four bytes each."""
+    has, doc_id, width = struct.unpack_from(_HEAD, payload)
+    ids = payload[_HEAD_BYTES:]
+    return doc_id if has else None, ids if width == 4 else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
 
 
 def frame(payloads: list[bytes]) -> list[bytes]:
@@ -120,13 +123,13 @@ def unframe(records: list[bytes]) -> list[bytes]:
 
 
 def _batch(part: list[int], record: list[int], payloads: list[bytes]) -> pa.RecordBatch:
-    heads = [struct.unpack_from(_HEAD, p) for p in payloads]
+    rows = [parse(p) for p in payloads]
     return pa.RecordBatch.from_arrays(
         [
             pa.array(part, pa.int64()),
             pa.array(record, pa.int64()),
-            pa.array([d if has else None for has, d in heads], pa.int64()),
-            pa.array([p[_HEAD_BYTES:] for p in payloads], pa.binary()),
+            pa.array([d for d, _ in rows], pa.int64()),
+            pa.array([x for _, x in rows], pa.binary()),
         ],
         ["part", "record", "doc_id", "ids"],
     )

@@ -80,20 +80,25 @@ _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 _KEEP = np.array([0, *((1 << (8 * n)) - 1 for n in range(1, 8)), (1 << 64) - 1], dtype=_U)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word of a run of texts (A-Z lower-cased), and the word offsets of the rows."""
+def word_ranges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of a run of texts begin and end, and the word offsets of the rows."""
     n = len(data)
-    if not n:
-        return np.empty(0, _U), np.zeros(len(offsets), np.int64)
-    low = np.zeros(n + 8, np.uint8)
-    np.take(_LOWER, data, out=low[:n])
     word = np.zeros(n + 1, bool)
     np.take(_IS_WORD, data, out=word[:n])
     first = np.zeros(n + 1, bool)
     first[offsets] = True
-    starts = np.flatnonzero(word[:n] & (np.r_[True, ~word[: n - 1]] | first[:n]))
+    before = np.zeros(n, bool)
+    before[1:] = word[: n - 1]
+    starts = np.flatnonzero(word[:n] & (~before | first[:n]))
     ends = np.flatnonzero(word[:n] & (~word[1:] | first[1:])) + 1
-    eight = np.ndarray((n + 1,), dtype="<u8", buffer=low, strides=(1,))
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of bytes."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
     length = ends - starts
     hashes = mix(length.astype(_U) * _MIX[0] ^ (eight[starts] & _KEEP[np.minimum(length, 8)]))
     at, more = 8, np.flatnonzero(length > 8)
@@ -102,7 +107,13 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         hashes[more] = mix(hashes[more] ^ (eight[starts[more] + at] & _KEEP[np.minimum(left, 8)]))
         at += 8
         more = more[left > 8]
-    return hashes, np.searchsorted(starts, offsets)
+    return hashes
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of a run of texts (A-Z lower-cased), and the word offsets of the rows."""
+    starts, ends, bounds = word_ranges(data, offsets)
+    return hash_ranges(_LOWER[data], starts, ends), bounds
 
 
 def shingle_sets(hashes: np.ndarray, bounds: np.ndarray, width: int = SHINGLE_WORDS) -> list[np.ndarray]:

@@ -1,24 +1,63 @@
 """Token ids of whole texts, with each distinct piece of text encoded once in a worker process.
 
 A tokenizer that cuts its input at white space gives the same ids piece by piece as over the whole text,
-if the pieces are cut where it must cut as well. So pieces that were met before are looked up, and only
-the new ones go through the library, thousands at a time.
+if the pieces are cut where it must cut as well. The pieces of many texts are found and told apart with
+numpy, by 64-bit hashes; ids of known ones are copied. A new piece of plain letters, digits and ASCII
+signs is cut into words as the pre-tokenizers of these files do, and words not met before go to the file's
+model; any other piece, and any text with white space beyond ASCII, goes through the whole tokenizer.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
-PIECES_AT_ONCE = 2000
-REMEMBERED_PIECES = 500_000
-RUN_CHARS = 1 << 20
+from alertline.llm.text import hash_ranges, text_chunks, word_ranges
 
-_LEADING = re.compile(r"\s*\S+|\s+")
-_UNSURE = re.compile("[\x1c-\x1f]")  # white space to Python but not to every regex library
+REMEMBERED_PIECES = 1_000_000
+REMEMBERED_WORDS = 150_000
+LONGEST_REMEMBERED = 256
+
+_LETTERS = "a-zA-ZÀ-ÖØ-öø-įı-ɏ"
+_PLAIN = re.compile(rf"[ \n]?[!-~{_LETTERS}]+")
+_SHORT = "'s|'t|'re|'ve|'m|'ll|'d|"
+_DROPPING = re.compile(rf"{_SHORT}[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+_KEEPING = re.compile(rf"{_SHORT} ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\n")
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+
+
+def _byte_signs() -> dict[int, int]:
+    """The sign that byte-level models have for each byte: printable ones stand for themselves."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in printable]
+    return {b: 256 + k for k, b in enumerate(rest)}
+
+
+_SIGNS = _byte_signs()
+
+
+class _Memory(dict):
+    """Results by key. When REMEMBERED_WORDS are held, those not asked for since the last time are forgotten."""
+
+    def __init__(self, find: Callable[[str], list[int]]) -> None:
+        self.find = find
+        self.older: dict[str, list[int]] = {}
+
+    def __missing__(self, key: str) -> list[int]:
+        found = self.older.get(key)
+        if found is None:
+            found = self.find(key)
+        if len(key) <= LONGEST_REMEMBERED:
+            if len(self) >= REMEMBERED_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
+        return found
 
 
 class Encoder:
@@ -35,56 +74,111 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.drops_spaces = drops_spaces
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        first = 0
-        while first < len(texts):
-            last, chars = first, 0
-            while last < len(texts) and (last == first or chars + len(texts[last] or "") <= RUN_CHARS):
-                chars += len(texts[last] or "")
-                last += 1
-            out += self._encode([self._cut(t or "") for t in texts[first:last]])
-            first = last
-        return out
-
-    def _cut(self, text: str) -> list[str]:
-        if self.drops_spaces:
-            return text.replace("\n", " ").split(" ")
-        if _UNSURE.search(text):
-            return [text]
-        return _LEADING.findall(text)
-
-    def _encode(self, cut: list[list[str]]) -> list[bytes]:
-        pieces = set().union(*cut)
-        new = pieces.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED_PIECES:
-            self.known.clear()
-            new = pieces
-        self._learn(sorted(new))
-        return [b"".join(map(self.known.__getitem__, p)) for p in cut]
-
-    def _learn(self, pieces: list[str]) -> None:
+        self.words = _Memory(self._word)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes = np.empty(0, np.uint64)  # ascending; of each: where its ids begin in the store, how many
+        self.begin = np.empty(0, np.int64)
+        self.count = np.empty(0, np.int64)
+        self.store = np.empty(0, np.uint32)
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text."""
+        column = pa.array(texts, pa.string())
+        return [x for _, ids, bounds in self.encode_column(column) for x in np.split(ids, bounds[1:-1])]
+
+    def encode_column(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Runs of rows of a string column: (first row, ids of all rows of the run, their bounds)."""
+        for row, data, offsets in text_chunks(column):
+            starts, ends, bounds = word_ranges(data, offsets)
+            if not self.drops_spaces:
+                starts, ends, bounds = _with_spaces(starts, ends, bounds, offsets)
+            begin, count = self._look_up(data, starts, ends)
+            upto = np.concatenate(([0], np.cumsum(count)))
+            ids = self.store[np.repeat(begin - upto[:-1], count) + np.arange(upto[-1])]
+            bounds = upto[bounds]
+            odd = self._odd_rows(data, offsets)
+            if odd:
+                parts = np.split(ids, bounds[1:-1])
+                for k in odd:
+                    text = data[offsets[k] : offsets[k + 1]].tobytes().decode()
+                    parts[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+                ids = np.concatenate(parts)
+                bounds = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+            yield row, ids, bounds
+
+    def _odd_rows(self, data: np.ndarray, offsets: np.ndarray) -> list[int]:
+        """Rows with other white space than ASCII's, where a cut may be wrong."""
         if self.drops_spaces:
-            joined, glue = pieces, " "
+            return []
+        unsure = np.flatnonzero((data >= 0x1C) & (data <= 0x1F) | (data == 0xC2) | (data >= 0xE1) & (data <= 0xE3))
+        rows = np.unique(np.searchsorted(offsets, unsure, side="right") - 1).tolist()
+        return [k for k in rows if _OTHER_SPACE.search(data[offsets[k] : offsets[k + 1]].tobytes().decode())]
+
+    def _look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each piece begin in the store, and how many they are."""
+        if not len(starts):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        distinct, first, inverse = np.unique(hash_ranges(data, starts, ends), return_index=True, return_inverse=True)
+        if len(self.hashes) + len(distinct) > REMEMBERED_PIECES:
+            self._forget()
+        at = np.searchsorted(self.hashes, distinct)
+        known = np.zeros(len(distinct), bool)
+        inside = at < len(self.hashes)
+        known[inside] = self.hashes[at[inside]] == distinct[inside]
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw = data.tobytes()
+            pairs = zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)
+            ids = [self._piece(raw[a:b].decode()) for a, b in pairs]
+            count = np.array([len(x) for x in ids], np.int64)
+            flat = np.array([i for x in ids for i in x], np.uint32)
+            begin = len(self.store) + np.cumsum(count) - count
+            self.store = np.concatenate((self.store, flat))
+            self.hashes, self.begin, self.count = (
+                np.insert(old, at[new], add)
+                for old, add in ((self.hashes, distinct[new]), (self.begin, begin), (self.count, count))
+            )
+            at = np.searchsorted(self.hashes, distinct)
+        return self.begin[at][inverse], self.count[at][inverse]
+
+    def _piece(self, piece: str) -> list[int]:
+        if not _PLAIN.fullmatch(piece):
+            return self.tokenizer.encode(piece, add_special_tokens=False).ids
+        words = _DROPPING.findall(piece.lower()) if self.drops_spaces else _KEEPING.findall(piece)
+        if len(words) == 1:
+            return self.words[words[0]]
+        return [i for word in words for i in self.words[word]]
+
+    def _word(self, word: str) -> list[int]:
+        if word.isascii():  # a quicker way for most words
+            signs = word.replace(" ", chr(_SIGNS[32])).replace("\n", chr(_SIGNS[10]))
         else:
-            joined, glue = [p for p in pieces if p[0].isspace() and not p[-1].isspace() and not _UNSURE.search(p)], ""
-            for p in set(pieces).difference(joined):
-                self.known[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
-        for k in range(0, len(joined), PIECES_AT_ONCE):
-            self._learn_joined(joined[k : k + PIECES_AT_ONCE], glue)
-
-    def _learn_joined(self, pieces: list[str], glue: str) -> None:
-        encoding = self.tokenizer.encode(glue.join(pieces), add_special_tokens=False)
-        ids = np.array(encoding.ids, "<u4")
-        places = np.array([a for a, _ in encoding.offsets], np.int64)
-        starts = np.cumsum([0, *(len(p) + len(glue) for p in pieces)])
-        bounds = np.searchsorted(places, starts).tolist()
-        for p, a, b in zip(pieces, bounds[:-1], bounds[1:], strict=True):
-            self.known[p] = ids[a:b].tobytes()
+            signs = word.encode().decode("latin-1").translate(_SIGNS)
+        return [token.id for token in self.model.tokenize(signs)]
+
+
+def _with_spaces(
+    starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, offsets: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces that begin where the word before ended, and pieces of the white space at the end of rows."""
+    filled = np.flatnonzero(bounds[1:] > bounds[:-1])
+    begin = np.empty_like(starts)
+    begin[1:] = ends[:-1]
+    begin[bounds[filled]] = offsets[filled]
+    last = offsets[:-1].copy()
+    last[filled] = ends[bounds[filled + 1] - 1]
+    trailing = np.flatnonzero(last < offsets[1:])
+    if not len(trailing):
+        return begin, ends, bounds
+    at = bounds[trailing + 1]
+    begin, ends = np.insert(begin, at, last[trailing]), np.insert(ends, at, offsets[trailing + 1])
+    extra = np.zeros(len(bounds), np.int64)
+    extra[trailing + 1] = 1
+    return begin, ends, bounds + np.cumsum(extra)
 
 
 @lru_cache(maxsize=2)

@@ -34,7 +34,7 @@ WHOLE = [whole(name) for name in FILES]
 @given(st.lists(st.text(alphabet="ab'sé1ÅΣ́世.!<|> \t\n \x1c\x85🙂", max_size=25), max_size=4))
 def test_pieces_give_the_ids_of_whole_texts(texts):
     for pieces, plain in zip(PIECES, WHOLE):
-        assert [np.frombuffer(x, "<u4").tolist() for x in pieces.encode(texts)] == [plain(t) for t in texts]
+        assert [x.tolist() for x in pieces.encode(texts)] == [plain(t) for t in texts]
 
 
 def test_checksums():
