@@ -8,8 +8,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import Bucketizer, VectorAssembler
+from pyspark.ml.feature import Bucketizer
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +21,11 @@ ISOTONIC, PLATT = "isotonic", "platt"
 HEAD_PERCENT = 1.0
 HEAD_LOSS_LIMIT = 0.02
 BRIER_SLACK = 2e-12
+NEWTON_STEPS = 50
+HALVINGS = 30
+GRADIENT_GOAL = 1e-14  # for each row
+GRADIENT_LIMIT = 1e-9  # good enough where rounding keeps it from falling further
+LOSS_SLACK = 1e-12
 
 
 def brier_column(p: str, y: str = "y") -> Column:
@@ -159,26 +163,54 @@ def fit_platt(df: DataFrame, score: str = "score", y: str = "y", c: float = 1.0)
 
 
 def platt_from_blocks(blocks: DataFrame, score: str = "score", c: float = 1.0) -> Calibrator:
-    """The logistic fit of up to two weighted points per distinct score.
+    """The logistic fit of one weighted point per distinct score, by Newton steps.
 
-    The penalty is stated per row in MLlib and for the whole table in the objective, hence 1 / (c n).
+    A step is one aggregation over the blocks. It is halved as long as it raises the objective; the fit ends
+    when the gradient is as good as zero, and fails if that is not reached.
     """
-    classes = F.array(
-        F.struct(F.lit(1.0).alias("label"), F.col("blk_tp").cast("double").alias("weight")),
-        F.struct(F.lit(0.0).alias("label"), F.col("blk_fp").cast("double").alias("weight")),
-    )
-    grouped = blocks.select(F.col(score).cast("double").alias("_s"), F.inline(classes)).filter("weight > 0")
-    points = VectorAssembler(inputCols=["_s"], outputCol="features").transform(grouped)
-    rows = blocks.agg(F.sum(F.col("blk_tp") + F.col("blk_fp"))).first()[0]
-    model = LogisticRegression(
-        regParam=1.0 / (c * rows),
-        elasticNetParam=0.0,
-        standardization=False,
-        weightCol="weight",
-        maxIter=1000,
-        tol=1e-10,
-    ).fit(points)
-    return Calibrator(PLATT, (float(model.coefficients[0]), float(model.intercept)))
+    slope, intercept, before = 0.0, 0.0, math.inf
+    at = _logistic(blocks, score, c, slope, intercept)
+    for _ in range(NEWTON_STEPS):
+        gradient = max(abs(at["ga"]), abs(at["gb"])) / at["rows"]
+        if gradient <= GRADIENT_GOAL or gradient <= GRADIENT_LIMIT and gradient >= before:
+            return Calibrator(PLATT, (slope, intercept))
+        before = gradient
+        determinant = at["haa"] * at["hbb"] - at["hab"] ** 2
+        step = (
+            (at["hbb"] * at["ga"] - at["hab"] * at["gb"]) / determinant,
+            (at["haa"] * at["gb"] - at["hab"] * at["ga"]) / determinant,
+        )
+        for _ in range(HALVINGS):
+            new = _logistic(blocks, score, c, slope - step[0], intercept - step[1])
+            if new["loss"] <= at["loss"] + LOSS_SLACK * abs(at["loss"]):
+                break
+            step = (step[0] / 2, step[1] / 2)
+        slope, intercept, at = slope - step[0], intercept - step[1], new
+    raise ValueError("the logistic fit did not reach a zero gradient")
+
+
+def _logistic(blocks: DataFrame, score: str, c: float, slope: float, intercept: float) -> dict[str, float]:
+    """Objective, gradient and second derivatives of the penalised logistic loss, and the number of rows."""
+    x, n, tp = F.col(score).cast("double"), F.col("blk_tp") + F.col("blk_fp"), F.col("blk_tp")
+    z = F.lit(slope) * x + F.lit(intercept)
+    points = blocks.select(x.alias("x"), n.cast("double").alias("n"), tp.cast("double").alias("tp"), z.alias("z"))
+    p = 1 / (1 + F.exp(-F.col("z")))
+    points = points.withColumn("off", F.col("n") * p - F.col("tp")).withColumn("h", F.col("n") * p * (1 - p))
+    loss = F.col("n") * (F.log1p(F.exp(-F.abs("z"))) + F.greatest("z", F.lit(0.0))) - F.col("tp") * F.col("z")
+    row = points.agg(
+        F.sum("n").alias("rows"),
+        F.sum(loss).alias("loss"),
+        F.sum(F.col("off") * F.col("x")).alias("ga"),
+        F.sum("off").alias("gb"),
+        F.sum(F.col("h") * F.col("x") * F.col("x")).alias("haa"),
+        F.sum(F.col("h") * F.col("x")).alias("hab"),
+        F.sum("h").alias("hbb"),
+    ).first()
+    at = row.asDict()
+    at["loss"] += slope * slope / (2 * c)
+    at["ga"] += slope / c
+    at["haa"] += 1 / c
+    return at
 
 
 @dataclass(frozen=True)

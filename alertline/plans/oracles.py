@@ -507,6 +507,20 @@ ORACLES["unseen_categories"] = f"WITH {SIDES} " + " UNION ALL ".join(
 EXCEPT SELECT {c} FROM train WHERE {c} IS NOT NULL)"""
     for c in ("DeviceInfo", "ProductCD")
 )
+ORACLES["platt_probs"] = f"""
+WITH RECURSIVE {SCORED}, b AS (SELECT score AS s, COUNT(*)::DOUBLE AS n, SUM(y)::DOUBLE AS tp FROM scored GROUP BY 1),
+steps AS (
+  SELECT 0 AS k, 0.0::DOUBLE AS slope, 0.0::DOUBLE AS base
+  UNION ALL
+  SELECT k + 1, slope - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), base - (haa * gb - hab * ga) / (haa * hbb - hab * hab)
+  FROM (
+    SELECT k, slope, base, SUM((n * p - tp) * s) + slope AS ga, SUM(n * p - tp) AS gb,
+      SUM(n * p * (1 - p) * s * s) + 1 AS haa, SUM(n * p * (1 - p) * s) AS hab, SUM(n * p * (1 - p)) AS hbb
+    FROM (SELECT k, slope, base, s, n, tp, 1 / (1 + exp(-(slope * s + base))) AS p FROM steps, b WHERE k < 25)
+    GROUP BY k, slope, base))
+SELECT id, epoch_us(time) AS time, y::BIGINT AS y, {_r('score', 'score')},
+  round(1 / (1 + exp(-(slope * score + base))), 6) AS p_cal
+FROM scored, steps WHERE k = 25"""
 ORACLES["class_weight"] = f"""
 WITH {SCORED}, {CUT.format(time='time', table='scored')}, t AS (
   SELECT SUM(y) AS pos, SUM(1 - y) AS neg FROM scored, cut WHERE epoch_us(time) <= t_cut)

@@ -512,7 +512,8 @@ def isotonic_probs(spark, folder):
 @query
 def platt_probs(spark, folder):
     data = scored(spark, folder)
-    return rounded(calibration.fit_platt(data).transform(data), "score", "p_cal")
+    fitted = calibration.fit_platt(data).transform(data)
+    return rounded(fitted.withColumn("p_cal", F.round("p_cal", 6)), "score")
 
 
 @query
