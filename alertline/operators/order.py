@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 
 from alertline.functions.scalar import epoch_micros, sql_literal
 
-MAX_RANGES = 2048  # ranges of the first key
-MAX_SUB_RANGES = 512  # ranges of a later key inside one frequent value
+ROWS_PER_RANGE = 4_000_000  # more rows than that in a range of the first key ask for more ranges
+BROADCAST_CELLS = 1_000_000  # a table of more ranges is joined by a shuffle
 EXACT_DOUBLES = 2.0**53  # integers up to here are doubles of their own
 HOT_WEIGHT = 4.0  # a value filling this many ranges is cut again along the next key
 SKETCH_PER_RANGE = 10  # sketch resolution: a tenth of a range
@@ -93,11 +93,23 @@ class Ranges:
     keys: tuple[Key, ...]
     splits: tuple[tuple[float, ...], ...]
     hot: tuple[tuple[float | None, ...], ...] = field(default=())
+    # of the last key: how many neighbouring cells are one, and for which values of the key before
+    steps: tuple[tuple[int, tuple[float | None, ...]], ...] = field(default=())
 
     @property
     def columns(self) -> list[str]:
         return [f"_range{i}" for i in range(len(self.splits))]
 
+    @property
+    def most_cells(self) -> int:
+        """A bound for the number of ranges: cells of the first key, and those inside its frequent values."""
+        cells = len(self.splits[0])
+        for level in range(1, len(self.splits)):
+            steps = {v: step for step, values in self.steps for v in values} if level == len(self.splits) - 1 else {}
+            inside = sum(len(self.splits[level]) // steps.get(v, 1) + 1 for v in self.hot[level - 1])
+            cells += inside * max(1, len(self.hot[level - 2])) if level > 1 else inside
+        return cells
+
     def assign(self, df: DataFrame) -> DataFrame:
         """Add the range columns; ordering by them agrees with ordering by the keys."""
         count = len(self.splits)
@@ -113,6 +125,11 @@ class Ranges:
         for level, (cell, name) in enumerate(zip(cells, self.columns)):
             number = F.coalesce(F.col(cell), F.lit(len(self.splits[level]))).cast("int")  # nulls last
             if level:
+                if level == count - 1:
+                    for step, values in self.steps:
+                        number = F.when(
+                            _one_of(doubles[level - 1], values), F.floor(number / step).cast("int")
+                        ).otherwise(number)
                 inside = reduce(lambda a, b: a & b, [_one_of(doubles[i], self.hot[i]) for i in range(level)])
                 number = F.when(inside, number).otherwise(F.lit(-1))
             columns.append(number.alias(name))
@@ -120,8 +137,8 @@ class Ranges:
 
 
 def range_count(spark: SparkSession) -> int:
-    """Number of ranges: a few per shuffle partition, within fixed bounds."""
-    return max(16, min(MAX_RANGES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    """Number of ranges to begin with: a few per shuffle partition."""
+    return max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _merge_quantiles(found: Sequence[tuple], count: int) -> list[float]:
@@ -141,12 +158,13 @@ def _merge_quantiles(found: Sequence[tuple], count: int) -> list[float]:
 def find_ranges(df: DataFrame, keys: Sequence[Key], count: int | None = None) -> Ranges:
     """Choose cut points that spread the rows of ``df`` evenly along ``keys``.
 
-    One sketch pass per key; the passes after the first read only the frequent values and
-    happen only if there are any. Sketches meet in up to ``MAX_SKETCHES`` groups, so that no
-    task merges the sketches of all input splits; the driver merges their quantiles.
+    One sketch pass per key (two for the first, if its ranges turn out to hold more than ROWS_PER_RANGE rows);
+    the passes after the first read only the frequent values and happen only if there are any. Sketches
+    meet in up to ``MAX_SKETCHES`` groups, so that no task merges the sketches of all input splits; the
+    driver merges their quantiles.
     """
     spark = df.sparkSession
-    count = count or range_count(spark)
+    given, count = count, count or range_count(spark)
     names = [f"_key{i}" for i in range(len(keys))]
     data = df.select(*[k.as_double(df.schema[k.name].dataType).alias(n) for k, n in zip(keys, names)])
 
@@ -154,21 +172,18 @@ def find_ranges(df: DataFrame, keys: Sequence[Key], count: int | None = None) ->
     groups: dict[tuple, float] = {(): float(count)}
     splits: list[tuple[float, ...]] = []
     hot: list[tuple[float | None, ...]] = []
+    steps: tuple[tuple[int, tuple[float | None, ...]], ...] = ()
     for level, name in enumerate(names):
-        cells = count if level == 0 else min(count, MAX_SUB_RANGES)
-        shares = ", ".join(f"{i / cells!r}D" for i in range(1, cells))
-        prefix = names[:level]
-        rows = data
-        for column, values in zip(prefix, hot):
-            rows = rows.filter(_one_of(column, values))
-        fan = max(1, MAX_SKETCHES // len(groups))
-        sketches = rows.groupBy(*prefix, (F.spark_partition_id() % fan).alias("_part")).agg(
-            F.expr(f"percentile_approx({name}, array({shares}), {SKETCH_PER_RANGE * cells})").alias("_q"),
-            F.count(F.lit(1)).alias("_n"),
-            F.count(name).alias("_filled"),
-        )
+        cells = count if level == 0 else max(2, min(count, math.ceil(max(groups.values()))))
+        found = _sketch(data, names[:level], name, cells, groups)
+        if level == 0 and given is None:
+            rows = sum(row["_n"] for row in found)
+            if rows > count * ROWS_PER_RANGE:  # once more, with ranges that a task can hold
+                count = cells = math.ceil(rows / ROWS_PER_RANGE)
+                groups = {(): float(count)}
+                found = _sketch(data, names[:level], name, cells, groups)
         parts: dict[tuple, list] = {}
-        for row in sketches.collect():  # at most MAX_SKETCHES rows of the groups that are looked for
+        for row in found:
             group = tuple(row[:level])
             if group in groups:
                 parts.setdefault(group, []).append((row["_q"], row["_n"], row["_filled"]))
@@ -190,10 +205,50 @@ def find_ranges(df: DataFrame, keys: Sequence[Key], count: int | None = None) ->
         inner = sorted(c for c in cuts if math.isfinite(c)) or [0.0]
         splits.append((-math.inf, *inner, math.inf))
         if not frequent:
+            steps = _steps(groups, len(inner) + 1) if level else ()
             break
         hot.append(tuple(sorted({group[-1] for group in frequent}, key=lambda v: (v is None, v or 0.0))))
         groups = frequent
-    return Ranges(tuple(keys), tuple(splits), tuple(hot))
+    return Ranges(tuple(keys), tuple(splits), tuple(hot), steps)
+
+
+def _sketch(data: DataFrame, prefix: Sequence[str], name: str, cells: int, groups: Mapping[tuple, float]) -> list:
+    """Quantiles of a key inside each of the given groups, from some parts of the rows of each.
+
+    Returns MAX_SKETCHES rows, or one for each group if these are more.
+    """
+    shares = ", ".join(f"{i / cells!r}D" for i in range(1, cells))
+    rows = data
+    if prefix:
+        wanted = data.sparkSession.createDataFrame(
+            [tuple(g) for g in groups], ", ".join(f"_w{i} double" for i in range(len(prefix)))
+        )
+        same = [F.col(c).eqNullSafe(F.col(f"_w{i}")) for i, c in enumerate(prefix)]
+        rows = data.join(F.broadcast(wanted), reduce(lambda a, b: a & b, same), "left_semi")
+    fan = max(1, MAX_SKETCHES // len(groups))
+    sketches = rows.groupBy(*prefix, (F.spark_partition_id() % fan).alias("_part")).agg(
+        F.expr(f"percentile_approx({name}, array({shares}), {SKETCH_PER_RANGE * cells})").alias("_q"),
+        F.count(F.lit(1)).alias("_n"),
+        F.count(name).alias("_filled"),
+    )
+    return sketches.collect()
+
+
+def _steps(groups: Mapping[tuple, float], cells: int) -> tuple[tuple[int, tuple[float | None, ...]], ...]:
+    """How many neighbouring cells count as one inside each frequent value, so that it has about twice its share.
+
+    The cuts of the last key are those of all frequent values together; without this, each value would be cut
+    by the cuts of all others. Steps are powers of two, so that there are few.
+    """
+    weights: dict[float | None, float] = {}
+    for group, weight in groups.items():
+        weights[group[-1]] = max(weight, weights.get(group[-1], 0.0))
+    by_step: dict[int, list[float | None]] = {}
+    for value, weight in weights.items():
+        step = 1 << max(0, math.floor(math.log2(max(1.0, cells / (2 * weight)))))
+        if step > 1:
+            by_step.setdefault(step, []).append(value)
+    return tuple((step, tuple(values)) for step, values in sorted(by_step.items()))
 
 
 def running(
@@ -216,8 +271,8 @@ def running(
     their contribution to each sum, so that the range totals need not wait for that aggregate
     (``rank`` and ``n_rows`` are then counted in source rows and of no use).
 
-    The broadcast table has one row per non-empty range, a number that ``MAX_RANGES`` and
-    ``MAX_SUB_RANGES`` bound. The join is a left join only to spare the rows a null filter.
+    The table of range totals has one row per non-empty range, a few times the number of ranges; it is
+    broadcast if its cells are few enough. The join is a left join only to spare the rows a null filter.
     """
     sums, lag, lead = dict(sums or {}), dict(lag or {}), dict(lead or {})
     ranges = ranges or find_ranges(df, keys)
@@ -261,7 +316,8 @@ def running(
         *[F.lead(c).over(inside).alias(f"_c_{n}") for n, c in lead.items()],
         *[F.count(F.lit(1)).over(inside.rowsBetween(1, 1)).alias(f"_more_{n}") for n in lead],
     )
-    joined = local.join(F.broadcast(offsets), cell, "left")
+    few = ranges.most_cells <= BROADCAST_CELLS and not by
+    joined = local.join(F.broadcast(offsets) if few else offsets, cell, "left")
     return joined.select(
         *[joined[c] for c in df.columns],
         (F.col("_rank") + F.col("_o_rank")).cast("bigint").alias("rank"),

@@ -18,9 +18,9 @@ from alertline.operators.calibration import (
     platt_from_blocks,
     require_both_classes,
 )
-from alertline.operators.curves import score_blocks
+from alertline.operators.curves import curve_summary, score_blocks
 from alertline.operators.points import fpr_rows, operating_points, topk_table
-from alertline.operators.quality import enforce, probability_checks, require_columns
+from alertline.operators.quality import enforce, monotone_badges, probability_checks, require_columns
 from alertline.operators.splits import positional_split
 from alertline.session import stored
 from alertline.sources.sinks import read_points, upsert_points, write_csv, write_parquet
@@ -86,12 +86,23 @@ def save_calibration(calibration: Calibration, path: str, spark: SparkSession, r
     )
 
 
+def curves_after_calibration(calibrated: DataFrame) -> DataFrame:
+    """ROC-AUC and average precision of the raw and the calibrated scores, one row each."""
+    rows = [
+        curve_summary(calibrated, column, "y").select(F.lit(name).alias("score_name"), "roc_auc", "average_precision")
+        for name, column in (("raw", "score"), ("calibrated", "p_cal"))
+    ]
+    return rows[0].unionByName(rows[1])
+
+
 def decide(
     scores: DataFrame, calibrator: Calibrator, run_id: str, run_folder: str, points_path: str, window: str = "full"
 ) -> DataFrame:
     """Apply a calibrator, check and store the probabilities, and update the operating points of the run.
 
-    The full window includes the rows the calibrator was fitted on; ``holdout`` is the last 20% by time.
+    The full window includes the rows the calibrator was fitted on; ``holdout`` is the last 20% by time. Beside
+    the points, ``curves_after.parquet`` (raw and calibrated side by side) and ``badges.parquet`` (whether
+    the points move as they should) are written to the run folder.
     """
     typed = typed_scores(scores).filter(F.col("score").isNotNull())
     path = write_parquet(calibrator.transform(typed), f"{run_folder}/{CALIBRATED_SCORES}.parquet")
@@ -103,4 +114,6 @@ def decide(
     stored_points = read_points(scores.sparkSession, points_path)
     for name, value in key.items():
         stored_points = stored_points.filter(F.col(name) == value)
+    write_parquet(curves_after_calibration(rows), f"{run_folder}/curves_after.parquet")
+    write_parquet(monotone_badges(stored_points), f"{run_folder}/badges.parquet")
     return stored_points

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from alertline.functions.scalar import micros_literal
 from alertline.operators.boost import TrainedModel, class_weight, importances, train
-from alertline.operators.clean import FeatureReport, add_time_features, drop_sparse, feature_report, to_score_schema, without_nan
+from alertline.operators.clean import FeatureReport, add_time_features, drop_sparse, feature_report, select_contract, to_score_schema, without_nan
 from alertline.operators.curves import best_f1, curve_summary, threshold_metrics
 from alertline.operators.points import precision_at_k, recall_at_fpr
 from alertline.operators.prep import Prep, fit_prep, unseen_categories
@@ -17,7 +17,7 @@ from alertline.operators.profile import class_balance, missing_profile
 from alertline.operators.quality import enforce, score_checks, split_checks, table_checks
 from alertline.operators.splits import split_report, time_cut, time_split
 from alertline.session import stored
-from alertline.sources.sinks import write_parquet
+from alertline.sources.sinks import run_metadata, write_parquet, write_report
 from alertline.sources.tables import create_joined_view, fingerprint, load_csv, load_dataset, load_joined
 
 LABEL, TIME, KEY = "isFraud", "dt", "TransactionID"
@@ -72,7 +72,8 @@ def split_and_fit(df: DataFrame, path: str | None = None) -> PreparedSides:
     sides = split_report(df, cut, TIME, LABEL)
     enforce(split_checks(sides))
     features = feature_report(df)
-    train_side, val_side = time_split(df, cut, TIME)
+    contracted = select_contract(df, [*features.numeric, *features.categorical], [c for c in (KEY, TIME, LABEL) if c in df.columns])
+    train_side, val_side = time_split(contracted, cut, TIME)
     prep = fit_prep(train_side, features.numeric, features.categorical, path)
     return PreparedSides(cut, {r["side"]: r.asDict() for r in sides.collect()}, features, prep, train_side, val_side)
 
@@ -102,12 +103,18 @@ def fit_model(sides: PreparedSides, **parameters) -> TrainedModel:
     )
 
 
-def freeze_scores(sides: PreparedSides, model: TrainedModel, path: str) -> DataFrame:
-    """Score the validation side, check the result, and store (id, time, y, score)."""
+def freeze_scores(sides: PreparedSides, model: TrainedModel, path: str, run_id: str | None = None) -> DataFrame:
+    """Score the validation side, check the result, and store (id, time, y, score).
+
+    With a ``run_id``, a report of what the scores were made from is written beside them (``<path>.about``).
+    """
     scored = model.score(sides.prep.vectors(sides.val, [KEY, TIME, LABEL]))
     write_parquet(to_score_schema(scored, KEY, TIME, LABEL), path)
     frozen = sides.val.sparkSession.read.parquet(path)
     enforce(score_checks(frozen))
+    if run_id is not None:
+        spark = sides.val.sparkSession
+        write_report(spark, run_metadata(frozen, run_id, cut_text(sides), TIME), f"{path}.about")
     return frozen
 
 

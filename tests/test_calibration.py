@@ -130,6 +130,9 @@ def test_from_scores_to_decisions(spark, df):
     assert fitted.metrics["isotonic"].brier <= fitted.metrics["raw"].brier + 0.05
     folder = scratch_path(spark, "run")
     points = decisions.decide(df, fitted.chosen, "run_1", folder, f"{folder}/points")
+    curves = {r["score_name"]: r for r in spark.read.parquet(f"{folder}/curves_after.parquet").collect()}
+    assert set(curves) == {"raw", "calibrated"} and all(0.5 < r["roc_auc"] <= 1 for r in curves.values())
+    assert spark.read.parquet(f"{folder}/badges.parquet").count() > 0
     assert points.count() == 8
     late = decisions.decide(df, fitted.chosen, "run_1", folder, f"{folder}/points", window="holdout")
     assert late.agg(F.max("alerts")).first()[0] < points.agg(F.max("alerts")).first()[0]

@@ -134,3 +134,30 @@ def test_numbers_beyond_exact_doubles(spark):
     df = spark.range(1000).select((F.col("id") % 2 + 2**53).alias("a"), (-F.col("id")).alias("b"))
     got = [(r["a"], r["b"]) for r in rank_rows(df, [asc("a"), asc("b")]).orderBy("rank").collect()]
     assert got == sorted(got)
+
+
+@pytest.mark.parametrize("scores", [100, 500])
+def test_cells_stay_near_the_wanted_number(spark, scores):
+    """Each frequent score is cut by its own share of the ranges, not by the cuts of all others."""
+    df = spark.range(200_000).select(
+        (F.xxhash64("id") % scores).cast("double").alias("score"),
+        F.timestamp_micros(F.col("id") * 1000).cast("timestamp_ntz").alias("time"),
+        "id",
+    )
+    keys = alert_order()
+    ranges = order.find_ranges(df, keys, 2048)
+    cells = ranges.assign(df).groupBy(*ranges.columns).count()
+    assert cells.count() <= 3 * 2048
+    largest = cells.agg(F.max("count")).first()[0]
+    assert largest <= max(6 * 200_000 / 2048, 3 * 200_000 / scores / max(1, 2048 // scores // 2))
+    ranked = rank_rows(df, keys)
+    along = Window.orderBy(F.desc("score"), "time", "id")
+    wrong = ranked.withColumn("expected", F.row_number().over(along)).filter("rank != expected")
+    assert wrong.count() == 0
+
+
+def test_ranges_follow_measured_rows(spark, monkeypatch):
+    monkeypatch.setattr(order, "ROWS_PER_RANGE", 100)
+    df = spark.range(50_000).select(F.col("id").cast("double").alias("score"))
+    ranges = order.find_ranges(df, [asc("score")])
+    assert 400 <= len(ranges.splits[0]) <= 600

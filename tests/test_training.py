@@ -140,7 +140,10 @@ def test_saved_model(spark, sides, model):
 
 
 def test_frozen_scores_and_summary(spark, sides, model):
-    frozen = training.freeze_scores(sides, model, scratch_path(spark, "scores"))
+    path = scratch_path(spark, "scores")
+    frozen = training.freeze_scores(sides, model, path, "r1")
+    about = sinks.read_report(spark, f"{path}.about")
+    assert (about["run_id"], about["rows_val"]) == ("r1", frozen.count())
     assert frozen.columns == ["id", "time", "y", "score"] and frozen.count() == 2_000
     summary = training.training_summary(model, frozen)
     assert 0.5 < summary["roc_auc"] <= 1 and summary["best_iteration"] == model.iterations
