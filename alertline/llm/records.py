@@ -122,12 +122,11 @@ def unframe(records: list[bytes]) -> list[bytes]:
     return payloads
 
 
-def _batch(part: list[int], record: list[int], payloads: list[bytes]) -> pa.RecordBatch:
-    rows = [parse(p) for p in payloads]
+def _batch(part: int, first: int, rows: list[tuple[int | None, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(part, pa.int64()),
-            pa.array(record, pa.int64()),
+            pa.array([part] * len(rows), pa.int64()),
+            pa.array(range(first, first + len(rows)), pa.int64()),
             pa.array([d for d, _ in rows], pa.int64()),
             pa.array([x for _, x in rows], pa.binary()),
         ],
@@ -154,22 +153,31 @@ def _stream(stream: pa.NativeFile) -> Iterator[list[bytes]]:
         yield some
 
 
+def _files(batches: Iterator[pa.RecordBatch], store: str) -> Iterator[tuple[int, int, list[tuple[int | None, bytes]]]]:
+    """The records of files named by (part, file), from front to back: part, number of the first, (doc_id, ids)."""
+    opened, path = open_store(store)
+    for batch in batches:
+        for part, name in zip(batch.column("part").to_pylist(), batch.column("file").to_pylist(), strict=True):
+            first = 0
+            with opened.open_input_stream(f"{path}/{name}", compression=None, buffer_size=1 << 20) as stream:
+                for some in _stream(stream):
+                    yield part, first, [parse(p) for p in unframe(some)]
+                    first += len(some)
+
+
+def _named(spark: SparkSession, files: list[tuple[int, str]]) -> DataFrame:
+    return spark.createDataFrame(files, "part long, file string").repartition(max(1, len(files)))
+
+
 def read_all(spark: SparkSession, folder: str, files: list[tuple[int, str]]) -> DataFrame:
-    """Every record of the named files (part, file), read from front to back: part, record, doc_id, ids."""
+    """Every record of the named files (part, file): part, record (its number in the file), doc_id, ids."""
     store = f"{folder}/records"
-    rows = spark.createDataFrame(files, "part long, file string").repartition(max(1, len(files)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened, path = open_store(store)
-        for batch in batches:
-            for part, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                record = 0
-                with opened.open_input_stream(f"{path}/{name}", buffer_size=1 << 20) as stream:
-                    for some in _stream(stream):
-                        yield _batch([part] * len(some), list(range(record, record + len(some))), unframe(some))
-                        record += len(some)
+        for part, first, rows in _files(batches, store):
+            yield _batch(part, first, rows)
 
-    return rows.mapInArrow(read, RECORDS)
+    return _named(spark, files).mapInArrow(read, RECORDS)
 
 
 def read_at(index: DataFrame, folder: str) -> DataFrame:
@@ -183,8 +191,8 @@ def read_at(index: DataFrame, folder: str) -> DataFrame:
             for row in batch.to_pylist():
                 if row["file"] != name:
                     name, file = row["file"], opened.open_input_file(f"{path}/{row['file']}")
-                payload = unframe([file.read_at(row["length"], row["offset"])])
-                yield _batch([row["part"]], [row["record"]], payload)
+                found = unframe([file.read_at(row["length"], row["offset"])])
+                yield _batch(row["part"], row["record"], [parse(found[0])])
 
     return index.select("part", "file", "record", "offset", "length").mapInArrow(read, RECORDS)
 
@@ -198,26 +206,24 @@ def document_spans(spark: SparkSession, folder: str, index: DataFrame) -> DataFr
     totals = index.groupBy("part", "file").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
     before = np.cumsum([0, *(t["n"] for t in totals)]).tolist()
     base = {t["part"]: b for t, b in zip(totals, before[:-1], strict=True)}
-    records = read_all(spark, folder, [(t["part"], t["file"]) for t in totals])
+    store = f"{folder}/records"
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, start = None, 0
-        for batch in batches:
-            parts, ids = batch.column("part").to_pylist(), batch.column("ids").to_pylist()
-            starts = []
-            for p, x in zip(parts, ids, strict=True):
-                if p != part:
-                    part, start = p, base[p]
-                starts.append(start)
-                start += len(x) // 4
+        start = 0
+        for part, first, rows in _files(batches, store):
+            start = base[part] if first == 0 else start
+            lengths = [len(x) // 4 for _, x in rows]
+            starts = start + np.cumsum(lengths) - lengths
+            start += sum(lengths)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"),
+                    pa.array([d for d, _ in rows], pa.int64()),
                     pa.array(starts, pa.int64()),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([zlib.crc32(x) for x in ids], pa.int64()),
+                    pa.array(lengths, pa.int64()),
+                    pa.array([zlib.crc32(x) for _, x in rows], pa.int64()),
                 ],
                 ["doc_id", "start", "n_tokens", "ids_crc32"],
             )
 
-    return records.mapInArrow(spans, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files = [(t["part"], t["file"]) for t in totals]
+    return _named(spark, files).mapInArrow(spans, "doc_id long, start long, n_tokens long, ids_crc32 long")
