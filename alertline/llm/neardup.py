@@ -1,10 +1,11 @@
 """Near-duplicate documents by a multi-index Hamming join of b-bit MinHash signatures.
 
-A signature has SYMBOLS MinHash values of 16 bits, cut into CHUNKS chunks. If two signatures differ in
-at most MAX_DISTANCE symbols, some chunk differs in at most MAX_DISTANCE // CHUNKS = 1 symbols, so
-leaving out each symbol of a chunk in turn gives the two at least one equal key. The join on the keys
-therefore finds every pair within that distance. Two sets with a resemblance of 0.85 differ in 9 of 60
-symbols on average; more than MAX_DISTANCE differ in about one pair of a million.
+A signature has SYMBOLS MinHash values of 16 bits, cut into chunks of equal size. If two signatures differ
+in at most 2 * chunks - 1 symbols, some chunk differs in at most one symbol, so leaving out each symbol of a
+chunk in turn gives the two at least one equal key. The join on the keys therefore finds every pair within
+that distance. The number of chunks follows from the threshold: two sets with a resemblance of 0.85 differ in
+9 of 60 symbols on average and in more than 23 (12 chunks) in about two pairs of a million; at 0.80 it takes
+15 chunks, and two pairs of ten million differ in more than 29.
 
 Equal sets are one node from the start. Rows that share a key are never paired: each hangs on the
 smallest of its key, the components of that are candidate groups, and within a group blocks of bounded
@@ -15,6 +16,7 @@ blocks returns a spanning forest of its links only.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,6 +32,7 @@ CHUNKS = 12
 CHUNK_SYMBOLS = 5
 SYMBOLS = CHUNKS * CHUNK_SYMBOLS
 MAX_DISTANCE = 2 * CHUNKS - 1
+MAX_MISS_RATE = 2.5e-6
 BLOCK_ROWS = 256
 THRESHOLD_PERCENT = 85
 
@@ -37,6 +40,24 @@ _U = np.uint64
 _FACTORS = mix(np.arange(1, SYMBOLS + 1, dtype=_U)) | _U(1)
 
 
+def miss_rate(threshold_percent: int, chunks: int) -> float:
+    """The share of pairs with a resemblance of the threshold that differ in more symbols than ``chunks`` serve."""
+    p = 1 - threshold_percent / 100
+    over = range(2 * chunks, SYMBOLS + 1)
+    return sum(math.comb(SYMBOLS, k) * p**k * (1 - p) ** (SYMBOLS - k) for k in over)
+
+
+def chunks_for(threshold_percent: int) -> int:
+    """The least number of chunks that misses MAX_MISS_RATE of the pairs at the threshold, or fewer.
+
+    Chunks have five or four symbols: keys of more do not fit in 64 bits, and keys of fewer meet by chance.
+    """
+    for size in (CHUNK_SYMBOLS, CHUNK_SYMBOLS - 1):
+        if miss_rate(threshold_percent, SYMBOLS // size) <= MAX_MISS_RATE:
+            return SYMBOLS // size
+    raise ValueError(f"signatures of {SYMBOLS} symbols cannot find the pairs at a threshold of {threshold_percent} percent")
+
+
 def near_duplicates(
     docs: DataFrame, threshold_percent: int = THRESHOLD_PERCENT, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
@@ -50,9 +71,11 @@ def near_duplicates(
     all are null, component_id is null and the row is kept. Other columns are ignored. An empty table
     gives an empty result.
 
-    The MinHash part finds all pairs under its signature distance (see the module); every link is
-    confirmed on full sets, by 64-bit hashes of the shingles.
+    The MinHash part finds all pairs under its signature distance, which follows from the threshold (see the
+    module; a threshold below 78 raises ValueError); every link is confirmed on full sets, by 64-bit hashes of
+    the shingles.
     """
+    chunks = chunks_for(threshold_percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stored(docs.mapInArrow(_sign, "doc_id long, n_shingles long, node long, signature binary"), "signed")
     nodes = stored(
@@ -61,8 +84,8 @@ def near_duplicates(
         .agg(F.min("doc_id").alias("least"), F.max("signature").alias("signature")),
         "nodes",
     )
-    candidates = components(_star_links(nodes), "candidates")
-    close = _block_links(nodes.join(candidates, "node"), "signature", _signature_links, block_rows)
+    candidates = components(_star_links(nodes, chunks), "candidates")
+    close = _block_links(nodes.join(candidates, "node"), "signature", _signature_links(2 * chunks - 1), block_rows)
     close = components(close, "close")
     texts = close.join(nodes, "node").select("node", "component", F.col("least").alias("doc_id"))
     sets = _sets_of(docs, texts)
@@ -128,20 +151,21 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch], chunks: int = CHUNKS) -> Iterator[pa.RecordBatch]:
     """The keys of each signature: every chunk without each of its symbols in turn."""
+    size = SYMBOLS // chunks
     for batch in batches:
         if not batch.num_rows:
             continue
         symbols = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16)
-        symbols = symbols.reshape(batch.num_rows, CHUNKS, CHUNK_SYMBOLS).astype(_U)
-        keys = np.empty((batch.num_rows, CHUNKS, CHUNK_SYMBOLS), _U)
-        for left_out in range(CHUNK_SYMBOLS):
-            packed = np.zeros((batch.num_rows, CHUNKS), _U)
-            for k in range(CHUNK_SYMBOLS):
+        symbols = symbols.reshape(batch.num_rows, chunks, size).astype(_U)
+        keys = np.empty((batch.num_rows, chunks, size), _U)
+        for left_out in range(size):
+            packed = np.zeros((batch.num_rows, chunks), _U)
+            for k in range(size):
                 if k != left_out:
                     packed = packed << _U(16) | symbols[:, :, k]
-            place = np.arange(CHUNKS, dtype=_U) * _U(CHUNK_SYMBOLS) + _U(left_out)
+            place = np.arange(chunks, dtype=_U) * _U(size) + _U(left_out)
             keys[:, :, left_out] = mix(packed ^ mix(place + _U(1)))
         flat = keys.reshape(-1).view(np.int64)
         offsets = np.arange(0, len(flat) + 1, SYMBOLS, dtype=np.int32)
@@ -150,9 +174,10 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _star_links(nodes: DataFrame) -> DataFrame:
+def _star_links(nodes: DataFrame, chunks: int) -> DataFrame:
     """Hang each node on the smallest node with the same key."""
-    keyed = nodes.select("node", "signature").mapInArrow(_keys, "node long, keys array<long>")
+    signed = nodes.select("node", "signature")
+    keyed = signed.mapInArrow(lambda batches: _keys(batches, chunks), "node long, keys array<long>")
     keyed = keyed.select("node", F.explode("keys").alias("key"))
     heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     return keyed.join(heads.drop("n"), "key").select(F.col("node").alias("a"), F.col("head").alias("b"))
@@ -242,12 +267,15 @@ def _forest(pairs: Iterator[tuple[int, int]], n: int) -> Iterator[tuple[int, int
             yield a, b
 
 
-def _signature_links(payloads: list[bytes], one: list[int], two: list[int]) -> Iterator[tuple[int, int]]:
-    symbols = np.frombuffer(b"".join(payloads), np.uint16).reshape(len(payloads), SYMBOLS)
-    right = symbols[two]
-    for a in one:
-        for k in np.flatnonzero((right != symbols[a]).sum(1) <= MAX_DISTANCE).tolist():
-            yield a, two[k]
+def _signature_links(max_distance: int) -> Callable:
+    def find(payloads: list[bytes], one: list[int], two: list[int]) -> Iterator[tuple[int, int]]:
+        symbols = np.frombuffer(b"".join(payloads), np.uint16).reshape(len(payloads), SYMBOLS)
+        right = symbols[two]
+        for a in one:
+            for k in np.flatnonzero((right != symbols[a]).sum(1) <= max_distance).tolist():
+                yield a, two[k]
+
+    return find
 
 
 def _set_links(threshold_percent: int) -> Callable:

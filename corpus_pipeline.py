@@ -20,6 +20,9 @@ from alertline.llm.rules import score_quality, train
 from alertline.llm.text import keep_where
 from alertline.session import stored
 
+#: Near-duplicates of the corpus: sets of 5-word shingles with a resemblance of 0.8 or more (op3 has a rule of its own).
+NEAR_PERCENT = 80
+
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 #: No SQL: tokenizing, tree growing and hashing of shingles are not expressible. The tests hold the result
@@ -41,7 +44,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates."""
-    return drop_near_duplicates(docs).select(*COLUMNS)
+    return drop_near_duplicates(docs, NEAR_PERCENT).select(*COLUMNS)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

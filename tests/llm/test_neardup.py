@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from alertline.llm import neardup
 from alertline.llm.components import components
 from alertline.llm.neardup import drop_near_duplicates, near_duplicates
@@ -115,3 +116,55 @@ def test_many_equal_copies_of_hot_texts(spark):
     copies = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
     got = near_duplicates(copies).groupBy("component_id", "n_shingles").count().collect()
     assert [tuple(r) for r in got] == [(0, 56, 3000)]
+
+
+def pairs_between(seed, pairs, low, high):
+    """Pairs of texts of 300 words, with some words changed, whose resemblance is in [low, high)."""
+    rng = random.Random(seed)
+    rows = []
+    while len(rows) < 2 * pairs:
+        base = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+        text = list(base)
+        for at in rng.sample(range(300), rng.randrange(4, 16)):
+            text[at] = f"x{rng.randrange(10**9)}"
+        a, b = shingle_set(" ".join(base)), shingle_set(" ".join(text))
+        if low <= len(a & b) / len(a | b) < high:
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(text))]
+    return rows
+
+
+def test_pipeline_stage_drops_pairs_from_080(spark):
+    near, far = pairs_between(11, 600, 0.80, 0.85), pairs_between(12, 40, 0.70, 0.80)
+    rows = near + [(10_000 + d, text) for d, text in far]
+    sets = {d: shingle_set(text) for d, text in rows}
+    gone = {b for a, b in zip(sorted(sets)[::2], sorted(sets)[1::2]) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert len(gone) == 600
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(d, text, "en", "s", len(text)) for d, text in rows], schema)
+    kept = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(kept) == sorted(set(sets) - gone)
+
+
+@pytest.mark.parametrize("percent", [95, 85, 84, 80, 78])
+def test_layout_follows_the_threshold(percent):
+    import pyarrow as pa
+
+    chunks = neardup.chunks_for(percent)
+    assert neardup.miss_rate(percent, chunks) <= neardup.MAX_MISS_RATE
+    rng = np.random.default_rng(percent)
+    for _ in range(100):
+        a = rng.integers(0, 1 << 16, neardup.SYMBOLS, dtype=np.uint16)
+        b = a.copy()
+        at = rng.choice(neardup.SYMBOLS, 2 * chunks - 1, replace=False)
+        b[at] ^= rng.integers(1, 1 << 16, len(at), dtype=np.uint16)
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array([1, 2]), pa.array([a.tobytes(), b.tobytes()], pa.binary())], ["node", "signature"]
+        )
+        one, two = next(neardup._keys([batch], chunks)).column("keys").to_pylist()
+        assert set(one) & set(two)
+
+
+def test_layout_refuses_thresholds_it_would_miss():
+    for percent in (77, 50):
+        with pytest.raises(ValueError):
+            neardup.chunks_for(percent)
