@@ -15,7 +15,7 @@ from alertline.llm.neardup import near_duplicates
 from alertline.llm.packing import pack, token_pieces
 from alertline.llm.records import document_spans, write_records
 from alertline.llm.rules import HELD_OUT_FOLD, fold, score_quality, train
-from alertline.llm.toolcalls import calls_of_turns, link_calls
+from alertline.llm.toolcalls import calls_of_turns, link_calls, other_turns
 from alertline.llm.warc import read_archives, write_archives
 from alertline.session import scratch_path
 
@@ -129,5 +129,6 @@ def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
     """Tool calls that stand for the turns of all conversations, linked, ordered and serialised."""
-    calls, results = calls_of_turns(table(spark, folder, "conversations"))
-    return link_calls(calls, results)
+    turns = table(spark, folder, "conversations")
+    calls, results = calls_of_turns(turns)
+    return link_calls(calls, results).unionByName(other_turns(turns))

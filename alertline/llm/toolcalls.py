@@ -16,11 +16,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertline.llm.text import n_words, words
+from alertline.llm.text import n_words
 from alertline.session import stored
 
 KINDS = {"string": (str,), "integer": (int,), "number": (int, float), "boolean": (bool,), "array": (list,), "object": (dict,)}
 
+OUTPUT = (
+    "conv_id long, call_id string, turn long, result_turn long, status string, level long, valid boolean, "
+    "problems array<string>, message string"
+)
+FIELDS = pa.schema(
+    [
+        ("conv_id", pa.int64()),
+        ("call_id", pa.string()),
+        ("turn", pa.int64()),
+        ("result_turn", pa.int64()),
+        ("status", pa.string()),
+        ("level", pa.int64()),
+        ("valid", pa.bool_()),
+        ("problems", pa.list_(pa.string())),
+        ("message", pa.string()),
+    ]
+)
+
 # Schemas of the tools that calls_of_turns makes calls to.
 SCHEMAS = {
     "search": {
@@ -31,7 +49,11 @@ SCHEMAS = {
         "required": ["query", "limit"],
     },
     "measure": {
-        "properties": {"words": {"type": "integer", "minimum": 0}, "share": {"type": "number", "maximum": 1}},
+        "properties": {
+            "text": {"type": "string"},
+            "words": {"type": "integer", "minimum": 0},
+            "share": {"type": "number", "maximum": 1},
+        },
         "required": ["words"],
     },
 }
@@ -84,22 +106,21 @@ def problems(arguments: str | None, schema: dict | None) -> tuple[object, list[s
 def calls_of_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results that stand for the turns of conversations (conv_id, turn, role, text).
 
-    Each user turn calls a tool: "search" with its first eight words and its number of words, or "measure"
-    in every third turn; it waits for the call of the user turn two turns earlier. Each assistant turn is
-    the result for the call of the turn before it. Null ids, turns and texts go through as nulls.
+    Each user turn calls a tool with its whole text and its number of words: "search", or "measure" in every
+    third turn; it waits for the call of the user turn two turns earlier. Each assistant turn is the result for
+    the call of the turn before it. Null ids, turns and texts go through as nulls; arguments leave a null text
+    and the share of no words out. Turns with other roles are for ``other_turns``.
     """
     conv, turn = F.col("conv_id").cast("long"), F.col("turn").cast("long")
 
     def name(t: Column) -> Column:
         return F.concat(F.lit("call_"), conv.cast("string"), F.lit("_"), t.cast("string"))
 
-    n = n_words(F.col("text"))
-    search = F.to_json(
-        F.struct(
-            F.array_join(F.slice(words(F.col("text")), 1, 8), " ").alias("query"), n.cast("int").alias("limit")
-        )
-    )
-    measure = F.to_json(F.struct(n.alias("words"), (1 / n.cast("double")).alias("share")))
+    text = F.col("text").cast("string")
+    n = n_words(text)
+    search = F.to_json(F.struct(text.alias("query"), n.cast("int").alias("limit")))
+    share = F.when(n > 0, 1 / n.cast("double")).alias("share")
+    measure = F.to_json(F.struct(text.alias("text"), n.alias("words"), share))
     third = F.pmod(turn, F.lit(3)) == 0
     calls = turns.filter("role = 'user'").select(
         conv.alias("conv_id"),
@@ -115,6 +136,34 @@ def calls_of_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
+def other_turns(turns: DataFrame) -> DataFrame:
+    """A row for each turn that is neither the user's nor the assistant's, with the columns of ``link_calls``.
+
+    A null role is such a role too. The status is "message"; ``message`` holds role, turn and the whole text,
+    and nothing is linked, ordered or validated: call_id, result_turn and level are null, valid is false.
+    """
+    user_or_assistant = F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False))
+    rows = turns.filter(~user_or_assistant).select(
+        F.col("conv_id").cast("long").alias("conv_id"),
+        F.col("turn").cast("long").alias("turn"),
+        F.col("role").cast("string").alias("role"),
+        F.col("text").cast("string").alias("text"),
+    )
+    return rows.mapInArrow(_serialise_others, OUTPUT)
+
+
+def _serialise_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, 2000):
+            out = []
+            for r in batch.slice(k, 2000).to_pylist():
+                message = {"role": r["role"], "status": "message", "text": r["text"], "turn": r["turn"]}
+                none = {"call_id": None, "result_turn": None, "level": None, "valid": False, "problems": []}
+                kept = {"conv_id": r["conv_id"], "turn": r["turn"], "status": "message"}
+                out.append(kept | none | {"message": canonical(message)})
+            yield pa.RecordBatch.from_pylist(out, FIELDS)
+
+
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
     """Link calls with results: one row for each call, and one for each result without a call.
 
@@ -185,11 +234,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict] |
         .otherwise("duplicate result").alias("status"),
     )
     every = linked.unionByName(rest).unionByName(more)
-    return every.mapInArrow(
-        _serialiser(schemas),
-        "conv_id long, call_id string, turn long, result_turn long, status string, level long, valid boolean, "
-        "problems array<string>, message string",
-    )
+    return every.mapInArrow(_serialiser(schemas), OUTPUT)
 
 
 def _numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
@@ -249,20 +294,6 @@ def _levels(calls: DataFrame) -> DataFrame:
 
 
 def _serialiser(schemas: dict[str, dict]):
-    fields = pa.schema(
-        [
-            ("conv_id", pa.int64()),
-            ("call_id", pa.string()),
-            ("turn", pa.int64()),
-            ("result_turn", pa.int64()),
-            ("status", pa.string()),
-            ("level", pa.int64()),
-            ("valid", pa.bool_()),
-            ("problems", pa.list_(pa.string())),
-            ("message", pa.string()),
-        ]
-    )
-
     def row(r: dict) -> dict:
         is_call = r["status"] not in ("orphan result", "duplicate result")
         arguments, found = problems(r["arguments"], schemas.get(r["tool"])) if is_call else (None, [])
@@ -282,6 +313,6 @@ def _serialiser(schemas: dict[str, dict]):
     def serialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 2000):
-                yield pa.RecordBatch.from_pylist([row(r) for r in batch.slice(k, 2000).to_pylist()], fields)
+                yield pa.RecordBatch.from_pylist([row(r) for r in batch.slice(k, 2000).to_pylist()], FIELDS)
 
     return serialise

@@ -1,4 +1,5 @@
 import json
+from collections import Counter
 
 from conftest import FOLDER
 
@@ -86,3 +87,32 @@ def test_canonical_json():
         {"words": 2},
         ["words is not allowed"],
     )
+
+
+def turns_of(rows):
+    """The turns that the rows of the query hold: (conv_id, turn, role, text)."""
+    found = []
+    for r in rows:
+        message = json.loads(r.message)
+        if "call" in message:
+            arguments = message["call"]["arguments"]
+            found.append((r.conv_id, r.turn, "user", arguments.get("query", arguments.get("text"))))
+        if "result" in message:
+            found.append((r.conv_id, r.result_turn, "assistant", message["result"]["content"]))
+        if r.status == "message":
+            found.append((r.conv_id, r.turn, message["role"], message["text"]))
+    return Counter(found)
+
+
+def test_every_turn_is_found_with_its_whole_text(spark, tmp_path):
+    turns = spark.read.parquet(f"{FOLDER}/conversations.parquet")
+    assert turns_of(QUERIES["op10_tool_calls"](spark, FOLDER).collect()) == Counter(map(tuple, turns.collect()))
+    long = " ".join(f"w{k}" for k in range(5000)) + " \t\n\"end"
+    odd = [
+        (1, 0, "system", long), (1, 1, "user", long), (1, 2, "assistant", long), (1, 3, "user", long), (1, 3, "tool", "x"),
+        (2, 3, "user", ""), (2, 6, "user", None), (2, 5, "user", None), (2, 7, None, "no role"), (2, 7, None, None),
+        (2, 7, None, None), (None, None, "user", "a b"), (None, None, "system", "a b"), (3, 4, "assistant", "a"), (3, 1, "user", ""),
+    ]
+    frame = spark.createDataFrame(odd, "conv_id long, turn long, role string, text string")
+    frame.write.parquet(str(tmp_path / "conversations.parquet"))
+    assert turns_of(QUERIES["op10_tool_calls"](spark, str(tmp_path)).collect()) == Counter(odd)
