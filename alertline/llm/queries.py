@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alertline.llm.bpe import decode_ids, encode_texts
 from alertline.llm.fingerprints import hex_string, with_fingerprint, with_next_document, with_resemblance
 from alertline.llm.licenses import scan_licenses
 from alertline.llm.lines import quality_verdict
@@ -15,6 +16,8 @@ from alertline.llm.neardup import near_duplicates
 from alertline.llm.packing import pack, token_pieces
 from alertline.llm.records import document_spans, write_records
 from alertline.llm.rules import HELD_OUT_FOLD, fold, score_quality, train
+from alertline.llm.runs import find_runs
+from alertline.llm.text import words
 from alertline.llm.toolcalls import calls_of_turns, link_calls, other_turns
 from alertline.llm.warc import read_archives, write_archives
 from alertline.session import scratch_path
@@ -132,3 +135,55 @@ def op10_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations")
     calls, results = calls_of_turns(turns)
     return link_calls(calls, results).unionByName(other_turns(turns))
+
+
+@query
+def op12_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of all documents and the texts they decode to, as digests."""
+    path = tokenizer("byte_bpe_50k.json")
+    docs = decode_ids(encode_texts(table(spark, folder, "documents").select("doc_id", "text"), path), path)
+    return docs.select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """Documents of which a tenth, by crc32 of the doc_id, repeat some of their words from a place on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(all_words: Column) -> Column:
+        n = F.size(all_words).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        period = F.slice(all_words, (a + 1).cast("int"), p.cast("int"))
+        tail = F.flatten(F.array_repeat(period, F.ceil((n - a) / p).cast("int")))
+        changed = F.concat(F.slice(all_words, F.lit(1), a.cast("int")), F.slice(tail, F.lit(1), (n - a).cast("int")))
+        return F.when(n > 0, F.concat_ws(" ", changed)).otherwise("")
+
+    periodic = F.element_at(F.transform(F.array(words(F.col("text"))), repeated), 1)
+    return docs.withColumn("text", F.when(h % 10 == 0, periodic).otherwise(F.col("text")))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of words in all documents, some of which are made periodic first."""
+    docs = find_runs(with_periods(table(spark, folder, "documents").select("doc_id", "text")))
+    # the greatest length first, then the smallest start, then the smallest period
+    order = F.transform("runs", lambda r: F.struct((-r.length).alias("less"), r.start.alias("start"), r.period.alias("period")))
+    best = F.array_min(order)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    docs = docs.select("doc_id", "runs", "collapsed", best.alias("best"))
+    return docs.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        (-F.col("best.less")).alias("length"),
+        F.col("best.period").alias("period"),
+        F.floor(-1000 * F.col("best.less") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", lines), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
