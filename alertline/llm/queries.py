@@ -15,6 +15,7 @@ from alertline.llm.mixing import mix, taken
 from alertline.llm.neardup import near_duplicates
 from alertline.llm.packing import pack, token_pieces
 from alertline.llm.records import document_spans, write_records
+from alertline.llm.repair import repair, summaries
 from alertline.llm.rules import HELD_OUT_FOLD, fold, score_quality, train
 from alertline.llm.runs import find_runs
 from alertline.llm.text import words
@@ -137,6 +138,38 @@ def op10_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
     return link_calls(calls, results).unionByName(other_turns(turns))
 
 
+def with_damage(turns: DataFrame) -> DataFrame:
+    """Conversations of which some turns, by crc32 of conv_id:turn, are dropped, emptied, cut, repeated or reroled.
+
+    A null is one space.
+    """
+    conv, turn, role, text = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text"))
+    kind = F.crc32(F.concat(conv, F.lit(":"), turn)) % 20
+    damaged = turns.select(
+        "conv_id",
+        "turn",
+        F.when(kind == 4, "user").otherwise(role).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1).alias("copies"),
+    )
+    return damaged.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).drop("copies", "copy")
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults and cheapest repairs of all conversations, some turns of which are damaged first."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    found = summaries(repair(with_damage(turns))).withColumnRenamed("conv_id", "_conv_id")
+    rows = turns.select("conv_id").distinct().join(found, F.expr("conv_id <=> _conv_id"), "left").drop("_conv_id")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return rows.select(
+        "conv_id",
+        *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
 @query
 def op12_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of all documents and the texts they decode to, as digests."""
