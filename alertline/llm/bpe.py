@@ -1,10 +1,11 @@
 """Byte-level BPE from a tokenizer file: texts to token ids and back.
 
-A text is cut into words by the pre-tokenizer's pattern, and each distinct word is merged once in a worker
-process. A word holds a contiguous array of part boundaries, and beside it the rank of every pair of
-neighbouring parts. The smallest rank (the first of equal ones) is found by a scan; its boundary is deleted,
-and the ranks of the two pairs beside it are refreshed. Words of more than ``SHORT_WORD`` bytes, for which
-scans would take quadratic time, keep the same ranks in a heap; the ids are the same.
+A text is cut into words by the pre-tokenizer's pattern, and words met for the first time are merged. A word
+holds its parts in a contiguous array, and beside it the rank at every boundary of two parts. The smallest rank
+(the first of equal ones) is found by a scan; its boundary is deleted, and the ranks of the boundaries next to
+it are refreshed. New words of one length are rows of a matrix and go through these steps together. Words of
+more than ``SHORT_WORD`` bytes, for which scans would take quadratic time, keep the same ranks in a heap; the
+ids are the same.
 
 Strings of the file's added tokens become their ids wherever they stand, as in the tokenizers library.
 """
@@ -13,19 +14,24 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alertline.llm.tokens import _byte_signs, _Memory
+from alertline.llm.tokens import _byte_signs
 
 SHORT_WORD = 256
+FEW_WORDS = 8
+REMEMBERED_WORDS = 200_000
+RUN_CHARS = 2 << 20
 NO_RANK = 1 << 40
 
 #: Fixed value: how byte-level tokenizer files of this kind cut texts into words.
@@ -33,6 +39,10 @@ PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
+#: The same for texts of plain signs and Latin letters only, which the quicker engine can cut.
+_LATIN = "a-zA-ZÀ-ÖØ-öø-ɏ"
+_PLAIN = re.compile(rf"[\n -~{_LATIN}]*")
+_PLAIN_CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^ \n{_LATIN}0-9]+|[ \n]+(?![^ \n])|[ \n]+")
 
 
 class RankBpe:
@@ -59,6 +69,11 @@ class RankBpe:
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.pairs.setdefault(vocabulary[left] << 32 | vocabulary[right], rank)
             self.merged.append(vocabulary[left + right])
+        keys = np.fromiter(self.pairs, np.int64, len(self.pairs))
+        order = np.argsort(keys)
+        self.pair_keys = np.append(keys[order], np.iinfo(np.int64).max)
+        self.pair_ranks = np.append(np.fromiter(self.pairs.values(), np.int64, len(keys))[order], NO_RANK)
+        self.first_ids, self.merged_ids = np.array(self.first), np.array(self.merged)
         self.added = {t["content"]: t["id"] for t in added}
         tokens = {i: token for token, i in vocabulary.items()} | {i: token for token, i in self.added.items()}
         self.bytes_of = {
@@ -68,47 +83,101 @@ class RankBpe:
         self.cut = regex.compile(PATTERN)
         longest_first = sorted(self.added, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if self.added else None
-        self.words = _Memory(self.word)
-
-    def encode(self, text: str | None) -> array:
-        """The ids of a text; a null or empty one has none."""
-        ids = array("I")
-        words = self.words
-        for k, part in enumerate(self.special.split(text or "") if self.special else [text or ""]):
-            if k % 2:
-                ids.append(self.added[part])
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, as unsigned 32-bit integers in a row; a null or empty text has none."""
+        cut = [self._words(text or "") for text in texts]
+        self._learn(set().union(*(words for parts in cut for words in parts[::2])))
+        of, added = self.known.__getitem__, self.added
+        out = []
+        for parts in cut:
+            ids = (array("I", [added[p]]).tobytes() if k % 2 else b"".join(map(of, p)) for k, p in enumerate(parts))
+            out.append(b"".join(ids))
+        return out
+
+    def _words(self, text: str) -> list:
+        """The words of a text between strings of added tokens, and these strings, in turn."""
+        parts = self.special.split(text) if self.special else [text]
+        for k in range(0, len(parts), 2):
+            plain = _PLAIN.fullmatch(parts[k])
+            parts[k] = (_PLAIN_CUT if plain else self.cut).findall(parts[k])
+        return parts
+
+    def _learn(self, words: set[str]) -> None:
+        """Know at least these words. Those not asked for since the last time are forgotten when many are held."""
+        if len(self.known) > REMEMBERED_WORDS:
+            self.older, self.known = self.known, {}
+        known, older, new = self.known, self.older, {}
+        for word in words.difference(known):
+            found = older.get(word)
+            if found is None:
+                new.setdefault(len(data := word.encode()), []).append((word, data))
             else:
-                for word in self.cut.findall(part):
-                    ids.extend(words[word])
-        return ids
+                known[word] = found
+        for length, some in new.items():
+            if length > SHORT_WORD or len(some) < FEW_WORDS:
+                merge = self._long if length > SHORT_WORD else self._short
+                known.update((word, merge(data).tobytes()) for word, data in some)
+            else:
+                known.update(zip((word for word, _ in some), self._together([data for _, data in some]), strict=True))
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left << 32 | right
+        at = np.searchsorted(self.pair_keys, keys)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NO_RANK)
+
+    def _together(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words of one length: each turn deletes one boundary of every word that has one to delete."""
+        out: list[bytes] = [b""] * len(words)
+        ids = self.first_ids[np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1)]
+        ranks = self._ranks(ids[:, :-1], ids[:, 1:])
+        which = np.arange(len(words))
+        while len(which):
+            width = ids.shape[1]
+            at = ranks.argmin(1) if width > 1 else np.zeros(len(which), np.int64)
+            rows = np.arange(len(which))
+            lowest = ranks[rows, at] if width > 1 else np.full(len(which), NO_RANK)
+            done = lowest == NO_RANK
+            if done.any():
+                raw, step = ids[done].astype("<u4").tobytes(), 4 * width
+                for k, word in enumerate(which[done].tolist()):
+                    out[word] = raw[k * step : (k + 1) * step]
+                more = ~done
+                which, ids, ranks, at, lowest = which[more], ids[more], ranks[more], at[more], lowest[more]
+                rows = rows[: len(which)]
+                if not len(which):
+                    break
+            ids[rows, at] = self.merged_ids[lowest]
+            places = np.arange(width - 1)
+            ids = np.take_along_axis(ids, places + (places > at[:, None]), 1)
+            ranks = np.take_along_axis(ranks, places[:-1] + (places[:-1] >= at[:, None]), 1)
+            has = np.flatnonzero(at > 0)
+            ranks[has, at[has] - 1] = self._ranks(ids[has, at[has] - 1], ids[has, at[has]])
+            has = np.flatnonzero(at < width - 2)
+            ranks[has, at[has]] = self._ranks(ids[has, at[has]], ids[has, at[has] + 1])
+        return out
 
     def decode(self, ids: array) -> str:
         """The text of some ids. Bytes that are no UTF-8 become U+FFFD, ids that the file does not know nothing."""
         return b"".join([self.bytes_of.get(i, b"") for i in ids]).decode("utf-8", "replace")
 
-    def word(self, word: str) -> array:
-        """The ids of one word."""
-        data = word.encode()
-        if len(data) > SHORT_WORD:
-            return self._long(data)
-        return self._short(data)
-
     def _short(self, data: bytes) -> array:
-        """Boundaries and ranks side by side; ``ranks[k]`` is that of the parts on both sides of boundary k."""
+        """The ids of one word; ``ranks[k]`` is that of the parts on both sides of boundary k."""
         first, pairs, merged = self.first, self.pairs, self.merged
         ids = [first[b] for b in data]
-        bounds = list(range(1, len(data)))
         ranks = [pairs.get(a << 32 | b, NO_RANK) for a, b in zip(ids, ids[1:])]
         while ranks:
             lowest = min(ranks)
             if lowest == NO_RANK:
                 break
             k = ranks.index(lowest)
-            del bounds[k], ranks[k], ids[k + 1]
+            del ranks[k], ids[k + 1]
             ids[k] = merged[lowest]
             if k:
                 ranks[k - 1] = pairs.get(ids[k - 1] << 32 | ids[k], NO_RANK)
-            if k < len(bounds):
+            if k < len(ranks):
                 ranks[k] = pairs.get(ids[k] << 32 | ids[k + 1], NO_RANK)
         return array("I", ids)
 
@@ -145,15 +214,31 @@ def rank_bpe(path: str) -> RankBpe:
     return RankBpe(path)
 
 
-def _with_column(df: DataFrame, name: str, kind: T.DataType, source: str, make) -> DataFrame:
+def _runs(column: pa.Array, size: Callable) -> Iterator[tuple[int, list]]:
+    """Runs of rows with a bounded sum of sizes (or one row): the first of them, and their values."""
+    values, total, start = [], 0, 0
+    for row, value in enumerate(column):
+        value = value.as_py()
+        values.append(value)
+        total += size(value)
+        if total > RUN_CHARS:
+            yield start, values
+            values, total, start = [], 0, row + 1
+    if values:
+        yield start, values
+
+
+def _with_column(df: DataFrame, name: str, kind: T.DataType, source: str, make: Callable, arrow: pa.DataType) -> DataFrame:
     """``df`` with a column worked out in Python from another one; a column of that name is replaced."""
     df = df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() != name.lower()))
     schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = make(batch.column(batch.schema.names.index(source)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, name])
+            for first, values in _runs(batch.column(batch.schema.names.index(source)), lambda v: len(v or "")):
+                part = batch.slice(first, len(values))
+                column = pa.array(make(values), arrow)
+                yield pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, name])
 
     return df.mapInArrow(add, schema)
 
@@ -164,19 +249,14 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "ids")
     A null or empty text has no ids (empty, not null). Repeated rows stay, an empty table stays empty, other
     columns pass through, and a column named ``ids`` is replaced.
     """
-
-    def make(column: pa.Array) -> pa.Array:
-        encode = rank_bpe(path).encode
-        return pa.array((encode(t.as_py()).tobytes() for t in column), pa.binary())
-
-    return _with_column(df, ids, T.BinaryType(), text, make)
+    return _with_column(df, ids, T.BinaryType(), text, lambda texts: rank_bpe(path).encode(texts), pa.binary())
 
 
 def decode_ids(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``df`` with the text of a binary column of ids; null or empty ids make an empty text."""
 
-    def make(column: pa.Array) -> pa.Array:
+    def make(values: list[bytes | None]) -> list[str]:
         decode = rank_bpe(path).decode
-        return pa.array((decode(array("I", x.as_py() or b"")) for x in column), pa.string())
+        return [decode(array("I", value or b"")) for value in values]
 
-    return _with_column(df, text, T.StringType(), ids, make)
+    return _with_column(df, text, T.StringType(), ids, make, pa.string())

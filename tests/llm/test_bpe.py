@@ -23,7 +23,7 @@ def expected(text):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(alphabet=SIGNS, max_size=20), max_size=3).map("<|endoftext|>".join))
 def test_ids_are_the_librarys(text):
-    ids = RULES.encode(text)
+    ids = array("I", RULES.encode([text])[0])
     assert list(ids) == expected(text)
     assert RULES.decode(ids) == text
 
@@ -41,6 +41,22 @@ def test_long_words_merge_as_short_ones(word):
     assert list(RULES._long(data)) == list(RULES._short(data)) == expected(word)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="abcdeé", min_size=6, max_size=6).filter(lambda w: len(w.encode()) == 8), max_size=30))
+def test_words_merge_together_as_alone(words):
+    data = [w.encode() for w in words]
+    if data:
+        assert RULES._together(data) == [RULES._short(d).tobytes() for d in data]
+
+
+def test_forgotten_words_are_found_again(monkeypatch):
+    monkeypatch.setattr("alertline.llm.bpe.REMEMBERED_WORDS", 5)
+    rules = RankBpe(PATH)
+    texts = [" ".join(f"{c}word{k}" for k in range(20)) for c in "abcabc"]
+    for text in texts:
+        assert list(array("I", rules.encode([text, None, ""])[0])) == expected(text)
+
+
 def test_other_kinds_of_files_are_refused():
     with pytest.raises(ValueError):
         RankBpe(tokenizer("word_bpe_49k.json"))
