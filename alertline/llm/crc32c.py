@@ -75,6 +75,19 @@ def crc32c(parts: list[bytes]) -> np.ndarray:
     return out ^ start ^ _W(0xFFFFFFFF)
 
 
+@lru_cache(maxsize=1)
+def _byte_table() -> list[int]:
+    return _tables()[0].tolist()
+
+
+def crc32c_of_few(data: bytes) -> int:
+    """The checksum of a few bytes, one after the other; ``crc32c`` is for many or long strings."""
+    register, table = 0xFFFFFFFF, _byte_table()
+    for byte in data:
+        register = table[(register ^ byte) & 255] ^ register >> 8
+    return register ^ 0xFFFFFFFF
+
+
 def masked(crc: np.ndarray) -> np.ndarray:
     """Checksums of data that may hold checksums: rotated right by 15 bits, plus a constant."""
     crc = crc.astype(_W)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertline.llm.crc32c import crc32c, masked
+from alertline.llm.crc32c import MASK_DELTA, crc32c, crc32c_of_few, masked
 from alertline.llm.files import new_name, open_store
 from alertline.llm.tokens import encoder
 
@@ -122,11 +122,17 @@ def unframe(records: list[bytes]) -> list[bytes]:
     return payloads
 
 
-def _batch(part: int, first: int, rows: list[tuple[int | None, bytes]]) -> pa.RecordBatch:
+def _found(index: list[dict], records: list[bytes]) -> pa.RecordBatch:
+    """Rows of records that lie where some index rows say."""
+    parsed = [parse(p) for p in unframe(records)]
+    return _batch([r["part"] for r in index], [r["record"] for r in index], parsed)
+
+
+def _batch(parts: list[int], records: list[int] | range, rows: list[tuple[int | None, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([part] * len(rows), pa.int64()),
-            pa.array(range(first, first + len(rows)), pa.int64()),
+            pa.array(parts, pa.int64()),
+            pa.array(records, pa.int64()),
             pa.array([d for d, _ in rows], pa.int64()),
             pa.array([x for _, x in rows], pa.binary()),
         ],
@@ -134,6 +140,13 @@ def _batch(part: int, first: int, rows: list[tuple[int | None, bytes]]) -> pa.Re
     )
 
 
+def _check_head(head: bytes) -> None:
+    """Trust a length only if its checksum is right."""
+    crc = crc32c_of_few(head[:8])
+    if ((crc >> 15 | crc << 17) + MASK_DELTA) & 0xFFFFFFFF != struct.unpack("<I", head[8:12])[0]:
+        raise ValueError("the checksum of a record's length is wrong")
+
+
 def _stream(stream: pa.NativeFile) -> Iterator[list[bytes]]:
     """The records of an open file in order, some at a time."""
     some, size = [], 0
@@ -141,8 +154,7 @@ def _stream(stream: pa.NativeFile) -> Iterator[list[bytes]]:
         if len(head) < 12:
             raise ValueError("a record's head is cut off")
         rest = struct.unpack("<Q", head[:8])[0] + 4
-        if masked(crc32c([head[:8]]))[0] != struct.unpack("<I", head[8:])[0]:
-            raise ValueError("the checksum of a record's length is wrong")
+        _check_head(head)
         body = stream.read(rest)
         some.append(head + body)
         size += rest
@@ -175,7 +187,7 @@ def read_all(spark: SparkSession, folder: str, files: list[tuple[int, str]]) ->
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, first, rows in _files(batches, store):
-            yield _batch(part, first, rows)
+            yield _batch([part] * len(rows), range(first, first + len(rows)), rows)
 
     return _named(spark, files).mapInArrow(read, RECORDS)
 
@@ -188,11 +200,20 @@ def read_at(index: DataFrame, folder: str) -> DataFrame:
         opened, path = open_store(store)
         name, file = None, None
         for batch in batches:
+            rows, records, size = [], [], 0
             for row in batch.to_pylist():
                 if row["file"] != name:
+                    if file is not None:
+                        file.close()
                     name, file = row["file"], opened.open_input_file(f"{path}/{row['file']}")
-                found = unframe([file.read_at(row["length"], row["offset"])])
-                yield _batch(row["part"], row["record"], [parse(found[0])])
+                rows.append(row)
+                records.append(file.read_at(row["length"], row["offset"]))
+                size += row["length"]
+                if size > BUFFER_BYTES:
+                    yield _found(rows, records)
+                    rows, records, size = [], [], 0
+            if rows:
+                yield _found(rows, records)
 
     return index.select("part", "file", "record", "offset", "length").mapInArrow(read, RECORDS)
 

@@ -2,13 +2,15 @@
 
 A tokenizer that cuts its input at white space gives the same ids piece by piece as over the whole text,
 if the pieces are cut where it must cut as well. The pieces of many texts are found and told apart with
-numpy, by 64-bit hashes; ids of known ones are copied. A new piece of plain letters, digits and ASCII
+numpy, by 64-bit hashes; ids of known ones are copied. Which files cut their input so is read from their
+rules; texts go whole through a tokenizer with other rules. A new piece of plain letters, digits and ASCII
 signs is cut into words as the pre-tokenizers of these files do, and words not met before go to the file's
 model; any other piece, and any text with white space beyond ASCII, goes through the whole tokenizer.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -31,6 +33,54 @@ _KEEPING = re.compile(rf"{_SHORT} ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 
 
+#: The rules of the files whose pieces are cut here (options that only move offsets left out).
+_RULES = {
+    True: {
+        "normalizer": {
+            "type": "Sequence",
+            "normalizers": [
+                {"type": "NFC"},
+                {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+                {"type": "Lowercase"},
+            ],
+        },
+        "pre_tokenizer": {
+            "type": "Sequence",
+            "pretokenizers": [
+                {
+                    "type": "Split",
+                    "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+                    "behavior": "Removed",
+                    "invert": True,
+                },
+                {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False},
+            ],
+        },
+    },
+    False: {
+        "normalizer": None,
+        "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True},
+    },
+}
+
+
+def _rules_of(part: object) -> object:
+    """Rules without options that only move offsets."""
+    if isinstance(part, dict):
+        return {k: _rules_of(v) for k, v in part.items() if k != "trim_offsets"}
+    return [_rules_of(x) for x in part] if isinstance(part, list) else part
+
+
+def cuts_at_spaces(path: str) -> bool | None:
+    """Whether a file's rules drop white space (True) or keep it (False) at its cuts; None for other rules."""
+    with open(path, encoding="utf-8") as file:
+        rules = json.load(file)
+    stated = {k: _rules_of(rules.get(k)) for k in ("normalizer", "pre_tokenizer")}
+    if any(t["normalized"] or t["lstrip"] or t["rstrip"] or not t["special"] for t in rules.get("added_tokens") or []):
+        return None
+    return next((drops for drops, known in _RULES.items() if stated == known), None)
+
+
 def _byte_signs() -> dict[int, int]:
     """The sign that byte-level models have for each byte: printable ones stand for themselves."""
     printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -65,7 +115,7 @@ class Encoder:
 
     ``drops_spaces`` says that white space never reaches the ids, so that pieces are words; otherwise a
     piece is a word with the white space before it. Strings of special tokens are ordinary text. Null and
-    empty texts have no ids.
+    empty texts have no ids. A file with other rules than ``drops_spaces`` states encodes whole texts.
     """
 
     def __init__(self, path: str, drops_spaces: bool) -> None:
@@ -76,6 +126,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.drops_spaces = drops_spaces
+        self.by_pieces = cuts_at_spaces(path) is drops_spaces
         self.words = _Memory(self._word)
         self._forget()
 
@@ -93,6 +144,9 @@ class Encoder:
     def encode_column(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Runs of rows of a string column: (first row, ids of all rows of the run, their bounds)."""
         for row, data, offsets in text_chunks(column):
+            if not self.by_pieces:
+                yield row, *self._whole(data, offsets)
+                continue
             starts, ends, bounds = word_ranges(data, offsets)
             if not self.drops_spaces:
                 starts, ends, bounds = _with_spaces(starts, ends, bounds, offsets)
@@ -110,6 +164,12 @@ class Encoder:
                 bounds = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
             yield row, ids, bounds
 
+    def _whole(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a run of whole texts, and their bounds."""
+        texts = (data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True))
+        ids = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts]
+        return np.concatenate(ids), np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+
     def _odd_rows(self, data: np.ndarray, offsets: np.ndarray) -> list[int]:
         """Rows with other white space than ASCII's, where a cut may be wrong."""
         if self.drops_spaces:

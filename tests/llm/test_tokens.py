@@ -1,17 +1,19 @@
+import json
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import TINY
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from alertline.llm.crc32c import crc32c, masked
+from alertline.llm.crc32c import crc32c, crc32c_of_few, masked
 from alertline.llm.packing import CAPACITY, pack, pack_lengths, sequences, token_pieces
 from alertline.llm.queries import QUERIES, tokenizer
-from alertline.llm.records import document_spans, frame, read_at, unframe, write_records
-from alertline.llm.tokens import Encoder
+from alertline.llm.records import _stream, document_spans, frame, read_at, unframe, write_records
+from alertline.llm.tokens import Encoder, cuts_at_spaces
 
 FILES = {"byte_bpe_50k.json": False, "word_bpe_49k.json": True}
 
@@ -45,6 +47,33 @@ def test_checksums():
     assert masked(np.array([0], np.uint32))[0] == 0xA282EAD8
 
 
+@given(st.binary(max_size=40))
+def test_checksums_of_few_bytes(data):
+    assert crc32c_of_few(data) == crc32c([data])[0]
+
+
+def test_files_with_other_rules_encode_whole_texts(tmp_path):
+    assert [cuts_at_spaces(tokenizer(name)) for name in FILES] == list(FILES.values())
+    rules = json.loads(open(tokenizer("byte_bpe_50k.json"), encoding="utf-8").read())
+    rules["normalizer"] = {"type": "Lowercase"}
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as file:
+        json.dump(rules, file)
+    texts = ["Some Words HERE", "", None, "Grüße  ÅÉ"]
+    library = Tokenizer.from_file(path)
+    expected = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for drops_spaces in (True, False):
+        assert [x.tolist() for x in Encoder(path, drops_spaces).encode(texts)] == expected
+
+
+def test_a_broken_length_is_an_error_before_it_is_trusted(tmp_path):
+    first, second = frame([b"payload", b"more"])
+    path = tmp_path / "broken"
+    path.write_bytes(first + second[:3] + b"\xff" + second[4:])
+    with pa.OSFile(str(path)) as file, pytest.raises(ValueError):
+        list(_stream(file))
+
+
 def test_broken_records_are_errors():
     record = frame([b"payload", b""])
     assert unframe(record) == [b"payload", b""]
