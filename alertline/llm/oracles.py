@@ -24,7 +24,10 @@ def _quoted(pattern: str) -> str:
 
 ORACLES: dict[str, str] = {}
 
-ORACLES["op3_near_duplicates"] = f"""
+
+def near_duplicates_sql(threshold_percent: int) -> str:
+    """Near-duplicate groups at a threshold."""
+    return f"""
 WITH RECURSIVE texts AS (
   SELECT doc_id, regexp_extract_all(
     translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w
@@ -42,7 +45,7 @@ WITH RECURSIVE texts AS (
   FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id != b.doc_id GROUP BY ALL
 ), links AS (
   SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
-  WHERE 100 * c >= {THRESHOLD_PERCENT} * (p.n + q.n - c)
+  WHERE 100 * c >= {threshold_percent} * (p.n + q.n - c)
 ), reached AS (
   SELECT doc_id AS node, doc_id AS seen FROM sizes
   UNION
@@ -52,6 +55,9 @@ SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept
 FROM sizes JOIN smallest ON node = doc_id
 """
 
+
+ORACLES["op3_near_duplicates"] = near_duplicates_sql(THRESHOLD_PERCENT)
+
 ORACLES["op4_source_mixing"] = f"""
 WITH RECURSIVE docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size,

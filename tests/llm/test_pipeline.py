@@ -7,7 +7,7 @@ from conftest import FOLDER
 from test_tokens import check_packing
 
 import corpus_pipeline
-from alertline.llm.oracles import ORACLES
+from alertline.llm.oracles import ORACLES, near_duplicates_sql
 from alertline.llm.queries import QUERIES
 from alertline.session import stored
 
@@ -21,11 +21,11 @@ def stages(spark):
     return out
 
 
-def by_sql(duck, name, docs):
-    """The SQL of a query over the rows of a stage's input."""
+def by_sql(duck, sql, docs):
+    """Some SQL over the rows of a stage's input."""
     duck.execute("DROP VIEW documents")
     duck.register("documents", docs.toPandas())
-    return duck.execute(ORACLES[name]).fetch_df()
+    return duck.execute(sql).fetch_df()
 
 
 def test_columns_and_order(stages):
@@ -46,17 +46,17 @@ def test_classifier_stage(spark, stages):
 
 
 def test_rules_stage(duck, stages):
-    judged = by_sql(duck, "op5_quality_rules", stages[1])
+    judged = by_sql(duck, ORACLES["op5_quality_rules"], stages[1])
     assert sorted(r.doc_id for r in stages[2].collect()) == sorted(judged[judged.kept].doc_id)
 
 
 def test_near_duplicate_stage(duck, stages):
-    judged = by_sql(duck, "op3_near_duplicates", stages[2])
+    judged = by_sql(duck, near_duplicates_sql(corpus_pipeline.NEAR_PERCENT), stages[2])
     assert sorted(r.doc_id for r in stages[3].collect()) == sorted(judged[judged.kept].doc_id)
 
 
 def test_mixing_stage(duck, stages):
-    mixed = by_sql(duck, "op4_source_mixing", stages[3])
+    mixed = by_sql(duck, ORACLES["op4_source_mixing"], stages[3])
     times = {d: t // s if s else 0 for d, s, t in zip(mixed.doc_id, mixed["size"], mixed.taken)}
     assert Counter(r.doc_id for r in stages[4].collect()) == Counter({d: t for d, t in times.items() if t})
 

@@ -15,7 +15,13 @@ def test_query_equals_brute_force(spark):
     turns = spark.read.parquet(f"{FOLDER}/conversations.parquet").collect()
     users = {(t.conv_id, t.turn): t.text for t in turns if t.role == "user"}
     answers = {(t.conv_id, t.turn - 1): t.text for t in turns if t.role == "assistant"}
-    got = {(r.conv_id, r.call_id): r for r in QUERIES["op10_tool_calls"](spark, FOLDER).collect()}
+    others = Counter((t.conv_id, t.turn, t.role, t.text) for t in turns if t.role not in ("user", "assistant"))
+    rows = QUERIES["op10_tool_calls"](spark, FOLDER).collect()
+    messages = [r for r in rows if r.status == "message"]
+    assert Counter((r.conv_id, r.turn, *map(json.loads(r.message).get, ("role", "text"))) for r in messages) == others
+    assert not any(r.valid or r.call_id or r.problems or r.level is not None for r in messages)
+    got = {(r.conv_id, r.call_id): r for r in rows if r.status != "message"}
+    assert len(got) + len(messages) == len(rows)
     assert set(got) == {(c, f"call_{c}_{t}") for c, t in set(users) | set(answers)}
     for (c, t), text in users.items():
         r = got[c, f"call_{c}_{t}"]
