@@ -13,7 +13,7 @@ from alertline.operators.order import alert_order, asc, desc, ordered, rank_rows
 from alertline.operators.quantile import exact_quantiles
 from alertline.plans import decisions
 from alertline.plans.fixtures import heavy_ties, scored, table, transactions
-from alertline.session import scratch_path
+from alertline.session import scratch_path, stored
 from alertline.sources import sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,10 +22,9 @@ QUERIES: dict[str, Query] = {}
 NUMERIC = ["C1", "TransactionAmt", "sparse90"]
 CATEGORICAL = ["DeviceInfo", "ProductCD"]
 CV_CUTS = ("2024-01-10", "2024-01-17", "2024-01-24", "2024-01-31")
-# The queries stop after fewer trees without a gain than the operator's default; there is no cut in the number.
-TRAINING = {"patience": 8, "first_step": 32}
-_MODELS: dict[tuple[str, str], boost.TrainedModel] = {}
-_FOLDS: dict[tuple[str, str], DataFrame] = {}
+# Trained models and folds by the content of the table, as several queries of a session ask for the same training.
+_MODELS: dict[tuple, boost.TrainedModel] = {}
+_FOLDS: dict[tuple, DataFrame] = {}
 
 
 def query(function: Query) -> Query:
@@ -585,17 +584,21 @@ def class_weight(spark, folder):
 def _trained(spark, folder):
     train, val = _sides(spark, folder)
     fitted = prep.fit_prep(train, NUMERIC, CATEGORICAL)
-    sides = [fitted.vectors(s, ["TransactionID", "ts", "isFraud"]) for s in (train, val)]
+    sides = [stored(fitted.vectors(s, ["TransactionID", "ts", "isFraud"]), "vectors") for s in (train, val)]
     pos, rows = train.agg(F.sum("isFraud"), F.count(F.lit(1))).first()
     return fitted, sides, boost.class_weight(pos, rows - pos)
 
 
+def _content(spark, folder) -> tuple:
+    return spark.sparkContext.applicationId, *tables.fingerprint(transactions(spark, folder)).first()
+
+
 def _model(spark, folder):
-    """The trained model and the validation side; queries of one session share the training."""
+    """The trained model and the validation side; queries of one session share the training on equal rows."""
     fitted, (train, val), weight = _trained(spark, folder)
-    key = (spark.sparkContext.applicationId, folder)
+    key = _content(spark, folder)
     if key not in _MODELS:
-        _MODELS[key] = boost.train(train, val, "isFraud", fitted.feature_names, weight, **TRAINING)
+        _MODELS[key] = boost.train(train, val, "isFraud", fitted.feature_names, weight)
     return _MODELS[key], val
 
 
@@ -634,12 +637,12 @@ def fold_sizes(spark, folder):
 
 
 def _folds(spark, folder):
-    key = (spark.sparkContext.applicationId, folder)
+    key = _content(spark, folder)
     if key not in _FOLDS:
         train, _ = _sides(spark, folder)
         fitted = prep.fit_prep(train, NUMERIC, CATEGORICAL)
         data = clean.clean(transactions(spark, folder))
-        _FOLDS[key] = boost.time_cv(data, fitted, "ts", "isFraud", CV_CUTS, **TRAINING)
+        _FOLDS[key] = boost.time_cv(data, fitted, "ts", "isFraud", CV_CUTS)
     return _FOLDS[key]
 
 

@@ -94,8 +94,8 @@ def fit_model(sides: PreparedSides, **parameters) -> TrainedModel:
     """Trees with the class weight of the train side."""
     counts = sides.split["train"]
     return train(
-        sides.prep.vectors(sides.train, [LABEL]),
-        sides.prep.vectors(sides.val, [LABEL]),
+        stored(sides.prep.vectors(sides.train, [LABEL]), "train"),
+        stored(sides.prep.vectors(sides.val, [LABEL]), "val"),
         LABEL,
         sides.prep.feature_names,
         class_weight(counts["pos"], counts["neg"]),

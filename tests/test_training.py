@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from alertline.session import scratch_path
 from alertline.sources import sinks
 
 FOLDER = "/root/testdata/sf0.01"
-SMALL = {"max_iterations": 4, "first_step": 4, "maxDepth": 3}
+SMALL = {"max_iterations": 4, "maxDepth": 3}
 
 
 @pytest.fixture(scope="module")
@@ -108,6 +109,50 @@ def test_best_iteration_rule():
     assert boost.best_iteration({1: None, 2: 0.4}) == 2
 
 
+def rounded(tree):
+    return re.sub(r"-?[0-9]+[.][0-9]+", lambda number: f"{float(number[0]):.9g}", tree)
+
+
+def test_training_goes_on_from_stored_margins(spark, sides, monkeypatch):
+    """Stores after every two trees change neither the trees nor their AUC, and each tree is fitted once."""
+    vectors = [boost.stored(sides.prep.vectors(s, ["isFraud"]), "side") for s in (sides.train, sides.val)]
+    fitted, forest = [], boost.RandomForestRegressor
+
+    def counted(**parameters):
+        fitted.append(parameters["seed"])
+        return forest(**parameters)
+
+    monkeypatch.setattr(boost, "RandomForestRegressor", counted)
+    models = []
+    for at_once in (2, 6):
+        monkeypatch.setattr(boost, "STAGES_AT_ONCE", at_once)
+        models.append(boost.train(*vectors, "isFraud", sides.prep.feature_names, 3.0, max_iterations=6, maxDepth=2))
+    assert fitted == [*range(42, 48)] * 2
+    one, other = ([rounded(t.toDebugString.split("\n", 1)[1]) for t in m.model.trees] for m in models)
+    assert one == other and models[0].iterations == models[1].iterations
+    assert list(models[0].model.treeWeights) == [1.0, *[0.05] * 5]
+
+
+def test_training_stops_after_the_patience(sides, monkeypatch):
+    vectors = [boost.stored(sides.prep.vectors(s, ["isFraud"]), "side") for s in (sides.train, sides.val)]
+    monkeypatch.setattr(boost, "STAGES_AT_ONCE", 4)
+    model = boost.train(*vectors, "isFraud", sides.prep.feature_names, patience=1, maxDepth=1, stepSize=0.0)
+    assert model.iterations == 1 and len(model.model.trees) == 4  # a step of nothing never gains
+
+
+def test_first_trees_follow_the_gradient(sides):
+    """The mean of a leaf is the weighted mean of the negative gradient of its rows."""
+    rows = sides.prep.vectors(sides.train, ["isFraud"]).limit(4000).cache()
+    margins = boost.start_margins(rows, "isFraud", 3.0)
+    whole = {"maxDepth": 1, "featureSubsetStrategy": "all", "subsamplingRate": 1.0}
+    trees = boost.grow(margins, 2, **whole)
+    first = boost.Trees(trees.trees[:1], trees.weights[:1])
+    moved = first.add_margin(margins).withColumn("y", F.expr("4 * sign / (1 + exp(2 * sign * margin))"))
+    leaves = boost.tree_outputs(boost.Trees(trees.trees[1:], (1.0,)).classifier(), moved).withColumn("leaf", F.col("outputs")[0])
+    means = leaves.groupBy("leaf").agg((F.sum(F.expr("y * weight")) / F.sum("weight")).alias("mean")).collect()
+    assert means and all(math.isclose(r["leaf"], r["mean"], rel_tol=1e-6, abs_tol=1e-9) for r in means)
+
+
 def test_scores_equal_mllib(sides, model):
     vectors = sides.prep.vectors(sides.val, ["TransactionID"])
     from pyspark.ml.functions import vector_to_array
@@ -158,7 +203,7 @@ def test_frozen_scores_and_summary(spark, sides, model):
 def test_rolling_folds(spark, sides, refit):
     data = clean(transactions(spark, FOLDER))
     cuts = ("2024-01-10", "2024-01-17", "2024-01-24")
-    folds = boost.time_cv(data, sides.prep, "ts", "isFraud", cuts, refit=refit, max_iterations=2, first_step=2, maxDepth=2).collect()
+    folds = boost.time_cv(data, sides.prep, "ts", "isFraud", cuts, refit=refit, max_iterations=2, maxDepth=2).collect()
     assert [(r["fold"], r["train_end"], r["val_end"]) for r in folds] == [(0, *cuts[:2]), (1, *cuts[1:])]
     assert all(0.5 < r["roc_auc"] <= 1 and 1 <= r["best_iter"] <= 2 for r in folds)
 
