@@ -502,6 +502,7 @@ filled AS (
 SELECT TransactionID, {_r('C1', 'num__C1')}, {_r('amt', 'num__TransactionAmt')}, {_r('sp', 'num__sparse90')},
   {_r('COALESCE(dv.code, -1)', 'cat__DeviceInfo')}, {_r('COALESCE(pv.code, -1)', 'cat__ProductCD')}
 FROM filled LEFT JOIN {_code_of('DeviceInfo')} dv ON dv.v = device LEFT JOIN {_code_of('ProductCD')} pv ON pv.v = product"""
+ORACLES["ordinal_encode_broadcast"] = ORACLES["ordinal_encode_shuffled"] = ORACLES["ordinal_encode"]
 ORACLES["unseen_categories"] = f"WITH {SIDES} " + " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", COUNT(*) AS unseen FROM (SELECT {c} FROM val WHERE {c} IS NOT NULL
 EXCEPT SELECT {c} FROM train WHERE {c} IS NOT NULL)"""

@@ -558,13 +558,27 @@ def mode_impute(spark, folder):
     return rounded(fitted.impute(val).select("TransactionID", *CATEGORICAL))
 
 
-@query
-def ordinal_encode(spark, folder):
+def _encoded(spark, folder, **limits):
     train, val = _sides(spark, folder)
-    fitted = prep.fit_prep(train, NUMERIC, CATEGORICAL)
+    fitted = prep.fit_prep(train, NUMERIC, CATEGORICAL, **limits)
     return rounded(fitted.encode(val, ["TransactionID"]), *fitted.feature_names)
 
 
+@query
+def ordinal_encode(spark, folder):
+    return _encoded(spark, folder)
+
+
+@query
+def ordinal_encode_broadcast(spark, folder):
+    return _encoded(spark, folder, lookup_limit=0)
+
+
+@query
+def ordinal_encode_shuffled(spark, folder):
+    return _encoded(spark, folder, lookup_limit=0, budget=0)
+
+
 @query
 def unseen_categories(spark, folder):
     return rounded(prep.unseen_categories(*_sides(spark, folder), CATEGORICAL))

@@ -70,14 +70,69 @@ def test_codes_of_every_size(spark, sides, monkeypatch):
     fitted = prep.fit_prep(sides.train, sides.prep.numeric, sides.prep.categorical, path)
     assert set(fitted.labels) == {"ProductCD"}  # DeviceInfo has about 1,500 values
     want = fitted.encode(sides.val, ["TransactionID"])
-    for lookup, broadcast in ((10**9, 0), (0, 10**9), (0, 0)):
-        monkeypatch.setattr(prep, "LOOKUP_LIMIT", lookup)
-        monkeypatch.setattr(prep, "BROADCAST_LIMIT", broadcast)
-        got = prep.Prep.load(spark, path).encode(sides.val, ["TransactionID"])
-        assert ("Join" in got._jdf.queryExecution().executedPlan().toString()) == (lookup == 0)
+    for lookup, budget, plan in ((10**9, 10**9, "UDF"), (0, 10**9, "BroadcastHashJoin"), (0, 0, "SortMergeJoin")):
+        loaded = prep.Prep.load(spark, path, lookup, budget)
+        got = loaded.encode(sides.val, ["TransactionID"])
+        assert plan in got._jdf.queryExecution().executedPlan().toString()
         assert got.exceptAll(want).isEmpty() and got.count() == 2_000
 
 
+def codes_of(rows, columns):
+    """Ordinal codes and modes of plain rows."""
+    out = {}
+    for k, c in enumerate(columns):
+        values = [r[k] for r in rows if r[k] is not None]
+        mode = min(set(values), key=lambda v: (-values.count(v), v))
+        out[c] = ({v: float(i) for i, v in enumerate(sorted(set(values)))}, mode)
+    return out
+
+
+def test_all_columns_share_one_budget(spark):
+    """Thirty columns near the limit of one: together they stay within it, the rest are joined by shuffle."""
+    columns = [f"c{k}" for k in range(30)]
+    rows = [tuple(f"{c}-{i % (20 + k)}" for k, c in enumerate(columns)) for i in range(60)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns))
+    path = scratch_path(spark, "prep")
+    fitted = prep.fit_prep(df, [], columns, path)
+    sizes = fitted.code_bytes
+    budget = 7 * max(sizes.values())
+    for lookup, held in ((0, lambda p: p.broadcast_columns()), (10**6, lambda p: set(p.labels) | p.broadcast_columns())):
+        loaded = prep.Prep.load(spark, path, lookup, budget)
+        chosen = held(loaded)
+        assert 7 <= len(chosen) < 30 and sum(sizes[c] for c in chosen) <= budget
+    codes = codes_of(rows, columns)
+    loaded = prep.Prep.load(spark, path, 0, 3 * max(sizes.values()))
+    got = loaded.encode(df).limit(5).collect()
+    known = [tuple(codes[c][0][v] for c, v in zip(columns, r)) for r in rows]
+    assert all(tuple(r) in known for r in got)
+
+
+def test_a_mode_on_most_rows_is_spread(spark, monkeypatch):
+    """Gaps and frequent values make no hot key, and every row keeps its code."""
+    monkeypatch.setattr(prep, "ROWS_OF_KEY", 20)
+    monkeypatch.setattr(prep, "HEAVY_SHARE", 4)
+    values = [None] * 600 + ["mode"] * 300 + [f"often{k % 3}" for k in range(180)] + [f"v{k}" for k in range(20)]
+    rows = [(k, v) for k, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "id int, c string")
+    fitted = prep.fit_prep(df, [], ["c"], lookup_limit=0, budget=0)
+    codes, mode = codes_of([(v,) for v in values], ["c"])["c"]
+    assert set(fitted.heavy["c"]) == {"mode"} and min(fitted.salts["c"].values()) >= 3
+    other = df.unionByName(spark.createDataFrame([(5000, "unknown"), (5001, "")], df.schema))
+    got = {r["id"]: r["cat__c"] for r in fitted.encode(other, ["id"]).collect()}
+    assert got == {5000: -1.0, 5001: -1.0, **{k: codes[v or mode] for k, v in rows}}
+    seen = []
+    real = type(df).join
+
+    def join(left, right, on=None, how=None):
+        if on == ["_key", "_salt"]:
+            seen.append(left.groupBy("_key", "_salt").count().agg(F.max("count")).first()[0])
+        return real(left, right, on, how)
+
+    monkeypatch.setattr(type(df), "join", join)
+    fitted.encode(df, ["id"]).count()
+    assert seen and seen[0] < 60  # 900 rows hold the mode, 60 each of three others
+
+
 def test_saved_preparation(spark, sides):
     path = scratch_path(spark, "prep")
     fitted = prep.fit_prep(sides.train, sides.prep.numeric, sides.prep.categorical, path)
@@ -94,6 +149,28 @@ def test_category_order_of_any_text(spark):
     assert codes == {v: float(i) for i, v in enumerate(sorted(values))}
 
 
+def test_categories_that_begin_alike_are_spread(spark, monkeypatch):
+    """Ten thousand texts that share 200 bytes lie in ranges of about equal size."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    placed = []
+
+    def stored(df, name):
+        placed.append(real(df, name))
+        return placed[-1]
+
+    real = prep.stored
+    monkeypatch.setattr(prep, "stored", stored)
+    try:
+        values = ["p" * 200 + f"{k * 7919 % 10_000:05d}" for k in range(10_000)]
+        counts = spark.createDataFrame([("c", v, 1) for v in values], "column string, value string, n long")
+        codes = prep.category_codes(counts).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r["value"]: r["code"] for r in codes} == {v: float(i) for i, v in enumerate(sorted(values))}
+    sizes = [r["count"] for r in placed[0].groupBy(F.shiftright("_at", 33)).count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 2.5 * 10_000 / len(sizes)
+
+
 def test_mode_ties_and_empty_columns(spark):
     df = spark.createDataFrame([("b", None, 1.0, None), ("a", None, 2.0, None)], "t string, e string, n double, m double")
     assert prep.modes(prep.value_counts(df, ["t", "e"])) == {"t": ("a", 2 * (prep.ENTRY_BYTES + 1))}
