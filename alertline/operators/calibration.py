@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from alertline.operators.curves import score_blocks
 from alertline.operators.points import topk_precisions
 from alertline.operators.quantile import exact_quantiles
+from alertline.session import stored
 
 ISOTONIC, PLATT = "isotonic", "platt"
 HEAD_PERCENT = 1.0
@@ -26,6 +28,8 @@ HALVINGS = 30
 GRADIENT_GOAL = 1e-14  # for each row
 GRADIENT_LIMIT = 1e-9  # good enough where rounding keeps it from falling further
 LOSS_SLACK = 1e-12
+MAX_STEPS = 4_000_000  # pooled steps of an isotonic fit that meet in a task or in a model
+STEPS = "part long, lo double, hi double, n long, tp long"
 
 
 def brier_column(p: str, y: str = "y") -> Column:
@@ -147,19 +151,75 @@ def fit_isotonic(df: DataFrame, score: str = "score", y: str = "y") -> Calibrato
 def isotonic_from_blocks(blocks: DataFrame, score: str = "score") -> Calibrator:
     """The isotonic fit of one weighted point per distinct score.
 
-    The estimator pools each range of scores on its own, and only the pooled steps meet in one place.
+    Only the knots of the pooled steps, which are counted first, meet in one place.
     """
-    points = blocks.select(
-        F.col(score).cast("double").alias("features"),
-        (F.col("blk_tp") / F.col("blk_n")).alias("label"),
-        F.col("blk_n").cast("double").alias("weight"),
-    )
-    return Calibrator(ISOTONIC, IsotonicRegression(isotonic=True, weightCol="weight").fit(points))
+    points = blocks.select(F.col(score).cast("double").alias("lo"), F.col("blk_n").alias("n"), F.col("blk_tp").alias("tp"))
+    steps = pooled_steps(points)
+    count = steps.count()
+    if count > MAX_STEPS:
+        raise ValueError(f"the isotonic fit has {count} steps, more than a model can hold ({MAX_STEPS})")
+    ends = F.array_distinct(F.array("lo", "hi"))
+    knots = steps.select(F.explode(ends).alias("features"), (F.col("tp") / F.col("n")).alias("label"))
+    return Calibrator(ISOTONIC, IsotonicRegression(isotonic=True).fit(knots))
+
+
+def pooled_steps(points: DataFrame) -> DataFrame:
+    """The steps of the isotonic fit of points (lo, n, tp): part, lo, hi (scores), n and tp, with rising tp / n.
+
+    Each range of scores is pooled by itself: a stack of steps, the last of which takes in its neighbour as long
+    as the neighbour's mean is not lower. Pooled steps are points to pool again, so ranges can be joined: as
+    long as some step at the end of a range is not below the first one of the next, neighbouring ranges are
+    pooled together, twice as many in each round. Means are compared as fractions of whole numbers. An empty
+    table has no steps.
+    """
+    points = points.select("lo", F.col("lo").alias("hi"), F.col("n").cast("long").alias("n"), F.col("tp").cast("long").alias("tp"))
+    ranged = points.repartitionByRange("lo").withColumn("part", F.spark_partition_id().cast("long"))
+    steps = stored(ranged.sortWithinPartitions("lo").select("part", "lo", "hi", "n", "tp").mapInArrow(_pool, STEPS), "steps")
+    together = 1
+    while True:
+        mean = F.struct("n", "tp")
+        ends = steps.groupBy("part").agg(
+            F.min_by(mean, "lo").alias("first"), F.max_by(mean, "lo").alias("last"), F.count(F.lit(1)).alias("steps")
+        )
+        parts = sorted(ends.collect())  # a row for each range
+        if not any(a["last"]["tp"] * b["first"]["n"] >= b["first"]["tp"] * a["last"]["n"] for a, b in zip(parts, parts[1:])):
+            return steps
+        together *= 2
+        sizes: dict[int, int] = {}
+        for row in parts:
+            sizes[row["part"] // together] = sizes.get(row["part"] // together, 0) + row["steps"]
+        if max(sizes.values()) > MAX_STEPS:
+            raise ValueError(f"{max(sizes.values())} steps would meet in one task, more than {MAX_STEPS}")
+        joined = steps.withColumn("part", F.floor(F.col("part") / together) * together).repartition("part")
+        steps = stored(joined.sortWithinPartitions("part", "lo").mapInArrow(_pool, STEPS), "steps")
+
+
+def _pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pool sorted steps, each part by itself."""
+    stack: list[tuple[int, float, float, int, int]] = []
+
+    def batch() -> pa.RecordBatch:
+        columns = list(zip(*stack))
+        kinds = (pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
+        arrays = [pa.array(column, kind) for column, kind in zip(columns, kinds)]
+        return pa.RecordBatch.from_arrays(arrays, ["part", "lo", "hi", "n", "tp"])
+
+    for some in batches:
+        for part, lo, hi, n, tp in zip(*(some.column(k).to_pylist() for k in range(5))):
+            if stack and stack[-1][0] != part:
+                yield batch()
+                stack = []
+            while stack and stack[-1][4] * n >= tp * stack[-1][3]:
+                _, lo, _, more, more_tp = stack.pop()
+                n, tp = n + more, tp + more_tp
+            stack.append((part, lo, hi, n, tp))
+    if stack:
+        yield batch()
 
 
 def fit_platt(df: DataFrame, score: str = "score", y: str = "y", c: float = 1.0) -> Calibrator:
     """Logistic regression on the score with an L2 penalty of strength 1/c on the slope only."""
-    return platt_from_blocks(score_blocks(df, score, y), score, c)
+    return platt_from_blocks(stored(score_blocks(df, score, y), "blocks"), score, c)
 
 
 def platt_from_blocks(blocks: DataFrame, score: str = "score", c: float = 1.0) -> Calibrator:

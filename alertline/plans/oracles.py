@@ -469,16 +469,20 @@ WITH {SCORED}, both_scores AS (
   SELECT 'score' AS score_name, score AS p, y FROM scored UNION ALL SELECT 'squared', score * score, y FROM scored)
 SELECT score_name, CAST({_BIN} AS BIGINT) AS bin, {_r('AVG(p)', 'p_mean')}, {_r('AVG(y)', 'y_mean')}, COUNT(*) AS n
 FROM both_scores GROUP BY 1, 2"""
+# The isotonic fit is the slope of the greatest convex line below the running totals: from each corner of it the
+# next one is the farthest of the points with the smallest slope.
 ORACLES["isotonic_probs"] = f"""
-WITH {SCORED}, b AS (
-  SELECT round(score, 2) AS s, COUNT(*) AS n, SUM(y) AS tp FROM scored GROUP BY 1),
-c AS (SELECT s, SUM(n) OVER w AS cn, SUM(tp) OVER w AS ct, n, tp FROM b WINDOW w AS (ORDER BY s ROWS UNBOUNDED PRECEDING)),
-spans AS (
-  SELECT lo.s AS a, hi.s AS z, (hi.ct - lo.ct + lo.tp)::DOUBLE / (hi.cn - lo.cn + lo.n) AS mean
-  FROM c lo JOIN c hi ON lo.s <= hi.s),
-lows AS (
-  SELECT c.s, a, MIN(mean) AS m FROM c JOIN spans ON a <= c.s AND z >= c.s GROUP BY c.s, a)
-SELECT {_r('s', 'score')}, {_r('MAX(m)', 'p_cal')} FROM lows GROUP BY s"""
+WITH RECURSIVE {SCORED}, b AS (SELECT score AS s, COUNT(*) AS n, SUM(y) AS tp FROM scored WHERE score IS NOT NULL GROUP BY 1),
+c AS (
+  SELECT s, (SUM(n) OVER w)::BIGINT AS cn, (SUM(tp) OVER w)::BIGINT AS ct FROM b WINDOW w AS (ORDER BY s ROWS UNBOUNDED PRECEDING)),
+corners AS (
+  SELECT 0::BIGINT AS before, 0::BIGINT AS cn, 0::BIGINT AS ct, 0.0::DOUBLE AS slope
+  UNION ALL
+  SELECT before, -nearest.neg_cn, nearest.ct, nearest.slope FROM (
+    SELECT h.cn AS before,
+      MIN(struct_pack(slope := (c.ct - h.ct)::DOUBLE / (c.cn - h.cn), neg_cn := -c.cn, ct := c.ct)) AS nearest
+    FROM corners h JOIN c ON c.cn > h.cn GROUP BY h.cn))
+SELECT {_r('s', 'score')}, {_r('slope', 'p_cal')} FROM c JOIN corners k ON c.cn > k.before AND c.cn <= k.cn"""
 ORACLES["holdout_metrics"] = f"""
 WITH {_HOLDOUT}, bars AS (SELECT {_BIN} AS bin, AVG(p) AS p_mean, AVG(y) AS y_mean, COUNT(*) AS n FROM (SELECT score AS p, y FROM hold) GROUP BY 1),
 hold_rows AS (SELECT id, time, y, score FROM hold),

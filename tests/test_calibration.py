@@ -46,6 +46,46 @@ def test_isotonic_equals_pooling(spark, pdf, df):
         assert math.isclose(row["p_cal"], expected[row["score"]], abs_tol=1e-12)
 
 
+@pytest.mark.parametrize("shape", ["rising", "falling", "waves", "one", "ties"])
+def test_pooling_in_rounds_equals_pooling_in_one_go(spark, shape):
+    """Ranges are pooled on their own and joined until no neighbours fall; falling points become one step."""
+    n = 1 if shape == "one" else 800
+    x = np.arange(n)
+    share = {"rising": x / n, "falling": 1 - x / n, "waves": 0.5 + 0.4 * np.sin(x / 60), "one": x + 0.5, "ties": 0.5 + 0 * x}[shape]
+    weight = 1 + x * 7919 % 13
+    hits = np.round(share * weight).astype(int)
+    points = [(float(a) / 7, int(w), int(h)) for a, w, h in zip(x, weight, hits)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        steps = cal.pooled_steps(spark.createDataFrame(points, "lo double, n long, tp long").repartition(5)).orderBy("lo").collect()
+        none = cal.pooled_steps(spark.createDataFrame([], "lo double, n long, tp long"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    expected = pool_adjacent((v, h / w, w) for v, w, h in points)
+    means = {v: s["tp"] / s["n"] for s in steps for v, _, _ in points if s["lo"] <= v <= s["hi"]}
+    assert means == pytest.approx(expected, abs=1e-12) and none.isEmpty()
+    assert sum(s["n"] for s in steps) == weight.sum()
+    assert all(a["tp"] * b["n"] < b["tp"] * a["n"] for a, b in zip(steps, steps[1:]))
+    if shape in ("falling", "ties"):
+        assert len(steps) <= 2 if shape == "falling" else len(steps) >= 1
+
+
+def test_too_many_steps_are_refused(spark, df, monkeypatch):
+    monkeypatch.setattr(cal, "MAX_STEPS", 2)
+    with pytest.raises(ValueError, match="steps"):
+        cal.fit_isotonic(df)
+
+
+def test_isotonic_of_unrounded_scores(spark):
+    pdf = random_scores(5, n=3000, digits=12)
+    assert pdf["score"].nunique() > 2500
+    frame = to_spark(spark, pdf)
+    grouped = pdf.groupby("score")["y"].agg(["mean", "size"]).reset_index()
+    expected = pool_adjacent(grouped.itertuples(index=False, name=None))
+    got = {r["score"]: r["p_cal"] for r in cal.fit_isotonic(frame).transform(frame.select("score").distinct()).collect()}
+    assert got == pytest.approx(expected, abs=1e-12)
+
+
 def test_isotonic_clips_and_keeps_missing(spark, df, pdf):
     fitted = cal.fit_isotonic(df)
     probe = spark.createDataFrame([(-5.0,), (5.0,), (None,)], "score double")
