@@ -9,6 +9,7 @@ fewer groups and packed again.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -23,8 +24,6 @@ from alertline.session import stored
 CAPACITY = 2048
 GROUP_ROWS = 20_000
 LOOSE_SHARE = 0.95
-EMPTIEST = 8
-SEARCH_PASSES = 10
 MAX_ROUNDS = 12
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
@@ -184,56 +183,101 @@ def pack_lengths(lengths: list[int], capacity: int) -> list[list[int]]:
     return [b for b in bins if b]
 
 
+class _Partners:
+    """The roomiest bin for each length that some bin holds (0: any bin), found again when it is asked for."""
+
+    def __init__(self, bins: list[list[int]], room: list[int], lengths: list[int], capacity: int) -> None:
+        self.bins, self.room, self.lengths = bins, room, lengths
+        self.most = np.full(capacity + 1, -1, np.int64)  # of each length: a room that no bin with it exceeds
+        self.heaps: dict[int, list[tuple[int, int]]] = {}
+        self.there = [False] * len(bins)
+
+    def put(self, b: int) -> None:
+        """Offer a bin, or offer it anew after a change."""
+        self.there[b] = True
+        room = self.room[b]
+        if room:
+            for n in {0, *(self.lengths[k] for k in self.bins[b])}:
+                heapq.heappush(self.heaps.setdefault(n, []), (-room, b))
+                self.most[n] = max(self.most[n], room)
+
+    def withdraw(self, b: int) -> None:
+        self.there[b] = False
+
+    def roomiest(self, n: int) -> int | None:
+        """A bin with the most room of those that hold the length; ``most`` is right for it afterwards."""
+        heap = self.heaps.get(n, [])
+        while heap:
+            room, b = heap[0]
+            if self.there[b] and self.room[b] == -room and (not n or any(self.lengths[k] == n for k in self.bins[b])):
+                self.most[n] = -room
+                return b
+            heapq.heappop(heap)
+        self.most[n] = -1
+        return None
+
+
 def _search(bins: list[list[int]], lengths: list[int], capacity: int, least: int) -> list[list[int]]:
-    """Empty the emptiest bins into the other underfull ones, as long as squared fill grows."""
-    fill = [sum(lengths[k] for k in b) for b in bins]
-    used = len(bins)
-    for _ in range(SEARCH_PASSES):
+    """Move and exchange between underfull bins until nothing gains or ``least`` bins are left.
+
+    The bins give in turn, the emptiest first, each to bins that are fuller: the exchange that brings over the
+    most length is taken, as long as there is one. As the other bin is the fuller one, each raises the sum of
+    squared fills, so the passes come to an end.
+    """
+    room = [capacity - sum(lengths[k] for k in b) for b in bins]
+    used, better = len(bins), True
+    while better and used > least:
         better = False
-        underfull = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=fill.__getitem__)
-        for poor in underfull[:EMPTIEST]:
-            for rich in reversed(underfull):
-                if used <= least or not fill[poor]:
-                    break
-                while rich != poor and fill[rich] >= fill[poor] > 0 and _exchange(bins, fill, lengths, capacity, poor, rich):
-                    better = True
-            if not fill[poor] and bins[poor] == []:
-                used -= 1
-                bins[poor] = None
-        bins_left = [b for b in range(len(bins)) if bins[b] is not None]
-        bins, fill = [bins[b] for b in bins_left], [fill[b] for b in bins_left]
-        if not better or used <= least:
-            break
+        partners = _Partners(bins, room, lengths, capacity)
+        underfull = sorted((b for b in range(len(bins)) if bins[b] and room[b]), key=lambda b: -room[b])
+        for b in underfull:
+            partners.put(b)
+        for poor in underfull:
+            partners.withdraw(poor)
+            while bins[poor] and _exchange(bins, room, lengths, partners, poor):
+                better = True
+            used -= not bins[poor]
+            if used <= least:
+                break
     return bins
 
 
-def _exchange(
-    bins: list[list[int]], fill: list[int], lengths: list[int], capacity: int, poor: int, rich: int
-) -> bool:
-    """The best move or exchange that brings length from the poorer to the richer bin.
-
-    With fill(rich) >= fill(poor), any such gain raises the sum of squared fills.
-    """
-    free = capacity - fill[rich]
-    give, take, gain = (), (), 0
-    mine = sorted(bins[poor], key=lengths.__getitem__, reverse=True)
-    for x in mine:
-        if gain < lengths[x] <= free:
-            give, take, gain = (x,), (), lengths[x]
-    if gain < free:
-        theirs = {lengths[y]: y for y in bins[rich]}
-        sums = [((x,), lengths[x]) for x in {lengths[k]: k for k in mine}.values()]
-        sums += [((x, z), lengths[x] + lengths[z]) for i, x in enumerate(mine[:40]) for z in mine[i + 1 : 40]]
-        for n, y in theirs.items():
-            for some, total in sums:
-                if gain < total - n <= free:
-                    give, take, gain = some, (y,), total - n
-    if not gain:
-        return False
+def _exchange(bins: list[list[int]], room: list[int], lengths: list[int], partners: _Partners, poor: int) -> bool:
+    """The move, one-for-one or two-for-one exchange that takes the most length out of a bin, if there is one."""
+    first: dict[int, list[int]] = {}
+    for k in bins[poor]:
+        first.setdefault(lengths[k], []).append(k)
+    given = {n: (ks[0],) for n, ks in first.items() if n}
+    distinct = sorted(first)
+    for i, n in enumerate(distinct):
+        for m in distinct[i:]:
+            if m != n or len(first[n]) > 1:
+                given.setdefault(n + m, (first[n][0], first[m][0] if m != n else first[n][1]))
+    sums = np.array(sorted(given), np.int64)
+    if not len(sums):  # only empty rows are left, and they fit anywhere
+        rich = partners.roomiest(0)
+        if rich is None:
+            return False
+        bins[rich] += bins[poor]
+        bins[poor] = []
+        return True
+    taken = np.arange(len(partners.most))
+    while True:
+        at = np.searchsorted(sums, np.where(partners.most >= 0, taken + partners.most, 0), side="right") - 1
+        gains = np.where(at >= 0, sums[at] - taken, 0)
+        n = int(gains.argmax())
+        if gains[n] <= 0:
+            return False
+        rich = partners.roomiest(n)
+        if rich is not None and n + room[rich] >= n + gains[n]:
+            break  # the stated room was right
+    give, gain = given[int(n + gains[n])], int(gains[n])
+    take = next(((k,) for k in bins[rich] if lengths[k] == n), ()) if n else ()
     bins[poor] = [k for k in bins[poor] if k not in give] + list(take)
     bins[rich] = [k for k in bins[rich] if k not in take] + list(give)
-    fill[poor] -= gain
-    fill[rich] += gain
+    room[poor] += gain
+    room[rich] -= gain
+    partners.put(rich)
     return True
 
 
