@@ -21,10 +21,10 @@ from alertline.llm.text import SPACES, words
 from alertline.session import stored
 
 MAX_TRAINING_ROWS = 20_000
-TREES = 12
+TREES = 24
 DEPTH = 3
 PENALTY = 0.002
-MAX_STEPS = 60
+MAX_STEPS = 200
 SEED = 7
 FIT_PARTITIONS = 3  # of the bounded training table
 FOLDS = 3
@@ -143,7 +143,7 @@ def fit_rules(rows: DataFrame, names: list[str], penalty: float = PENALTY) -> Ru
     hits = VectorAssembler(inputCols=[f"r{k}" for k in range(len(rules))], outputCol="features").transform(hits)
     hits = stored(hits.select("label", "features"), "rules")
     fitted = LogisticRegression(
-        elasticNetParam=1.0, regParam=penalty, standardization=False, maxIter=MAX_STEPS, tol=1e-5
+        elasticNetParam=1.0, regParam=penalty, standardization=False, maxIter=MAX_STEPS, tol=1e-6
     ).fit(hits)
     weighed = [Rule(r.terms, float(w)) for r, w in zip(rules, fitted.coefficients, strict=True) if abs(w) > 1e-9]
     return RuleModel(float(fitted.intercept), weighed)

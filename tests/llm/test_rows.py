@@ -2,10 +2,12 @@
 
 import base64
 import hashlib
+import math
 import re
 import zlib
 
 import pytest
+import regex
 from conftest import FOLDER
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from alertline.llm.licenses import TEMPLATES, scan_licenses
 from alertline.llm.lines import clean_lines, quality_verdict
 from alertline.llm.mixing import mix, repeat_taken, source_targets, taken
 from alertline.llm.queries import QUERIES
-from alertline.llm.rules import Rule, RuleModel, score_quality, train, tree_rules
+from alertline.llm.rules import SENTENCE_ENDS, Rule, RuleModel, score_quality, train, tree_rules
 from alertline.llm.text import keep_where
 from alertline.llm.warc import parse_record, read_archives, read_members, record_bytes, write_archives
 
@@ -112,6 +114,47 @@ def test_classifier_on_the_held_out_fold(spark):
     assert wins / (len(good) * len(bad)) > 0.95
 
 
+def statistics(text):
+    """The statistics of a text, in plain Python."""
+    text = text or ""
+    w = words(text)
+    n, chars = max(len(w), 1), len("".join(w))
+    lines = [x for x in text.split("\n") if words(x)]
+
+    def count(pattern):
+        return len(regex.findall(pattern, text))
+
+    return {
+        "stat_words": math.log1p(len(w)),
+        "stat_word_length": chars / n,
+        "stat_symbols": count(r"[#*$%&<>@^~=+_\\/{}\[\]]") / n,
+        "stat_separators": (text.count("|") + text.count("•")) / n,
+        "stat_exclamations": text.count("!") / n,
+        "stat_commas": text.count(",") / n,
+        "stat_capitals": count(r"\p{Lu}") / max(chars, 1),
+        "stat_digits": count(r"[0-9]") / n,
+        "stat_distinct_words": len(set(w)) / n,
+        "stat_repeated_words": sum(a == b for a, b in zip(w, w[1:])) / n,
+        "stat_distinct_lines": len(set(lines)) / max(len(lines), 1),
+        "stat_ended_lines": sum(x.rstrip(" ")[-1:] in SENTENCE_ENDS for x in lines) / max(len(lines), 1),
+    }
+
+
+def test_scores_equal_rules_evaluated_row_by_row(spark, odd_documents):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    model = train(docs, spark.read.parquet(f"{FOLDER}/labels.parquet"))
+    assert len(model.rules) > 1 and any(len(r.terms) > 1 for r in model.rules)
+    for rows in (score_quality(docs, model).collect(), score_quality(odd_documents, model).collect()):
+        for r in rows:
+            seen = statistics(r.text)
+            total = model.intercept + sum(
+                rule.weight
+                for rule in model.rules
+                if all((seen[name] > at) if above else (seen[name] <= at) for name, above, at in rule.terms)
+            )
+            assert r.score == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9)
+
+
 def test_classifier_on_odd_rows(spark, odd_documents, no_documents):
     labels = spark.createDataFrame([(1, 1), (1, None), (None, 0), (2, 1)], "doc_id long, quality int")
     model = train(odd_documents, labels)
