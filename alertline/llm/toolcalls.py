@@ -75,32 +75,56 @@ def _plain(value: object) -> object:
 
 
 def problems(arguments: str | None, schema: dict | None) -> tuple[object, list[str]]:
-    """The parsed arguments and what is wrong with them, in a fixed order."""
+    """The parsed arguments and what is wrong with them, in a fixed order.
+
+    Text that is no JSON, or that holds what UTF-8 cannot (a lone surrogate), is "not JSON". ``properties``,
+    ``required``, ``items``, ``enum`` and the bounds are checked at every depth; a schema without ``type``, or
+    with a list of types, allows any, or any of these.
+    """
     if schema is None:
         return None, ["unknown tool"]
     try:
         value = _plain(json.loads(arguments or ""))
-        canonical(value)
+        canonical(value).encode()
     except (ValueError, RecursionError):
         return None, ["not JSON"]
     if not isinstance(value, dict):
         return value, ["not an object"]
-    found = [f"missing {k}" for k in schema.get("required", ()) if k not in value]
-    for key in sorted(value):
-        rule, x = schema["properties"].get(key), value[key]
-        if rule is None:
-            found.append(f"unknown {key}")
-            continue
-        kind = rule.get("type")
-        if not isinstance(x, KINDS[kind]) or (isinstance(x, bool) and kind != "boolean"):
-            found.append(f"{key} is not {kind}")
-        elif "enum" in rule and x not in rule["enum"]:
-            found.append(f"{key} is not allowed")
-        elif "minimum" in rule and x < rule["minimum"] or "maximum" in rule and x > rule["maximum"]:
-            found.append(f"{key} is out of range")
-        elif "minLength" in rule and len(x) < rule["minLength"]:
-            found.append(f"{key} is too short")
-    return value, found
+    return value, list(_faults(value, schema, ""))
+
+
+def _is(value: object, kind: str) -> bool:
+    if kind == "null":
+        return value is None
+    return isinstance(value, KINDS[kind]) and (kind == "boolean" or not isinstance(value, bool))
+
+
+def _faults(value: object, rule: dict, path: str) -> Iterator[str]:
+    """What is wrong with a value; ``path`` names it (empty for the arguments themselves)."""
+    kinds = rule.get("type")
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    if path and kinds and not any(_is(value, kind) for kind in kinds):
+        yield f"{path} is not {' or '.join(kinds)}"
+        return
+    number = isinstance(value, (int, float)) and not isinstance(value, bool)
+    if "enum" in rule and not any(value == x and type(value) is type(x) for x in _plain(rule["enum"])):
+        yield f"{path} is not allowed"
+    elif number and ("minimum" in rule and value < rule["minimum"] or "maximum" in rule and value > rule["maximum"]):
+        yield f"{path} is out of range"
+    elif isinstance(value, str) and "minLength" in rule and len(value) < rule["minLength"]:
+        yield f"{path} is too short"
+    dot = f"{path}." if path else ""
+    if isinstance(value, dict) and (not path or "properties" in rule or "required" in rule):
+        yield from (f"missing {dot}{key}" for key in rule.get("required", ()) if key not in value)
+        known = rule.get("properties", {})
+        for key in sorted(value):
+            if key in known:
+                yield from _faults(value[key], known[key], f"{dot}{key}")
+            elif known or not path:
+                yield f"unknown {dot}{key}"
+    if isinstance(value, list) and "items" in rule:
+        for k, x in enumerate(value):
+            yield from _faults(x, rule["items"], f"{path}[{k}]")
 
 
 def calls_of_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -95,6 +95,40 @@ def test_canonical_json():
     )
 
 
+def test_nested_and_loose_schemas():
+    schema = {
+        "properties": {
+            "any": {},
+            "maybe": {"type": ["array", "null"], "items": {"type": "integer", "minimum": 1}},
+            "filter": {
+                "type": "object",
+                "properties": {"field": {"type": "string", "enum": ["a", "b"]}, "deep": {"items": {"required": ["x"]}}},
+                "required": ["field"],
+            },
+        }
+    }
+
+    def found(arguments):
+        return problems(arguments, schema)[1]
+
+    assert found('{"any": [1, {"z": null}], "maybe": null, "filter": {"field": "a", "deep": [{"x": 1}]}}') == []
+    assert found('{"maybe": [1, 0, "2", true]}') == ["maybe[1] is out of range", "maybe[2] is not integer", "maybe[3] is not integer"]
+    assert found('{"maybe": 3, "filter": []}') == ["filter is not object", "maybe is not array or null"]
+    assert found('{"filter": {"other": 1, "deep": [{}]}}') == [
+        "missing filter.field", "missing filter.deep[0].x", "unknown filter.other"
+    ]
+    assert found('{"filter": {"field": "c"}}') == ["filter.field is not allowed"]
+
+
+def test_text_that_is_no_utf8_is_not_json(spark):
+    bad = '{"query":"\\ud800","limit":3}'
+    rows = link_calls(
+        spark.createDataFrame([(1, 1, "a", "search", bad, None, None)], CALLS), spark.createDataFrame([], RESULTS)
+    ).collect()
+    assert rows[0].problems == ["not JSON"] and not rows[0].valid
+    assert json.loads(rows[0].message)["call"]["arguments"] == bad
+
+
 def turns_of(rows):
     """The turns that the rows of the query hold: (conv_id, turn, role, text)."""
     found = []
