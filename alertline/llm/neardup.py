@@ -105,11 +105,16 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, threshold_percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay: one of each group of ``near_duplicates``, with all its columns.
 
-    Of rows that repeat a doc_id one stays. Rows without a doc_id all stay, as nothing names them.
+    Rows are judged by number, whatever their doc_id: of a group the row with the smallest doc_id stays (rows
+    without one come last, equal ones by number), so different texts under one doc_id are judged each for itself.
+    Rows without words are groups of their own and all stay. Columns named ``_row`` are lost.
     """
-    kept = near_duplicates(docs, threshold_percent).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id IS NULL"))
+    rows = stored(docs.drop("_row").withColumn("_row", F.monotonically_increasing_id()), "rows")
+    named = rows.select(F.col("_row").alias("doc_id"), "text")
+    groups = near_duplicates(named, threshold_percent).select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))
+    first = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order)["_row"].alias("_row"))
+    return rows.join(first.select("_row"), "_row", "left_semi").drop("_row")
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
