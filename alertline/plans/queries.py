@@ -22,6 +22,9 @@ QUERIES: dict[str, Query] = {}
 NUMERIC = ["C1", "TransactionAmt", "sparse90"]
 CATEGORICAL = ["DeviceInfo", "ProductCD"]
 CV_CUTS = ("2024-01-10", "2024-01-17", "2024-01-24", "2024-01-31")
+# The registered queries stop after fewer trees without a gain than the operator's default (100); the README has the
+# measured times of both. There is no cut in the number of trees.
+TRAINING = {"patience": 8}
 # Trained models and folds by the content of the table, as several queries of a session ask for the same training.
 _MODELS: dict[tuple, boost.TrainedModel] = {}
 _FOLDS: dict[tuple, DataFrame] = {}
@@ -612,7 +615,7 @@ def _model(spark, folder):
     fitted, (train, val), weight = _trained(spark, folder)
     key = _content(spark, folder)
     if key not in _MODELS:
-        _MODELS[key] = boost.train(train, val, "isFraud", fitted.feature_names, weight)
+        _MODELS[key] = boost.train(train, val, "isFraud", fitted.feature_names, weight, **TRAINING)
     return _MODELS[key], val
 
 
@@ -656,7 +659,7 @@ def _folds(spark, folder):
         train, _ = _sides(spark, folder)
         fitted = prep.fit_prep(train, NUMERIC, CATEGORICAL)
         data = clean.clean(transactions(spark, folder))
-        _FOLDS[key] = boost.time_cv(data, fitted, "ts", "isFraud", CV_CUTS)
+        _FOLDS[key] = boost.time_cv(data, fitted, "ts", "isFraud", CV_CUTS, **TRAINING)
     return _FOLDS[key]
 
 
