@@ -193,28 +193,47 @@ def rounded(tree):
 def test_training_goes_on_from_stored_margins(spark, sides, monkeypatch):
     """Stores after every two trees change neither the trees nor their AUC, and each tree is fitted once."""
     vectors = [boost.stored(sides.prep.vectors(s, ["isFraud"]), "side") for s in (sides.train, sides.val)]
-    fitted, forest = [], boost.RandomForestRegressor
+    fitted, forest, fit = [], boost.RandomForestRegressor, boost.GBTClassifier
 
     def counted(**parameters):
         fitted.append(parameters["seed"])
         return forest(**parameters)
 
+    def counted_at_once(**parameters):
+        fitted.extend(range(parameters["seed"], parameters["seed"] + parameters["maxIter"]))
+        return fit(**parameters)
+
     monkeypatch.setattr(boost, "RandomForestRegressor", counted)
+    monkeypatch.setattr(boost, "GBTClassifier", counted_at_once)
+    monkeypatch.setattr(boost, "best_iteration", lambda aucs, patience: len(aucs))  # always goes on
     models = []
     for at_once in (2, 6):
         monkeypatch.setattr(boost, "STAGES_AT_ONCE", at_once)
-        models.append(boost.train(*vectors, "isFraud", sides.prep.feature_names, 3.0, max_iterations=6, maxDepth=2))
-    assert fitted == [*range(42, 48)] * 2
-    one, other = ([rounded(t.toDebugString.split("\n", 1)[1]) for t in m.model.trees] for m in models)
-    assert one == other and models[0].iterations == models[1].iterations
-    assert list(models[0].model.treeWeights) == [1.0, *[0.05] * 5]
+        models.append(
+            boost.train(*vectors, "isFraud", sides.prep.feature_names, 3.0, patience=7 - at_once, max_iterations=8, maxDepth=2)
+        )
+        assert fitted == [*range(42, 50)]
+        fitted.clear()
+    assert [m.iterations for m in models] == [8, 8]
+    assert list(models[0].model.treeWeights) == [1.0, *[0.05] * 7]
+
+
+def test_one_fit_and_single_trees_agree(sides):
+    """Without a draw of rows and features, the trees of one fit equal those that are fitted one after the other."""
+    margins = boost._spread(boost.start_margins(sides.prep.vectors(sides.train, ["isFraud"]), "isFraud", 3.0))
+    whole = {"maxDepth": 2, "featureSubsetStrategy": "all", "subsamplingRate": 1.0}
+    once = boost.begin(margins, 4, **whole)
+    start = boost.Trees(once.trees[:2], once.weights[:2])
+    after = start + boost.grow(boost.stored(start.add_margin(margins), "margins"), 2, 2, **whole)
+    one, other = ([rounded(t.toDebugString.split("\n", 1)[1]) for t in trees.trees] for trees in (once, after))
+    assert one == other and once.weights == after.weights
 
 
 def test_training_stops_after_the_patience(sides, monkeypatch):
+    """A step of nothing never gains, so the patience ends it; no tree is fitted beyond that."""
     vectors = [boost.stored(sides.prep.vectors(s, ["isFraud"]), "side") for s in (sides.train, sides.val)]
-    monkeypatch.setattr(boost, "STAGES_AT_ONCE", 4)
-    model = boost.train(*vectors, "isFraud", sides.prep.feature_names, patience=1, maxDepth=1, stepSize=0.0)
-    assert model.iterations == 1 and len(model.model.trees) == 4  # a step of nothing never gains
+    model = boost.train(*vectors, "isFraud", sides.prep.feature_names, patience=3, maxDepth=1, stepSize=1e-12)
+    assert len(model.model.trees) == model.iterations + 3
 
 
 def test_first_trees_follow_the_gradient(sides):
