@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,11 +29,12 @@ VERSION = b"WARC/1.1"
 LINE_END = b"\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_DATE = "2000-01-01T00:00:00Z"
+DIGESTS = ("md5", "sha1", "sha256", "sha512")
 
 MANIFEST = "file string, records long, bytes long"
 RECORDS = (
     "file string, record long, page_id long, url string, record_type string, refers_to long, "
-    "payload_digest string, payload_bytes long, payload binary"
+    "payload_digest string, payload_bytes long, payload binary, record_id string, refers_to_id string, date string"
 )
 
 
@@ -105,9 +107,11 @@ def _uri(page_id: int | None) -> str:
     return f"urn:page:{'none' if page_id is None else page_id}"
 
 
-def _page(uri: str | None) -> int | None:
-    name = (uri or "<urn:page:none>").strip("<>").rpartition(":")[2]
-    return None if name == "none" else int(name)
+def _page(fields: dict[str, str], name: str) -> int | None:
+    """The page of a record identifier of this module; None for identifiers of any other form."""
+    found = re.fullmatch(r"<?urn:page:(-?[0-9]{1,19})>?", fields.get(name, ""))
+    page_id = int(found[1]) if found else None
+    return page_id if page_id is not None and -(1 << 63) <= page_id < 1 << 63 else None
 
 
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
@@ -152,48 +156,87 @@ def read_members(stream) -> Iterator[bytearray]:
         yield content
 
 
+def _fields(lines: list[bytes]) -> dict[str, str]:
+    """Named fields by lower-case name; a line that begins with a blank goes on with the one before it."""
+    fields: dict[str, str] = {}
+    key = ""
+    for line in lines:
+        text = line.decode("utf-8", "replace")
+        if text[:1] in (" ", "\t") and key:
+            fields[key] = f"{fields[key]} {text.strip()}".strip()
+        else:
+            key, _, value = text.partition(":")
+            key = key.strip().lower()
+            fields[key] = value.strip()
+    return fields
+
+
+def _check(stated: str | None, data: bytes, what: str) -> None:
+    """Compare a ``label:value`` digest, if there is one and its algorithm is known, in base32 or hex."""
+    label, _, value = (stated or "").partition(":")
+    name = label.strip().lower().replace("-", "")
+    if name not in DIGESTS or not value:
+        return
+    found = hashlib.new(name, data)
+    if value.upper().rstrip("=") != base64.b32encode(found.digest()).decode().rstrip("=") and value.lower() != found.hexdigest():
+        raise ValueError(f"a record's {what} digest is wrong")
+
+
 def parse_record(member: bytes | bytearray) -> dict:
-    """Headers, type and payload of a record; a wrong frame or digest is an error."""
+    """Fields, type and payload of one record of any writer; a wrong frame or digest is an error.
+
+    Digests are optional and compared where they are given with an algorithm of DIGESTS; others are passed on.
+    The payload of an HTTP message is what follows its header, of any other record the whole block. A segment
+    (``WARC-Segment-Number``) has a part of a payload, so only its block is checked. A revisit has no payload;
+    its digest is the stated one, its length the one that ``X-Payload-Length`` states (null: not stated).
+    ``page_id`` and ``refers_to`` are null unless the identifiers are those of ``record_bytes``.
+    """
     head, found, rest = bytes(member).partition(LINE_END * 2)
     lines = head.split(LINE_END)
     if not found or not lines[0].startswith(b"WARC/"):
         raise ValueError("not a WARC record")
-    fields = {}
-    for line in lines[1:]:
-        key, _, value = line.decode().partition(":")
-        fields[key.strip().lower()] = value.strip()
+    fields = _fields(lines[1:])
+    if not re.fullmatch("[0-9]+", fields.get("content-length", "")):
+        raise ValueError("a record has no Content-Length")
     n = int(fields["content-length"])
     block = rest[:n]
     if len(block) != n or rest[n:] != LINE_END * 2:
         raise ValueError("a record's Content-Length is wrong")
-    if "sha1:" + digest(block) != fields["warc-block-digest"]:
-        raise ValueError("a record's block digest is wrong")
-    payload = block.partition(LINE_END * 2)[2]
-    stated = fields["warc-payload-digest"].removeprefix("sha1:")
-    kind = fields["warc-type"]
-    if kind == "response":
-        if digest(payload) != stated:
-            raise ValueError("a record's payload digest is wrong")
-        length = len(payload)
+    _check(fields.get("warc-block-digest"), block, "block")
+    kind = fields.get("warc-type", "").lower()
+    http = fields.get("content-type", "").lower().startswith("application/http")
+    payload = block.partition(LINE_END * 2)[2] if http else block
+    stated = fields.get("warc-payload-digest")
+    if kind == "revisit":
+        length = fields.get("x-payload-length", "")
+        payload, length = None, int(length) if re.fullmatch("[0-9]{1,18}", length) else None
     else:
-        payload, length = None, int(fields["x-payload-length"])
+        length = len(payload)
+        if "warc-segment-number" not in fields:
+            _check(stated, payload, "payload")
+            stated = stated or "sha1:" + digest(payload)
     return {
-        "page_id": _page(fields["warc-record-id"]),
+        "page_id": _page(fields, "warc-record-id"),
         "url": fields.get("warc-target-uri"),
-        "record_type": kind,
-        "refers_to": _page(fields.get("warc-refers-to")),
-        "payload_digest": stated,
+        "record_type": kind or None,
+        "refers_to": _page(fields, "warc-refers-to"),
+        "payload_digest": stated.removeprefix("sha1:") if stated else None,
         "payload_bytes": length,
         "payload": payload,
+        "record_id": fields.get("warc-record-id"),
+        "refers_to_id": fields.get("warc-refers-to"),
+        "date": fields.get("warc-date"),
     }
 
 
 def read_archives(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """All records of the archives in the manifest, a file after the other in each task.
 
-    Returns file, record (its number in the file), page_id, url, record_type, refers_to, payload_digest,
-    payload_bytes and payload (null for a revisit). A file with fewer or more records than the manifest
-    says is an error.
+    The files lie in ``archives`` of the folder and may be of any writer that compresses each record by itself.
+    Returns file, record (its number in the file), page_id, url, record_type, refers_to, payload_digest (without
+    the label "sha1:"), payload_bytes, payload (null for a revisit), record_id, refers_to_id and date. Records of
+    every type are rows (see ``parse_record``). A file with fewer or more records than the manifest says is an
+    error; a manifest with null ``records`` does not say.
     """
     store = f"{folder}/archives"
     parts = max(1, manifest.count())
@@ -209,6 +252,9 @@ def read_archives(spark: SparkSession, folder: str, manifest: DataFrame) -> Data
             ("payload_digest", pa.string()),
             ("payload_bytes", pa.int64()),
             ("payload", pa.binary()),
+            ("record_id", pa.string()),
+            ("refers_to_id", pa.string()),
+            ("date", pa.string()),
         ]
     )
 
@@ -224,7 +270,7 @@ def read_archives(spark: SparkSession, folder: str, manifest: DataFrame) -> Data
                         if size > BATCH_BYTES:
                             yield pa.RecordBatch.from_pylist(rows, fields)
                             rows, size = [], 0
-                if n != records:
+                if records is not None and n != records:
                     raise ValueError(f"{name} has {n} records, not {records}")
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, fields)

@@ -238,3 +238,42 @@ def test_broken_archives_are_errors():
     for broken in (record.replace(b"payload\r\n", b"paxload\r\n"), record[:-3], record.replace(b"Content-Length: 6", b"Content-Length: 5")):
         with pytest.raises(ValueError):
             parse_record(broken)
+
+
+def foreign_record(kind, block, **fields):
+    lines = [b"WARC/1.0", b"WARC-Type: " + kind, b"Content-Length: %d" % len(block)]
+    lines += [f"{k.replace('_', '-')}: {v}".encode() for k, v in fields.items()]
+    return b"\r\n".join([*lines, b"", b""]) + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    """Records of any type, without digests or with those of other algorithms, with identifiers of any form."""
+    import gzip
+
+    http, page = "application/http; msgtype=response", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n<p>x</p>"
+    sha256 = "sha256:" + hashlib.sha256(b"<p>x</p>").hexdigest()
+    uuid = "<urn:uuid:92283950-ef2f-4d72-b224-f54c6ec90bb0>"
+    members = [
+        foreign_record(b"warcinfo", b"software: s\r\n", Content_Type="application/warc-fields"),
+        foreign_record(b"response", page, Content_Type=http, WARC_Record_ID=uuid, WARC_Date="2020-01-01T00:00:00Z"),
+        foreign_record(b"response", page, Content_Type=http, WARC_Payload_Digest=sha256, WARC_Target_URI="u\r\n v"),
+        foreign_record(b"response", page, Content_Type=http, WARC_Payload_Digest="crc9:xx", WARC_Block_Digest="odd"),
+        foreign_record(b"revisit", b"", WARC_Refers_To=uuid, WARC_Payload_Digest="sha1:ABC"),
+        foreign_record(b"request", b"", Content_Type="application/http; msgtype=request", WARC_Record_ID="<urn:page:x>"),
+        foreign_record(b"response", b"part", Content_Type=http, WARC_Segment_Number=1, WARC_Payload_Digest=sha256),
+        foreign_record(b"resource", "ü".encode(), WARC_Record_ID=f"<urn:page:{1 << 70}>"),
+    ]
+    (tmp_path / "archives").mkdir()
+    (tmp_path / "archives" / "a.warc.gz").write_bytes(b"".join(gzip.compress(m) for m in members))
+    manifest = spark.createDataFrame([("a.warc.gz", None)], "file string, records long")
+    rows = sorted(read_archives(spark, f"file://{tmp_path}", manifest).collect(), key=lambda r: r.record)
+    kinds = ["warcinfo", "response", "response", "response", "revisit", "request", "response", "resource"]
+    assert [r.record_type for r in rows] == kinds
+    assert [r.payload_bytes for r in rows] == [13, 8, 8, 8, None, 0, 0, 2]
+    assert rows[1].payload_digest == base64.b32encode(hashlib.sha1(b"<p>x</p>").digest()).decode()
+    assert [r.payload_digest for r in rows[2:5]] == [sha256, "crc9:xx", "ABC"]
+    assert rows[1].record_id == rows[4].refers_to_id == uuid and rows[1].date == "2020-01-01T00:00:00Z"
+    assert rows[2].url == "u v" and all(r.page_id is None and r.refers_to is None for r in rows)
+    for broken in (members[2].replace(b"<p>x", b"<p>y"), members[0].replace(b"Content-Length", b"Length")):
+        with pytest.raises(ValueError):
+            parse_record(broken)
