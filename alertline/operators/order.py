@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from alertline.functions.scalar import epoch_micros, sql_literal
+from alertline.session import stored
 
 ROWS_PER_RANGE = 4_000_000  # more rows than that in a range of the first key ask for more ranges
 BROADCAST_CELLS = 1_000_000  # a table of more ranges is joined by a shuffle
@@ -456,6 +457,7 @@ def flag_first(ladder: Ladder, count: int, name: str) -> DataFrame:
         return df.withColumn(name, upto)
     hashed = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
     equal = df.filter(upto & ~before).withColumn("_hash", hashed).withColumn("_row", F.monotonically_increasing_id())
+    equal = stored(equal, "equal")  # a task that runs again must not number its rows anew
     numbered = rank_rows(equal, [asc("_hash"), asc("_row")])
     taken = numbered.select(*df.columns, (F.col("rank") <= count - n_before).alias(name))
     return df.filter(~upto | before).withColumn(name, before).unionByName(taken)
