@@ -18,9 +18,9 @@ from alertline.session import stored
 
 HASHES = 256
 FAN_IN = 256
-BUCKET_ROWS = 16_384
-MAX_BUCKETS = 1_000_000
-QUANTILES = 64
+BUCKET_ROWS = 16_384  # of a range of doc_ids, at most
+LEAST_ROWS = 256  # no range of fewer rows is cut for the sake of more tasks
+QUANTILES = 128  # pieces that a full range is cut into
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str, hashes: int = HASHES) -> DataFrame:
@@ -115,38 +115,46 @@ def with_next_document(docs: DataFrame, columns: list[str], derive=None) -> Data
     that are equal in both may stand in any order. A single row follows itself. ``derive``, if given, adds
     columns after the rows were dealt to buckets and before the next row is looked up.
 
-    A bucket is a range of doc_ids with a bounded number of rows: quantiles of doc_id, cut evenly in
-    between. Only the first row of each bucket (a list of at most MAX_BUCKETS) is sent to all tasks, so
-    that it can stand behind the last row of the bucket before, too. The texts move once.
+    A bucket is a range of doc_ids of at most BUCKET_ROWS rows by count, whatever the ids: fuller ranges are cut
+    at their own quantiles until none is left, a repeated doc_id by the hash of its texts, and equal rows at
+    random. Only the first row of each bucket is sent to all tasks, so that it can stand behind the last row
+    of the bucket before, too. The texts move once.
     """
-    order = F.struct(F.col("doc_id").isNotNull(), F.col("doc_id"), F.col("_hash"))
-    docs = docs.withColumn("_hash", F.xxhash64("text"))
-    shares = [k / QUANTILES for k in range(QUANTILES + 1)]
-    n, cuts = docs.agg(F.count(F.lit(1)), F.percentile_approx("doc_id", shares, 100 * QUANTILES)).first()
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = min(MAX_BUCKETS, max(8 * parts, n // BUCKET_ROWS))
-    docs = docs.withColumn("_bucket", _bucket(sorted(set(cuts or [])), max(1, buckets // QUANTILES)))
-    heads = docs.groupBy("_bucket").agg(F.max(order).alias("head"))
-    following = Window.orderBy(F.desc("_bucket"))
-    first = F.max(F.struct("_bucket", "head")).over(Window.partitionBy(F.lit(0)))
-    heads = heads.withColumn("_before", F.lag("_bucket").over(following)).withColumn("_first", first["_bucket"])
-    heads = heads.withColumn("_last", F.min("_bucket").over(Window.partitionBy(F.lit(0))))
-    heads = stored(heads, "heads")
-    guests = heads.select(
-        F.col("head.doc_id").alias("doc_id"),
-        F.col("head._hash").alias("_hash"),
-        F.coalesce("_before", "_last").alias("_to"),
-        F.col("_before").isNull().alias("_wraps"),
-    )
-    same = docs["doc_id"].eqNullSafe(guests["doc_id"]) & docs["_hash"].eqNullSafe(guests["_hash"])
-    visiting = docs.join(F.broadcast(guests), same).select(
-        *(docs[c] for c in docs.columns if c != "_bucket"), F.col("_to").alias("_bucket"), "_wraps"
-    )
-    visiting = visiting.dropDuplicates(["_bucket"])
-    both = docs.withColumn("_guest", F.lit(0)).unionByName(
-        visiting.withColumn("_guest", F.when(F.col("_wraps"), 2).otherwise(1)).drop("_wraps")
+    spark = docs.sparkSession
+    docs = docs.withColumn("_hash", F.xxhash64("text")).withColumn("_bucket", F.array().cast("array<bigint>"))
+    keys = stored(docs.select("doc_id", "_hash", "_bucket"), "keys")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    limit = min(BUCKET_ROWS, max(LEAST_ROWS, keys.count() // (8 * parts)))
+    while True:
+        ranges = stored(_ranges(keys), "ranges")
+        full = ranges.filter((F.col("n") > limit) & F.col("divisible"))
+        if full.isEmpty():
+            break
+        cuts = stored(_cuts(keys, full), "cuts")
+        docs = _cut(docs, cuts)
+        keys = stored(_cut(keys, cuts), "keys")
+    copies = ranges.filter(F.col("n") > limit).select("_bucket", F.ceil(2 * F.col("n") / limit).alias("_pieces"))
+    docs = docs.join(F.broadcast(copies), "_bucket", "left")
+    piece = F.floor(F.rand(0) * F.coalesce("_pieces", F.lit(1)))
+    docs = docs.withColumn("_bucket", F.concat("_bucket", F.array(piece))).drop("_pieces")
+    heads = ranges.join(F.broadcast(copies), "_bucket", "left")
+    heads = heads.select("_bucket", "head", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1)).alias("_piece"))
+    heads = heads.select(F.concat("_bucket", F.array("_piece")).alias("_bucket"), "head")
+    before = F.lag("_bucket").over(Window.orderBy(F.desc("_bucket")))
+    last = F.min("_bucket").over(Window.partitionBy(F.lit(0)))
+    guests = heads.select("head.doc_id", "head._hash", F.coalesce(before, last).alias("_to"))
+    guests = stored(guests, "heads")
+
+    def same(other: DataFrame) -> Column:
+        return docs["doc_id"].eqNullSafe(other["doc_id"]) & docs["_hash"].eqNullSafe(other["_hash"])
+
+    wanted = guests.select("doc_id", "_hash").distinct()
+    visiting = docs.join(F.broadcast(wanted), same(wanted), "left_semi").dropDuplicates(["doc_id", "_hash"])
+    visiting = visiting.join(F.broadcast(guests), same(guests)).select(
+        *(docs[c] for c in docs.columns if c != "_bucket"), F.col("_to").alias("_bucket")
     )
-    both = both.repartition("_bucket")
+    both = docs.withColumn("_guest", F.lit(0)).unionByName(visiting.withColumn("_guest", F.lit(1)))
+    both = both.repartition(max(parts, guests.count() // 2), "_bucket")
     if derive:
         both = derive(both)
     window = Window.partitionBy("_bucket").orderBy(
@@ -156,14 +164,43 @@ def with_next_document(docs: DataFrame, columns: list[str], derive=None) -> Data
     return out.filter("_guest = 0").drop("_hash", "_bucket", "_guest")
 
 
-def _bucket(cuts: list[int], pieces: int) -> Column:
-    """Rising with doc_id; rows without one are in the lowest bucket."""
-    if not cuts:
-        return F.lit(0).cast("long")
-    doc_id = F.col("doc_id")
-    bucket = F.when(doc_id.isNull(), F.lit(-1))
-    for k in reversed(range(len(cuts) - 1)):
-        share = (doc_id.cast("double") - float(cuts[k])) / max(1.0, float(cuts[k + 1]) - float(cuts[k]))
-        piece = F.least(F.greatest(F.floor(share * pieces), F.lit(0)), F.lit(pieces - 1))
-        bucket = bucket.when(doc_id >= cuts[k], piece + F.lit(k * pieces) + 1)
-    return bucket.otherwise(F.lit(0)).cast("long")
+def _ranges(keys: DataFrame) -> DataFrame:
+    """A row per bucket: ``n`` rows, the first of them (``head``), by what it can be cut, and from where."""
+    order = F.struct(F.col("doc_id").isNotNull(), F.col("doc_id"), F.col("_hash"))
+    ranges = keys.groupBy("_bucket").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max(order).alias("head"),
+        F.count("doc_id").alias("ids"),
+        F.struct(F.min("doc_id").cast("long").alias("least"), F.max("doc_id").cast("long").alias("most")).alias("id"),
+        F.struct(F.min("_hash").alias("least"), F.max("_hash").alias("most")).alias("hash"),
+    )
+    by_id = ((F.col("id.least") < F.col("id.most")) | F.col("ids").between(1, F.col("n") - 1)) & (F.col("ids") > 0)
+    by_id = F.coalesce(by_id, F.lit(False))
+    span = F.when(by_id, F.col("id")).otherwise(F.col("hash"))
+    ranges = ranges.withColumn("by_id", by_id).withColumn("span", span)
+    narrow = F.try_subtract("span.most", "span.least").isNotNull()  # else the doubles of the values themselves
+    base = F.when(narrow, F.col("span.least")).otherwise(F.lit(0))
+    divisible = F.col("by_id") | (F.col("hash.least") < F.col("hash.most"))
+    return ranges.select("_bucket", "n", "head", "by_id", base.alias("base"), "span.most", divisible.alias("divisible"))
+
+
+def _distance() -> Column:
+    """How far a row is from the base of its bucket; null without a doc_id in a bucket that is cut by it."""
+    return F.when(F.col("by_id"), F.col("doc_id").cast("long")).otherwise(F.col("_hash")) - F.col("base")
+
+
+def _cuts(keys: DataFrame, full: DataFrame) -> DataFrame:
+    """Where to cut each full bucket: quantiles of the distances, and the largest, which always parts some rows."""
+    shares = [k / QUANTILES for k in range(QUANTILES)]
+    inside = keys.join(F.broadcast(full.drop("n", "head", "divisible")), "_bucket")
+    inside = inside.withColumn("_distance", _distance()).groupBy("_bucket", "by_id", "base", "most")
+    some = inside.agg(F.percentile_approx("_distance", shares, 100 * QUANTILES).alias("cuts"))
+    return some.select("_bucket", "by_id", "base", F.array_union("cuts", F.array(F.col("most") - F.col("base"))).alias("cuts"))
+
+
+def _cut(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Append to each bucket the number of cuts up to the row, plus one; 0 without a doc_id or in buckets left whole."""
+    rows = rows.join(F.broadcast(cuts), "_bucket", "left").withColumn("_distance", _distance())
+    piece = F.size(F.filter("cuts", lambda c: c <= F.col("_distance"))) + 1
+    piece = F.when(F.col("_distance").isNull(), F.lit(0)).otherwise(piece).cast("long")
+    return rows.withColumn("_bucket", F.concat("_bucket", F.array(piece))).drop("by_id", "base", "cuts", "_distance")

@@ -6,6 +6,7 @@ import xxhash
 from conftest import TINY
 from pyspark.sql import functions as F
 
+from alertline.llm import fingerprints
 from alertline.llm.fingerprints import (
     HASHES,
     distinct_shingles,
@@ -104,3 +105,29 @@ def test_parts_merge_to_the_whole(spark):
     got = {r.k: r.fingerprint for r in merge_fingerprints(df, ["k"], "fingerprint").collect()}
     assert got["k"] == sorted(set().union(*(shingles(t) for k, t in parts if k == "k")))[:HASHES]
     assert got[None] == sketch("a b c") and got["e"] == []
+
+
+def test_buckets_stay_small(spark, monkeypatch):
+    """Far and near ids, one id on a third of the rows, equal rows and ids without a value."""
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 100)
+    ids = [k * k * k for k in range(1000)] + [2**62 + k for k in range(500)] + [-(2**62)] + [None] * 300
+    rows = [(i, f"text {i} {k}") for k, i in enumerate(ids)] + [(7, f"seven {k}") for k in range(900)] + [(9, "same")] * 600
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = {}
+
+    def derive(df):
+        counts = df.filter("_guest = 0").groupBy("_bucket").count()
+        seen["largest"] = counts.agg(F.max("count")).first()[0]
+        return df
+
+    got = with_next_document(docs, ["doc_id", "text"], derive=derive).collect()
+    assert seen["largest"] <= 100
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in got) == sorted((i is None, i or 0, t) for i, t in rows)
+    # each row is the next of exactly one row, and the steps go down but for the one from the last to the first
+    assert sorted((r.next_doc_id is None, r.next_doc_id or 0, r.next_text) for r in got) == sorted(
+        (i is None, i or 0, t) for i, t in rows
+    )
+    order = sorted({i for i, _ in rows if i is not None}, reverse=True) + [None]
+    place = {i: k for k, i in enumerate(order)}
+    steps = sorted(place[r.next_doc_id] - place[r.doc_id] for r in got)
+    assert steps[0] == -(len(order) - 1) and steps[1] >= 0 and steps[-1] == 1
