@@ -19,8 +19,8 @@ from alertline.session import stored
 HASHES = 256
 FAN_IN = 256
 BUCKET_ROWS = 16_384  # of a range of doc_ids, at most
-LEAST_ROWS = 256  # no range of fewer rows is cut for the sake of more tasks
-QUANTILES = 128  # pieces that a full range is cut into
+LEAST_ROWS = 1024  # no range of fewer rows is cut for the sake of more tasks
+QUANTILES = 128  # pieces that a full range is cut into, at most
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str, hashes: int = HASHES) -> DataFrame:
@@ -124,13 +124,13 @@ def with_next_document(docs: DataFrame, columns: list[str], derive=None) -> Data
     docs = docs.withColumn("_hash", F.xxhash64("text")).withColumn("_bucket", F.array().cast("array<bigint>"))
     keys = stored(docs.select("doc_id", "_hash", "_bucket"), "keys")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    limit = min(BUCKET_ROWS, max(LEAST_ROWS, keys.count() // (8 * parts)))
+    limit = min(BUCKET_ROWS, max(LEAST_ROWS, keys.count() // (2 * parts)))
     while True:
         ranges = stored(_ranges(keys), "ranges")
         full = ranges.filter((F.col("n") > limit) & F.col("divisible"))
         if full.isEmpty():
             break
-        cuts = stored(_cuts(keys, full), "cuts")
+        cuts = stored(_cuts(keys, full, limit), "cuts")
         docs = _cut(docs, cuts)
         keys = stored(_cut(keys, cuts), "keys")
     copies = ranges.filter(F.col("n") > limit).select("_bucket", F.ceil(2 * F.col("n") / limit).alias("_pieces"))
@@ -154,7 +154,7 @@ def with_next_document(docs: DataFrame, columns: list[str], derive=None) -> Data
         *(docs[c] for c in docs.columns if c != "_bucket"), F.col("_to").alias("_bucket")
     )
     both = docs.withColumn("_guest", F.lit(0)).unionByName(visiting.withColumn("_guest", F.lit(1)))
-    both = both.repartition(max(parts, guests.count() // 2), "_bucket")
+    both = both.repartition(max(1, guests.count() // 2), "_bucket")
     if derive:
         both = derive(both)
     window = Window.partitionBy("_bucket").orderBy(
@@ -189,12 +189,17 @@ def _distance() -> Column:
     return F.when(F.col("by_id"), F.col("doc_id").cast("long")).otherwise(F.col("_hash")) - F.col("base")
 
 
-def _cuts(keys: DataFrame, full: DataFrame) -> DataFrame:
-    """Where to cut each full bucket: quantiles of the distances, and the largest, which always parts some rows."""
+def _cuts(keys: DataFrame, full: DataFrame, limit: int) -> DataFrame:
+    """Where to cut each full bucket: quantiles of the distances, and the largest, which always parts some rows.
+
+    Of the quantiles as many are taken as make pieces of half the limit.
+    """
     shares = [k / QUANTILES for k in range(QUANTILES)]
-    inside = keys.join(F.broadcast(full.drop("n", "head", "divisible")), "_bucket")
-    inside = inside.withColumn("_distance", _distance()).groupBy("_bucket", "by_id", "base", "most")
+    inside = keys.join(F.broadcast(full.drop("head", "divisible")), "_bucket")
+    inside = inside.withColumn("_distance", _distance()).groupBy("_bucket", "by_id", "base", "most", "n")
     some = inside.agg(F.percentile_approx("_distance", shares, 100 * QUANTILES).alias("cuts"))
+    step = F.greatest(F.lit(1), F.floor(QUANTILES * limit / (2 * F.col("n"))))
+    some = some.withColumn("cuts", F.filter("cuts", lambda c, k: k % step == 0))
     return some.select("_bucket", "by_id", "base", F.array_union("cuts", F.array(F.col("most") - F.col("base"))).alias("cuts"))
 
 
