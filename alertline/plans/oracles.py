@@ -189,6 +189,11 @@ _WHOLE = """TransactionID, TransactionAmt, ProductCD, sparse95, sparse90, CAST(i
   CAST(C1 AS BIGINT) AS C1, DeviceInfo, epoch_us(ts) AS ts, TransactionDT"""
 ORACLES["csv_roundtrip"] = f"""
 SELECT event_id, epoch_us(ts) AS ts, user_id, event_type, {_r('value', 'value')}, props FROM events"""
+ORACLES["named_scores"] = f"""
+WITH {SCORED} SELECT id, epoch_us(time) AS time, CAST(y AS BIGINT) AS y, {_r('score', 'score')},
+  CAST(NULL AS DOUBLE) AS p_cal, 'raw_scores' AS dataset FROM scored
+UNION ALL SELECT id, epoch_us(time), CAST(y AS BIGINT), {_r('score', 'score')}, {_r('score * score', 'p_cal')},
+  'raw_scores_with_pcal' FROM scored"""
 ORACLES["join_coverage"] = """
 SELECT COUNT(*) AS with_identity, (SELECT COUNT(*) FROM documents) AS total
 FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NOT NULL"""
@@ -512,6 +517,11 @@ ORACLES["unseen_categories"] = f"WITH {SIDES} " + " UNION ALL ".join(
 EXCEPT SELECT {c} FROM train WHERE {c} IS NOT NULL)"""
     for c in ("DeviceInfo", "ProductCD")
 )
+ORACLES["reloaded_prep"] = ORACLES["ordinal_encode"]
+ORACLES["preprocess_report"] = f"""
+WITH {SIDES} SELECT (SELECT CAST(t_cut AS VARCHAR) FROM cut) AS t_cut, 3::BIGINT AS n_numeric, 2::BIGINT AS n_categorical,
+  'C1,TransactionAmt,sparse90,DeviceInfo,ProductCD' AS feature_order, (SELECT COUNT(*) FROM train) AS train_rows,
+  5::BIGINT AS width, (SELECT COUNT(*) FROM val) AS val_rows, CAST((SELECT SUM(unseen) FROM ({ORACLES["unseen_categories"]})) AS BIGINT) AS unseen"""
 ORACLES["platt_probs"] = f"""
 WITH RECURSIVE {SCORED}, b AS (SELECT score AS s, COUNT(*)::DOUBLE AS n, SUM(y)::DOUBLE AS tp FROM scored GROUP BY 1),
 steps AS (

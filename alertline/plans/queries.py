@@ -83,6 +83,20 @@ def csv_roundtrip(spark, folder):
     return rounded(tables.load_csv(spark, "events_from_csv", f"{path}/csv", f"{path}/table", events.schema), "value")
 
 
+@query
+def named_scores(spark, folder):
+    """Both score tables of a run, written and read by name."""
+    data = scored(spark, folder)
+    run = sinks.run_path(scratch_path(spark, "run"), "named")
+    sinks.write_parquet(data, f"{run}/{tables.RAW_SCORES}.parquet")
+    squared = data.withColumn("p_cal", F.col("score") * F.col("score"))
+    sinks.write_parquet(squared, f"{run}/{tables.CALIBRATED_SCORES}.parquet")
+    raw = tables.read_scores(spark, run).withColumn("p_cal", F.lit(None).cast("double"))
+    both = [raw, tables.read_scores(spark, run, tables.CALIBRATED_SCORES)]
+    named = [t.withColumn("dataset", F.lit(n)) for t, n in zip(both, (tables.RAW_SCORES, tables.CALIBRATED_SCORES))]
+    return rounded(named[0].unionByName(named[1]), "score", "p_cal")
+
+
 # Joins
 
 
@@ -579,6 +593,37 @@ def ordinal_encode_shuffled(spark, folder):
     return _encoded(spark, folder, lookup_limit=0, budget=0)
 
 
+@query
+def reloaded_prep(spark, folder):
+    """The codes of a fitted preparation that was read back from its folder."""
+    train, val = _sides(spark, folder)
+    path = scratch_path(spark, "prep")
+    prep.fit_prep(train, NUMERIC, CATEGORICAL, path)
+    fitted = prep.Prep.load(spark, path)
+    return rounded(fitted.encode(val, ["TransactionID"]), *fitted.feature_names)
+
+
+@query
+def preprocess_report(spark, folder):
+    """The contract of the fitted columns, as one row."""
+    data = clean.clean(transactions(spark, folder))
+    cut = splits.time_cut(data, "ts")
+    train, val = splits.time_split(data, cut, "ts")
+    fitted = prep.fit_prep(train, NUMERIC, CATEGORICAL)
+    unseen = prep.unseen_categories(train, val, CATEGORICAL)
+    about = fitted.report(train.count(), val.count(), unseen, "ts", str(cut))
+    rows, width = about["train_shape_after_transform"]
+    row = (
+        about["t_cut"], about["n_numeric"], about["n_categorical"], ",".join(about["feature_order"]), rows, width,
+        about["val_shape_after_transform"][0], sum(about["unseen_val_categories_mapped_to_-1"].values()),
+    )
+    return spark.createDataFrame(
+        [row],
+        "t_cut string, n_numeric bigint, n_categorical bigint, feature_order string, train_rows bigint, width bigint, "
+        "val_rows bigint, unseen bigint",
+    )
+
+
 @query
 def unseen_categories(spark, folder):
     return rounded(prep.unseen_categories(*_sides(spark, folder), CATEGORICAL))
