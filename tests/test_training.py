@@ -1,5 +1,6 @@
 import math
 import re
+from threading import Event
 
 import numpy as np
 import pandas as pd
@@ -218,6 +219,38 @@ def test_training_goes_on_from_stored_margins(spark, sides, monkeypatch):
     assert list(models[0].model.treeWeights) == [1.0, *[0.05] * 7]
 
 
+def test_trees_grow_while_earlier_ones_are_judged(sides, monkeypatch):
+    """Once some of the AUCs ask for more trees, these do not wait for the other AUCs."""
+    vectors = [boost.stored(sides.prep.vectors(s, ["isFraud"]), "side") for s in (sides.train, sides.val)]
+    stages, grow, grown, waited = boost._stages, boost.grow, Event(), []
+
+    def judged(margins, trees, before):
+        if before == 2:
+            waited.append(grown.wait(60))
+        return stages(margins, trees, before)
+
+    def growing(*args, **parameters):
+        grown.set()
+        return grow(*args, **parameters)
+
+    monkeypatch.setattr(boost, "_stages", judged)
+    monkeypatch.setattr(boost, "grow", growing)
+    monkeypatch.setattr(boost, "STAGES_AT_ONCE", 2)
+    monkeypatch.setattr(boost, "best_iteration", lambda aucs, patience: max(1, len(aucs)))
+    model = boost.train(*vectors, "isFraud", sides.prep.feature_names, 3.0, patience=3, max_iterations=6, maxDepth=2)
+    assert waited == [True] and len(model.model.trees) == model.iterations == 6
+
+
+def test_training_keeps_the_stages_it_watched(sides, model):
+    vectors = sides.prep.vectors(sides.val, ["isFraud"])
+    kept, again = (
+        [tuple(r) for r in df.orderBy("iteration").collect()]
+        for df in (model.stages, boost.staged_auc(model.model, vectors, "isFraud"))
+    )
+    assert len(kept) == len(model.model.trees) == len(again)
+    assert all(a == pytest.approx(b, rel=1e-9) for a, b in zip(kept, again))
+
+
 def test_one_fit_and_single_trees_agree(sides):
     """Without a draw of rows and features, the trees of one fit equal those that are fitted one after the other."""
     margins = boost._spread(boost.start_margins(sides.prep.vectors(sides.train, ["isFraud"]), "isFraud", 3.0))
