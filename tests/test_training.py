@@ -358,3 +358,61 @@ def test_unseen_only_counts_new_values(spark):
     got = {r["column"]: r["unseen"] for r in prep.unseen_categories(train, other, ["a", "b"]).collect()}
     assert got == {"a": 1, "b": 0}
     assert prep.unseen_categories(train.withColumn("a", F.lit(None).cast("string")), other, ["a"]).first()["unseen"] == 1
+
+
+def test_side_by_side_trees_equal_mllib(sides, monkeypatch):
+    """Draws of rows included, the trees of one barrier stage are those that MLlib fits one level at a time."""
+    margins = boost.stored(boost._spread(boost.start_margins(sides.prep.vectors(sides.train, ["isFraud"]), "isFraud", 3.0)), "margins")
+    monkeypatch.setattr("alertline.operators.trees.LEAST_ROWS", 2_000)  # several tasks add up their histograms
+    new = boost.begin(margins, 12)
+    later = boost.grow(boost.stored(new.add_margin(margins), "margins"), 4, 12)
+    monkeypatch.setattr(boost, "can_run_side_by_side", lambda spark: False)
+    old = boost.begin(margins, 12)
+    after = boost.grow(boost.stored(old.add_margin(margins), "margins"), 4, 12)
+    for ours, theirs in ((new, old), (later, after)):
+        assert ours.weights == theirs.weights
+        rows = boost.stored(sides.prep.vectors(sides.val, ["TransactionID"]).withColumn("margin", F.lit(0.0)), "rows")
+        both = ours.add_margin(rows).withColumnRenamed("margin", "a").join(
+            theirs.add_margin(rows).withColumnRenamed("margin", "b"), "TransactionID"
+        )
+        assert both.filter("abs(a - b) < 1e-9").count() == 2_000
+    ours, theirs = (t.classifier().featureImportances.toArray() for t in (new, old))
+    assert np.allclose(ours, theirs, rtol=1e-9)
+
+
+def test_a_series_is_one_stage(spark, sides):
+    """A hundred trees take a few jobs, not several for each level of each tree."""
+    margins = boost.stored(boost.start_margins(sides.prep.vectors(sides.train, ["isFraud"]), "isFraud", 3.0), "margins")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("series", "trees of one series")
+    try:
+        assert len(boost.grow(margins, 40, 1)) == 40
+        assert len(tracker.getJobIdsForGroup("series")) < 40
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_stages_cut_into_ranges_agree(spark, monkeypatch):
+    """AUC and precision do not depend on the number of ranges, with heavy ties and missing labels."""
+    from alertline.operators import curves
+
+    rows = [(k % 3 if k % 7 else None, float(k % 5), [float(k * 37 % 101 // 4), float(k % 2), -float(k % 11)]) for k in range(3000)]
+    df = spark.createDataFrame(rows, "y int, margin double, outputs array<double>")
+    whole = {tuple(r)[0]: tuple(r) for r in curves.staged_curves(df, 4, 3000).collect()}
+    monkeypatch.setattr(curves, "STAGE_ROWS", 400)
+    monkeypatch.setattr(curves, "STAGE_CELLS", 900)
+    cut = {tuple(r)[0]: tuple(r) for r in curves.staged_curves(df, 4, 3000).collect()}
+    assert sorted(whole) == sorted(cut) == [5, 6, 7]
+    for k in whole:
+        scores = df.select("y", (F.col("margin") + sum(F.col("outputs")[i] for i in range(k - 4))).alias("score"))
+        want = curves.curve_summary(scores, "score", "y").first()
+        assert whole[k] == pytest.approx((k, want["roc_auc"], want["average_precision"]), rel=1e-12)
+        assert cut[k] == pytest.approx(whole[k], rel=1e-12)
+
+
+def test_trees_beyond_the_rule_are_dropped(sides, monkeypatch):
+    """A series may grow too many trees while it is judged; the model and its stages end where the rule says."""
+    vectors = [boost.stored(sides.prep.vectors(s, ["isFraud"]), "side") for s in (sides.train, sides.val)]
+    monkeypatch.setattr(boost, "STAGES_AT_ONCE", 3)
+    model = boost.train(*vectors, "isFraud", sides.prep.feature_names, patience=5, maxDepth=1, stepSize=1e-12)
+    assert len(model.model.trees) == model.iterations + 5 == model.stages.count()
