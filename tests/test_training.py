@@ -365,17 +365,18 @@ def test_side_by_side_trees_equal_mllib(sides, monkeypatch):
     margins = boost.stored(boost._spread(boost.start_margins(sides.prep.vectors(sides.train, ["isFraud"]), "isFraud", 3.0)), "margins")
     monkeypatch.setattr("alertline.operators.trees.LEAST_ROWS", 2_000)  # several tasks add up their histograms
     new = boost.begin(margins, 12)
-    later = boost.grow(boost.stored(new.add_margin(margins), "margins"), 4, 12)
+    start = boost.stored(new.add_margin(margins), "margins")  # MLlib draws by the order of the parts, so both begin here
+    later = boost.grow(start, 4, 12)
     monkeypatch.setattr(boost, "can_run_side_by_side", lambda spark: False)
     old = boost.begin(margins, 12)
-    after = boost.grow(boost.stored(old.add_margin(margins), "margins"), 4, 12)
-    for ours, theirs in ((new, old), (later, after)):
+    after = boost.grow(start, 4, 12)
+    for name, ours, theirs in (("first", new, old), ("later", later, after)):
         assert ours.weights == theirs.weights
         rows = boost.stored(sides.prep.vectors(sides.val, ["TransactionID"]).withColumn("margin", F.lit(0.0)), "rows")
         both = ours.add_margin(rows).withColumnRenamed("margin", "a").join(
             theirs.add_margin(rows).withColumnRenamed("margin", "b"), "TransactionID"
         )
-        assert both.filter("abs(a - b) < 1e-9").count() == 2_000
+        assert both.filter("abs(a - b) < 1e-9").count() == 2_000, name
     ours, theirs = (t.classifier().featureImportances.toArray() for t in (new, old))
     assert np.allclose(ours, theirs, rtol=1e-9)
 
